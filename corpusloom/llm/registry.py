@@ -8,6 +8,11 @@ import corpus_pipeline
 
 MODULES = (
     "simhash_dedup",
+    "quality",
+    "decontaminate",
+    "mixing",
+    "tokens",
+    "toxicity",
 )
 
 QUERIES: dict = {}

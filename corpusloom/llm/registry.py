@@ -13,6 +13,10 @@ MODULES = (
     "mixing",
     "tokens",
     "toxicity",
+    "pii",
+    "secrets",
+    "licenses",
+    "embedding_dedup",
 )
 
 QUERIES: dict = {}

@@ -1,21 +1,53 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by the next.
+
+Quality, near-duplicates, contamination and mixing drop documents and keep every column; the last stage
+returns the token ids of what is left. A later stage sees only what its predecessors kept.
+"""
 
 from __future__ import annotations
 
-from corpusloom.llm import simhash_dedup
-from corpusloom.llm.common import written
+from corpusloom.llm import decontaminate, mixing, quality, simhash_dedup, tokens
+from corpusloom.llm.common import read_table, written
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Drops the documents that the classifier and their site's posterior reject."""
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def simhash_stage(spark, docs, sf_dir):
+    """Keeps one document of each near-duplicate group."""
     return simhash_dedup.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", simhash_stage)]
+def decontamination_stage(spark, docs, sf_dir):
+    """Drops the documents that share a span with the benchmark."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Samples each source to its target share of tokens."""
+    return mixing.sample(docs)
+
+
+def token_stage(spark, docs, sf_dir):
+    """Encodes and compresses what is left."""
+    return tokens.encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("token-id output", token_stage),
+]
+#: Logistic regression, bit sampling and balanced sampling have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

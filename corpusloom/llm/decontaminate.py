@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table, without, written
-from corpusloom.llm.words import grams, words
+from corpusloom.llm.words import as_texts, chunks, grams, words
 
 K = 8
 WINDOW = 6
@@ -57,7 +57,8 @@ def winnow(g: np.ndarray, count: np.ndarray, first: np.ndarray, window: int) ->
 
 def _prints(key: str, k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, i, j in ((b, i, j) for b in batches for i, j in chunks(as_texts(b["text"]))):
+            b = whole.slice(i, j - i)
             w = words(b["text"])
             g, count = grams(w, k)
             at = winnow(g, count, w.first, window)
@@ -128,6 +129,13 @@ def spans(doc: np.ndarray, hits: Iterator[tuple[int, int, int]], words_of, least
 
 def _hits(ix: Index, texts: pa.Array, k: int, window: int, table: np.ndarray):
     """For each text that has any: its row and its spans."""
+    texts = as_texts(texts)
+    for i, j in chunks(texts):
+        for d, found in _chunk_hits(ix, texts.slice(i, j - i), k, window, table):
+            yield i + d, found
+
+
+def _chunk_hits(ix: Index, texts: pa.Array, k: int, window: int, table: np.ndarray):
     w = words(texts)
     g, count = grams(w, k)
     if not len(g) or not len(ix.fp):

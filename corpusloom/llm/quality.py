@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table, written
-from corpusloom.llm.words import as_texts, mix, text_buffer, words
+from corpusloom.llm.words import as_texts, chunks, mix, text_buffer, words
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hash of their id.
 TRAIN_ROWS = 20_000
@@ -62,6 +62,11 @@ def _distinct(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def features(texts: pa.Array) -> np.ndarray:
     """(n, FEATURES): shares of character classes, word lengths, repetition. Rows without words are NaN."""
     texts = as_texts(texts)
+    parts = [_features(texts.slice(i, j - i)) for i, j in chunks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+
+
+def _features(texts: pa.Array) -> np.ndarray:
     buf, off = text_buffer(texts)
     w = words(texts)
     n = len(texts)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import components, read_table, without, written
-from corpusloom.llm.words import as_texts, mix, text_hash, words
+from corpusloom.llm.words import as_texts, chunks, mix, text_hash, words
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -31,6 +31,12 @@ _LANE = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(
 
 def fingerprint(texts: pa.Array) -> np.ndarray:
     """(n, 4) uint64: the majority of the hash bits of each text's distinct words."""
+    texts = as_texts(texts)
+    parts = [_fingerprint(texts.slice(i, j - i)) for i, j in chunks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, WORDS), np.uint64)
+
+
+def _fingerprint(texts: pa.Array) -> np.ndarray:
     w = words(texts)
     n = len(w.first) - 1
     doc, h = w.doc, w.hash
@@ -42,7 +48,7 @@ def fingerprint(texts: pa.Array) -> np.ndarray:
     bare = np.flatnonzero(np.diff(w.first) == 0)
     if len(bare):  # the text itself is the only feature
         doc = np.concatenate([doc, bare])
-        h = np.concatenate([h, text_hash(as_texts(texts).take(pa.array(bare)))])
+        h = np.concatenate([h, text_hash(texts.take(pa.array(bare)))])
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
     votes = np.zeros((n, BITS), np.int32)

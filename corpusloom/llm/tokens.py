@@ -21,6 +21,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table
-from corpusloom.llm.words import as_texts, text_buffer
+from corpusloom.llm.words import as_texts, mix, text_buffer
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,13 +61,13 @@ def _long(texts: pa.Array) -> np.ndarray:
     if len(buf):
         kind = _SPACE[buf]
         turn = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(buf)]
-        turn = np.union1d(turn, off)
-        at = turn[:-1][np.diff(turn) > LONG]
-        out[np.searchsorted(off, at, "right") - 1] = True
+        for i in np.flatnonzero(np.diff(turn) > LONG).tolist():
+            out[np.searchsorted(off, turn[i], "right") - 1 : np.searchsorted(off, turn[i + 1])] = True
     return out
 
 
 def encode(enc, text: str, long: bool) -> np.ndarray:
+    """The ids of one text."""
     if not long:
         return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int32)
     parts, at = [], 0
@@ -77,40 +78,246 @@ def encode(enc, text: str, long: bool) -> np.ndarray:
     return np.concatenate([np.asarray(enc.encode_to_numpy(p, disallowed_special=()), np.int32) for p in parts])
 
 
+_L, _N, _S, _O = 0, 1, 2, 3
+_ASCII = np.full(256, _O, np.uint8)
+_ASCII[[*range(65, 91), *range(97, 123)]] = _L
+_ASCII[48:58] = _N
+_ASCII[[*range(9, 14), 32]] = _S
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Letter, number, space or other of every code point, as the pattern has them."""
+    import unicodedata
+
+    out = np.full(0x110000, _O, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LN":
+            out[c] = _L if kind == "L" else _N
+    out[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _S
+    return out
+
+
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte belongs to."""
+    kind = _ASCII[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        b0 = buf[lead].astype(np.int64)
+        size = 2 + (b0 >= 0xE0) + (b0 >= 0xF0)
+        code = b0 & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+        for j in range(1, 4):
+            more = size > j
+            code[more] = code[more] << 6 | buf[lead[more] + j] & 0x3F
+        what = _classes()[code]
+        kind[lead] = what
+        for j in range(1, 4):
+            more = size > j
+            kind[lead[more] + j] = what[more]
+    return kind
+
+
+def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of :data:`PATTERN` start in the bytes of several texts."""
+    n = len(buf)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    kind = _kinds(buf)
+    edge = off[(off > 0) & (off < n)]
+    turn = np.empty(n, bool)
+    turn[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=turn[1:])
+    begins = np.zeros(n, bool)
+    begins[edge] = True
+    begins[0] = True
+    turn[edge] = True
+    run = np.flatnonzero(turn)
+    end = np.r_[run[1:], n]
+    space = kind[run] == _S
+    start = np.zeros(n, bool)
+    # a blank before a run belongs to it; other white space is a piece, but for its last character
+    words = run[~space]
+    joined = (words > 0) & ~begins[words]
+    joined[joined] = buf[words[joined] - 1] == 32
+    start[words - joined] = True
+    blank, stop = run[space], end[space]
+    start[blank] = True
+    inner = (stop < n) & ~begins[np.minimum(stop, n - 1)]
+    last = stop[inner] - 1
+    while True:  # back to the first byte of the last character
+        tail = (buf[last] & 0xC0) == 0x80
+        if not tail.any():
+            break
+        last = last - tail
+    start[last] = True
+    quote = run[(buf[run] == 39) & (end - run == 1)]
+    for q in quote[start[quote]].tolist():  # a lone apostrophe that no blank precedes may begin a contraction
+        near = bytes(buf[q + 1 : q + 3])
+        size = 2 if near[:1] in (b"s", b"t", b"m", b"d") else 3 if near in (b"re", b"ve", b"ll") else 0
+        if not size or begins[q + 1 : q + size].any() or q + size > n:
+            continue
+        start[q + 1] = False
+        if q + size < n and kind[q + size] == _L and not begins[q + size]:
+            start[q + size] = True
+    return np.flatnonzero(start)
+
+
+#: The encoder keeps the last piece of each of so many hash values (a power of 2) at hand.
+_CACHE = 18
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _keys(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each piece of up to 16 bytes, and which pieces are longer."""
+    word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    key = mix((word[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero(size > 8)
+    key[more] = mix(key[more] ^ (word[start[more] + 8] & _MASK[np.minimum(size[more] - 8, 8)]))
+    return key, size > 16
+
+
+class Encoder:
+    """Encodes batches of texts; each distinct piece of text is encoded once and remembered."""
+
+    def __init__(self, vocabulary: str, remember: int = 400_000):
+        self.enc = encoding(vocabulary)
+        self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.count = 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self.known, self.where = np.zeros(1 << _CACHE, np.uint64), np.zeros(1 << _CACHE, np.int32)
+
+    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh = [pieces[i] for i in new.tolist()]
+            lists = list(map(self.enc._core_bpe.encode_single_piece, fresh))
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            k, m, total = self.count, len(new), int(size.sum())
+            while k + m > len(self.begin):
+                self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+            while self.used + total > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
+            self.begin[k : k + m] = self.used + np.cumsum(size) - size
+            self.size[k : k + m] = size
+            self.used += total
+            self.count += m
+            out[new] = np.arange(k, k + m)
+            self.slot.update(zip(fresh, range(k, k + m)))
+        return out
+
+    def _segment(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        start = piece_starts(buf, off)
+        n = len(start)
+        if n == 0:
+            return [np.zeros(0, np.int32)] * (len(off) - 1)
+        data = buf.tobytes() + bytes(16)
+        end = np.empty(n, np.int64)
+        end[:-1], end[-1] = start[1:], len(buf)
+        key, rare = _keys(data, start, end - start)
+        place = (key >> np.uint64(64 - _CACHE)).astype(np.int64)
+        slot = np.where(self.known[place] == key, self.where[place], -1)
+        slot[rare] = -1
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            key[miss[rare[miss]]] = 0  # longer than a key tells: looked up one by one
+            _, first, which = np.unique(key[miss], return_index=True, return_inverse=True)
+            if self.count + len(miss) > self.remember:
+                self._forget()
+                return self._segment(buf, off) if len(miss) < self.remember else self._all(data, start, end, off)
+            at = miss[first]
+            found = self._slots([data[x:y] for x, y in zip(start[at].tolist(), end[at].tolist())])
+            slot[miss] = found[which]
+            lone = np.flatnonzero(rare)
+            if len(lone):
+                slot[lone] = self._slots([data[x:y] for x, y in zip(start[lone].tolist(), end[lone].tolist())])
+            at = at[~rare[at]]
+            self.known[place[at]], self.where[place[at]] = key[at], slot[at]
+        return self._cut(slot, start, off)
+
+    def _all(self, data: bytes, start: np.ndarray, end: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        out = self._cut(self._slots([data[x:y] for x, y in zip(start.tolist(), end.tolist())]), start, off)
+        self._forget()
+        return out
+
+    def _cut(self, slot: np.ndarray, start: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        size = self.size[slot]
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(self.begin[slot] - (stop - size), size) + np.arange(int(stop[-1]))]
+        cut = np.r_[0, stop][np.searchsorted(start, off)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def __call__(self, texts: pa.Array, segment: int = 1 << 20, largest: int = 1 << 22) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        buf, off = text_buffer(texts)
+        long = _long(texts) | (np.diff(off) > largest)
+        i, n = 0, len(texts)
+        while i < n:
+            if long[i]:
+                yield encode(self.enc, texts[i].as_py(), True)
+                i += 1
+                continue
+            j = i + 1
+            while j < n and not long[j] and off[j + 1] - off[i] <= segment:
+                j += 1
+            yield from self._segment(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            i = j
+
+
 def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sequence in codes, the rules (n, 2) and the expansion lengths. Negative ids part documents.
 
     Each round counts hashed pairs, takes the exact counts of those in frequent buckets, and replaces every
-    frequent pair; of overlapping occurrences in a run every other one is taken.
+    frequent pair; of overlapping occurrences in a run every other one is taken. After a round only pairs with
+    a new symbol can have become frequent; when none is left, all are counted once more.
     """
     rules: list[np.ndarray] = []
-    n_rules = 0
+    n_rules, fresh = 0, 0  # pairs without a symbol from ``fresh`` on were counted before
     seq = seq.astype(np.int32)
     while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        mixed = a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA77)
-        slot = ((mixed ^ (mixed >> np.uint32(15))) & np.uint32(buckets - 1)).astype(np.int32)
-        hot = np.bincount(slot, minlength=buckets) >= min_count
-        at = np.flatnonzero(hot[slot] & (a >= 0) & (b >= 0))
-        key = a[at].astype(np.int64) << 32 | b[at]
-        pair, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        if fresh:
+            new = seq >= fresh
+            at = np.flatnonzero((new[:-1] | new[1:]) & (np.minimum(a, b) >= 0))
+            a, b = a[at], b[at]
+        slot = a.astype(np.uint32) * np.uint32(0x9E3779B1)
+        slot ^= b.astype(np.uint32) * np.uint32(0x85EBCA77)
+        slot ^= slot >> np.uint32(15)
+        slot = (slot & np.uint32(buckets - 1)).astype(np.int64)
+        hot = np.flatnonzero((np.bincount(slot, minlength=buckets) >= min_count)[slot])
+        a, b = a[hot], b[hot]
+        at = at[hot] if fresh else hot
+        if not fresh:
+            within = np.minimum(a, b) >= 0
+            at, a, b = at[within], a[within], b[within]
+        pair, which, count = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True, return_counts=True)
         use = count >= min_count
+        if use.any():
+            keep = use[which]
+            at, which = at[keep], which[keep]
+            start = np.r_[True, np.diff(at) > 1]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            take = (at - at[first]) % 2 == 0
+            at, which = at[take], which[take]
+            done = np.bincount(which, minlength=len(pair))
+            use &= done >= 2
         if not use.any():
-            break
-        keep = use[which]
-        at, which = at[keep], which[keep]
-        start = np.r_[True, np.diff(at) > 1]
-        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        take = (at - at[first]) % 2 == 0
-        at, which = at[take], which[take]
-        done = np.bincount(which, minlength=len(pair))
-        use &= done >= min(min_count, 2)
-        if not use.any():
-            break
+            if not fresh:
+                break
+            fresh = 0  # overlaps may have left old pairs frequent: all are counted again
+            continue
         order = np.flatnonzero(use)
         order = order[np.lexsort((pair[order], -done[order]))]
         name = np.zeros(len(pair), np.int32)
-        name[order] = base + n_rules + np.arange(len(order), dtype=np.int32)
+        fresh = base + n_rules
+        name[order] = fresh + np.arange(len(order), dtype=np.int32)
         keep = use[which]
         at, which = at[keep], which[keep]
         seq = seq.copy()
@@ -164,8 +371,8 @@ def unpack(codes: bytes, width: int) -> np.ndarray:
 
 def _encoded(vocabulary: str, shard_tokens: int, min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
-        base = enc.n_vocab
+        encoder = Encoder(vocabulary)
+        base = encoder.enc.n_vocab
         part, k = TaskContext.get().partitionId(), 0
         ids: list = []
         docs: list[np.ndarray | None] = []
@@ -197,11 +404,9 @@ def _encoded(vocabulary: str, shard_tokens: int, min_count: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], _NAMES)
 
         for b in batches:
-            col = b["text"]
-            long = _long(as_texts(col))
-            for i, (doc, text) in enumerate(zip(b["doc_id"].to_pylist(), col)):
-                text = text.as_py()
-                seq = None if text is None else encode(enc, text, bool(long[i]))
+            null = b["text"].is_null().to_pylist()
+            for doc, none, seq in zip(b["doc_id"].to_pylist(), null, encoder(as_texts(b["text"]))):
+                seq = None if none else seq
                 more = 0 if seq is None else len(seq)
                 if size and size + more > shard_tokens:
                     yield flush()

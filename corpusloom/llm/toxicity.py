@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table, written
-from corpusloom.llm.words import words
+from corpusloom.llm.words import as_texts, chunks, words
 
 _PLAIN = """
 idiot:1 idiots:1 idiotic:.9 moron:1 morons:1 moronic:.9 imbecile:1 cretin:1 stupid:.9 dumbass:1 dumb:.6 loser:.9 losers:.9
@@ -223,7 +223,8 @@ def _scan(lexicon: dict[str, float], nxt: np.ndarray, final: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for whole, i, j in ((b, i, j) for b in batches for i, j in chunks(as_texts(b["text"]))):
+            b = whole.slice(i, j - i)
             doc, number, _ = matched(b["text"], nxt, final, longest)
             rows = []
             cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []

@@ -116,6 +116,17 @@ def words(texts: pa.Array, hashed: bool = True) -> Words:
     return Words(cat(hashes, np.uint64), start, cat(ends, np.int64), np.searchsorted(start, off), buf)
 
 
+def chunks(texts: pa.Array, size: int = 1 << 21) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text each; a longer text is alone in its range."""
+    _, off = text_buffer(texts)
+    out, i = [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        out.append((i, j))
+        i = j
+    return out
+
+
 def text_hash(texts: pa.Array) -> np.ndarray:
     """A 64-bit hash of each whole text."""
     import xxhash

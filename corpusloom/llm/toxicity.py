@@ -7,15 +7,23 @@ right. A hit's score is the term's weight, less for misspellings, less again whe
 or quote it, more where they address someone. A document is toxic from the score ``threshold`` of one hit, or
 from that of several weak ones together.
 
+Labelled documents add terms of their own: words that occur in a ``RATIO`` times greater share of toxic than of
+clean documents, near-duplicates counted once. These are matched exactly, and prove something only by their
+number: a document's hits, those in quotations counted less, are held against the rates at which toxic and clean
+documents use such terms, and the posterior must reach ``SURE``.
+
 Defined results: null and empty texts have no hits. A null doc_id is reported as null. Repeated rows are
 reported each. Of two terms equally near a word the one with the greater weight, then the first in
-alphabetical order, is named. A letter beyond ASCII counts as one letter.
+alphabetical order, is named. A letter beyond ASCII counts as one letter. Without labels of both kinds only the
+lexicon is used. Conflicting labels of an id are averaged; labels without a document tell nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table, written
+from corpusloom.llm.simhash_dedup import keep_one
 from corpusloom.llm.words import as_texts, chunks, words
 
 _PLAIN = """
@@ -46,6 +55,12 @@ ORDINARY = frozenset(
     "generate regenerate impulsive repulse pulsive salad salaud salade ordre ordures estudio estupendo estudia pendiente cabello "
     "gardening connard canard couard combat verming termin worthiness trotter schlamm idiotas idioma".split()
 ) - set(LEXICON)
+#: Labelled documents that terms are learned from, at most: those with the least hash of their id.
+TRAIN_ROWS = 20_000
+#: Toxic documents a learned term is in, at least, and how much greater its share of them is than of clean ones.
+TERM_DOCS = 5
+RATIO = 8.0
+SURE = 0.9
 _CLASSES = 29
 _KIND = np.full(256, 26, np.uint8)
 _KIND[97:123] = np.arange(26)
@@ -76,10 +91,11 @@ def _letters(term: str) -> list[int]:
 
 
 @lru_cache(4)
-def automaton(terms: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+def automaton(terms: tuple[str, ...], exact: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(next, final): the state after each letter class, and whether a term is within its edits. State 0 is dead, 1 starts."""
-    spelled = [_letters(t) for t in terms]
-    most = [allowed(t) for t in terms]
+    spelled = [_letters(t) for t in (*terms, *exact)]
+    most = [*map(allowed, terms), *[0] * len(exact)]
+    terms = (*terms, *exact)
 
     def closed(states: set) -> frozenset:
         """With deletions, and without states that another makes useless."""
@@ -186,21 +202,22 @@ def nearest(word: str, lexicon: dict[str, float]) -> tuple[str, int] | None:
     return best and (best[2], best[0])
 
 
-def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, term, edits, score) of the words with these numbers that are near a term."""
+def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict, exact: frozenset = frozenset()) -> list[tuple[int, int, str, int, float]]:
+    """(start, end, term, edits, score) of the words with these numbers that are near a term or in ``exact``."""
     spans = [m.span() for m in _WORD.finditer(text)]
     out = []
     for k in numbers:
         a, b = spans[k]
         word = text[a:b].lower()
         if word not in memo:
-            memo[word] = None if word in ORDINARY else nearest(word, lexicon)
+            found = None if word in ORDINARY else nearest(word, lexicon)
+            memo[word] = (word, 0) if word in exact and (found is None or found[1]) else found
         if memo[word] is None:
             continue
         term, d = memo[word]
         near = spans[max(0, k - WINDOW) : k + WINDOW + 1]
         around = {text[x:y].lower() for x, y in near if (x, y) != (a, b)}
-        score = lexicon[term] * (1.0, 0.7, 0.35)[d]
+        score = lexicon.get(term, 1.0) * (1.0, 0.7, 0.35)[d]
         report = bool(around & _REPORT)
         if _quoted(text, a, b, near[0][0] - 1 if near[0][0] else 0, min(len(text), near[-1][1] + 1)):
             score *= 0.2 if report else 0.5
@@ -213,26 +230,68 @@ def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict)
 
 
 HITS = "array<struct<start:int,end:int,term:string,edits:int,score:double>>"
-_SCAN = "uid bigint, doc_id bigint, start int, end int, form string, term string, edits int, score double"
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+_SCAN = "uid bigint, doc_id bigint, words bigint, start int, end int, form string, term string, edits int, score double"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+
+
+@dataclass
+class Learned:
+    """Terms learned from labels, with how many of them a word of toxic and of clean documents makes, and the share of toxic ones."""
+
+    terms: frozenset[str]
+    toxic_rate: float = 1.0
+    clean_rate: float = 1.0
+    prior: float = 0.5
+
+
+NOTHING = Learned(frozenset())
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term_docs: int = TERM_DOCS, ratio: float = RATIO) -> Learned:
+    """Terms that tell toxic from clean documents, of at most ``train_rows`` labelled ones."""
+    sample = (
+        labels.select(F.col("doc_id").cast("bigint").alias("__loom_id"), F.col("toxic").cast("double").alias("t"))
+        .where("__loom_id IS NOT NULL AND t IS NOT NULL")
+        .groupBy("__loom_id").agg((F.avg("t") >= 0.5).cast("int").alias("toxic"))
+        .orderBy(F.xxhash64("__loom_id"), "__loom_id").limit(train_rows)
+    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = written(rows.join(F.broadcast(sample), F.col("doc_id") == F.col("__loom_id")).select("doc_id", "text", "toxic"))
+    rows = keep_one(rows).select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10ffff}]+"), F.lit(0)).alias("w"))
+    rows = written(rows)
+    size = {r["toxic"]: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).collect()}
+    if len(size) < 2 or not (size[0]["words"] and size[1]["words"]):
+        return NOTHING
+    share = lambda c, t: (c + 0.5) / (size[t]["n"] + 1)
+    found = (
+        rows.select("toxic", F.explode(F.array_distinct("w")).alias("w"))
+        .groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+        .where((F.col("n1") >= term_docs) & (F.length("w") >= 3) & (share(F.col("n1"), 1) >= ratio * share(F.col("n0"), 0)))
+    )
+    terms = frozenset(r["w"] for r in found.select("w").collect())
+    if not terms:
+        return NOTHING
+    uses = dict(rows.select("toxic", F.explode("w").alias("w")).join(F.broadcast(found.select("w")), "w").groupBy("toxic").count().collect())
+    rate = [(uses.get(t, 0) + 0.5) / (size[t]["words"] + 1) for t in (0, 1)]
+    return Learned(terms, rate[1], rate[0], size[1]["n"] / (size[0]["n"] + size[1]["n"])) if rate[1] > rate[0] else NOTHING
 
 
-def _scan(lexicon: dict[str, float], nxt: np.ndarray, final: np.ndarray):
-    longest = max(map(len, lexicon)) + 2
+def _scan(lexicon: dict[str, float], nxt: np.ndarray, final: np.ndarray, exact: frozenset[str] = frozenset()):
+    longest = max(map(len, [*lexicon, *exact])) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         uid = TaskContext.get().partitionId() << 40
         for whole, i, j in ((b, i, j) for b in batches for i, j in chunks(as_texts(b["text"]))):
             b = whole.slice(i, j - i)
-            doc, number, _ = matched(b["text"], nxt, final, longest)
+            doc, number, w = matched(b["text"], nxt, final, longest)
             rows = []
             cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
             for i, j in zip(cut, [*cut[1:], len(doc)]):
                 d = int(doc[i])
                 text, key = b["text"][d].as_py(), b["doc_id"][d].as_py()
-                for h in scored(text, number[i:j].tolist(), lexicon, memo):
-                    rows.append((uid + d, key, h[0], h[1], text[h[0] : h[1]].lower(), *h[2:]))
+                for h in scored(text, number[i:j].tolist(), lexicon, memo, exact):
+                    rows.append((uid + d, key, int(w.first[d + 1] - w.first[d]), h[0], h[1], text[h[0] : h[1]].lower(), *h[2:]))
             uid += len(b)
             if len(memo) > 1_000_000:
                 memo.clear()
@@ -242,34 +301,42 @@ def _scan(lexicon: dict[str, float], nxt: np.ndarray, final: np.ndarray):
     return run
 
 
-def toxic(docs: DataFrame, lexicon: dict[str, float] | None = None, threshold: float = 0.4) -> DataFrame:
+def toxic(docs: DataFrame, labels: DataFrame | None = None, lexicon: dict[str, float] | None = None, threshold: float = 0.4, **learning) -> DataFrame:
     """(doc_id, score, hits) of the toxic rows. The texts are read once; only hits are shuffled.
 
     A form that isn't a term itself counts as an ordinary word, and not as a misspelling, where it is in more
     documents than the right spelling, all documents counted; one document alone never makes it ordinary.
 
+    :param labels: labels to learn terms from (:func:`learn`)
     :param lexicon: terms in lower case with their weights, 1 for the worst
     """
     lexicon = LEXICON if lexicon is None else lexicon
+    known = NOTHING if labels is None else learn(docs, labels, **learning)
+    own = known.terms - set(lexicon)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not lexicon:
+    if not lexicon and not own:
         return rows.where("false").select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast(HITS).alias("hits"))
-    nxt, final = automaton(tuple(sorted(lexicon)))
-    hits = written(rows.where("text IS NOT NULL").mapInArrow(_scan(dict(lexicon), nxt, final), _SCAN))
+    nxt, final = automaton(tuple(sorted(lexicon)), tuple(sorted(own)))
+    hits = written(rows.where("text IS NOT NULL").mapInArrow(_scan(dict(lexicon), nxt, final, own), _SCAN))
     seen = hits.select("uid", "form", "term", "edits").distinct().groupBy("form", "term", "edits").agg(F.count("*").alias("n"))
     right = seen.where("edits = 0").select("term", F.col("n").alias("m"))
     ordinary = seen.where("edits > 0").join(right, "term", "left").where("n > greatest(coalesce(m, 0), 1)").select("form")
-    near = hits.join(ordinary, "form", "left_anti")
+    in_lexicon = F.col("term").isin(sorted(lexicon)) if lexicon else F.lit(False)
+    near = hits.join(ordinary, "form", "left_anti").withColumn("worst", F.when(in_lexicon, F.col("score")).otherwise(0.0))
+    odds = math.log(known.prior / (1 - known.prior)) if own else 0.0
+    proof = F.sum(F.least(F.lit(1.0), "score")) * math.log(known.toxic_rate / known.clean_rate) - F.max("words") * (known.toxic_rate - known.clean_rate)
     whole = near.groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"), F.max("score").alias("top"),
-        F.round(1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.99), F.col("score"))))), 4).alias("score"),
+        F.first("doc_id").alias("doc_id"), F.max("worst").alias("top"),
+        F.round(1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.99), F.col("worst"))))), 4).alias("score"),
+        F.round(1 / (1 + F.exp(-proof - odds)), 4).alias("posterior") if own else F.lit(0.0).alias("posterior"),
         F.array_sort(F.collect_list(F.struct("start", "end", "term", "edits", "score"))).alias("hits"),
     )
-    return whole.where((F.col("top") >= threshold) | (F.col("score") >= min(0.9, 2 * threshold))).select("doc_id", "score", "hits")
+    bad = (F.col("top") >= threshold) | (F.col("score") >= min(0.9, 2 * threshold)) | (F.col("posterior") >= SURE)
+    return whole.where(bad).select("doc_id", F.greatest("score", "posterior").alias("score"), "hits")
 
 
 def op9_toxicity(spark, sf_dir):
-    return toxic(read_table(spark, sf_dir, "documents"))
+    return toxic(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}

@@ -17,9 +17,11 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset on a local master (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,6 +44,11 @@ def dropped(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names that may hold dots or backticks, as Spark resolves them."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

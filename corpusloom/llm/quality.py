@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read_table, written
+from corpusloom.llm.common import quoted, read_table, written
 from corpusloom.llm.words import as_texts, chunks, mix, text_buffer, words
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hash of their id.
@@ -259,7 +259,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_r
     out = out.join(side, (F.col("__loom_site.host") == F.col("__loom_host")) & (F.col("__loom_site.path") == F.col("__loom_path")), "left")
     shift = F.coalesce(F.log(F.col("__loom_post") / (1 - F.col("__loom_post"))), F.lit(0.0)) - float(np.log(mu / (1 - mu)))
     need = float(np.log(threshold / (1 - threshold)))
-    return out.where(F.col("__loom_z") + shift >= need).select(*[docs[c] for c in docs.columns])
+    return out.where(F.col("__loom_z") + shift >= need).select(*quoted(docs.columns))
 
 
 def op5_quality_classifier(spark, sf_dir):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, read_table, without, written
+from corpusloom.llm.common import components, quoted, read_table, without, written
 from corpusloom.llm.words import as_texts, chunks, mix, text_hash, words
 
 WORDS = 4
@@ -228,7 +228,7 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     rest = without(out, again)
     side = again.select(F.col("doc_id").alias("__loom_key"))
     twice = out.join(side, out["doc_id"] == side["__loom_key"], "left_semi")
-    first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*twice.columns), F.coalesce("text", F.lit(""))).alias("__loom_row"))
+    first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*quoted(twice.columns)), F.coalesce("text", F.lit(""))).alias("__loom_row"))
     return rest.unionByName(first.select("__loom_row.*"))
 
 

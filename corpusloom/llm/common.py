@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 LOCAL_EDGES = 2_000_000
 #: Id lists up to this many rows are sent to every executor (8 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Bytes of an Arrow batch.
+BATCH = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,12 +46,20 @@ def dropped(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold at once: Arrow batches of ``BATCH`` bytes, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default
+        spark.conf.set(key, BATCH)
+
+
 def quoted(columns: list[str]) -> list[str]:
     """Column names that may hold dots or backticks, as Spark resolves them."""
     return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,10 +10,11 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _mapped(fn):
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else fn(t) for t in texts.to_pylist()], pa.string())
 

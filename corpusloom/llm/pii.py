@@ -195,8 +195,10 @@ def findings(text: str) -> list[tuple[str, str, int, int, bool]]:
         a, b = int(t.start[m.start()]), int(t.end[m.end() - 1])
         if any(x <= a and b <= y for x, y in spoken):
             out.append((_RANK["phone"], a, b, "phone", m[0], True))
+    rest = t.text
     for kind, pattern in _DETECT:
-        for m in pattern.finditer(t.text):
+        taken_by = []
+        for m in pattern.finditer(rest):
             value, name = m[0], kind
             if kind == "iban" and not _iban(value):
                 continue
@@ -207,6 +209,9 @@ def findings(text: str) -> list[tuple[str, str, int, int, bool]]:
                 continue
             a, b = int(t.start[m.start()]), int(t.end[m.end() - 1])
             out.append((_RANK[name], a, b, name, value, text[a:b] != value))
+            taken_by.append(m.span())
+        for a, b in taken_by:  # a later kind never runs into what is found already
+            rest = rest[:a] + "\0" * (b - a) + rest[b:]
     out.sort()
     taken: list[tuple] = []
     for f in out:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table
-from corpusloom.llm.words import as_texts
+from corpusloom.llm.words import Spans, as_texts
 
 SCHEMA = "doc_id bigint, kind string, value string, start int, end int, disguised boolean"
 
@@ -210,13 +210,14 @@ def findings(text: str) -> list[tuple[str, str, int, int, bool]]:
             a, b = int(t.start[m.start()]), int(t.end[m.end() - 1])
             out.append((_RANK[name], a, b, name, value, text[a:b] != value))
             taken_by.append(m.span())
+        parts, at = [], 0
         for a, b in taken_by:  # a later kind never runs into what is found already
-            rest = rest[:a] + "\0" * (b - a) + rest[b:]
+            parts += [rest[at:a], "\0" * (b - a)]
+            at = b
+        rest = "".join([*parts, rest[at:]])
     out.sort()
-    taken: list[tuple] = []
-    for f in out:
-        if all(f[2] <= g[1] or f[1] >= g[2] for g in taken):
-            taken.append(f)
+    spans = Spans()
+    taken = [f for f in out if spans.take(f[1], f[2])]
     return [(n, v, a, b, d) for _, a, b, n, v, d in sorted(taken, key=lambda f: f[1:3])]
 
 

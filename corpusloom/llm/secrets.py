@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table
-from corpusloom.llm.words import as_texts
+from corpusloom.llm.words import Spans, as_texts
 
 SCHEMA = "doc_id bigint, kind string, secret string, start int, end int, layers string"
 #: Greatest size of one decompressed layer.
@@ -83,10 +83,8 @@ def scan(text: str) -> list[tuple[str, str, int, int]]:
                 if not _value_ok(text[a:b]):
                     continue
             found.append((a - b, a, rank, kind, text[a:b], b))
-    out: list[tuple[str, str, int, int]] = []
-    for _, a, _, kind, secret, b in sorted(found):
-        if all(b <= x or a >= y for _, _, x, y in out):
-            out.append((kind, secret, a, b))
+    spans = Spans()
+    out = [(kind, secret, a, b) for _, a, _, kind, secret, b in sorted(found) if spans.take(a, b)]
     return sorted(out, key=lambda f: f[2])
 
 

@@ -7,6 +7,7 @@ separates. ``WORD`` is the same rule as a regular expression.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,3 +145,19 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k):
         g = g * np.uint64(_P) + w.hash[j : n - k + 1 + j]
     return mix(g), count
+
+
+class Spans:
+    """Disjoint spans, each taken only if it overlaps none before it."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        if (i and self.ends[i - 1] > a) or (i < len(self.starts) and self.starts[i] < b):
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True

@@ -58,9 +58,9 @@ def known_bad_removed(spark, sf_dir):
 
 
 def split_overlap(spark, sf_dir):
-    """Contents that are in the training split (ids not divisible by 10) and in the held-out one."""
-    docs = _docs(spark, sf_dir).select(F.md5("text").alias("md5"), (F.col("doc_id") % 10 == 0).alias("held"))
-    return docs.groupBy("md5").agg(F.sum(F.col("held").cast("bigint")).alias("held_out"), F.sum((~F.col("held")).cast("bigint")).alias("train")).where("held_out > 0 AND train > 0")
+    """Contents that more than one source holds: splits made by source would share them."""
+    docs = _docs(spark, sf_dir).select(F.md5("text").alias("md5"), "source")
+    return docs.groupBy("md5").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("docs")).where("sources > 1")
 
 
 def line_dedup(spark, sf_dir):
@@ -202,7 +202,7 @@ ORACLES: dict[str, str] = {
 n = 0 OR best / n < 0.6 AS review FROM (SELECT *, greatest(en, de, fr, es) AS best, en + de + fr + es AS n FROM (SELECT doc_id, lang, {_STOPS} FROM (SELECT doc_id, lang, {_TOKENS} AS w FROM documents)))""",
     "exact_dedup": "SELECT md5(text) AS md5, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "known_bad_removed": "SELECT md5(text) AS md5, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(*) = 1",
-    "split_overlap": "SELECT md5(text) AS md5, count(*) FILTER (doc_id % 10 = 0) AS held_out, count(*) FILTER (doc_id % 10 <> 0) AS train FROM documents GROUP BY 1 HAVING count(*) FILTER (doc_id % 10 = 0) > 0 AND count(*) FILTER (doc_id % 10 <> 0) > 0",
+    "split_overlap": "SELECT md5(text) AS md5, count(DISTINCT source) AS sources, count(*) AS docs FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "line_dedup": r"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS a FROM documents)),
 often AS (SELECT line FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT doc_id) > 5)
 SELECT doc_id, md5(string_agg(line, E'\n' ORDER BY pos)) AS md5, count(*) AS lines FROM l WHERE line NOT IN (SELECT line FROM often) GROUP BY doc_id""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_plans", "bpe_plans", "curation_plans")
+MODULES = ("text_plans", "bpe_plans", "curation_plans", "science_plans")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -68,6 +68,8 @@ _PLAIN_AT = re.compile(r"\s+(?:at|arroba|arobase|klammeraffe)\s+\Z", re.I)
 #: Where a disguise may be; the match itself must start at most this many name characters before.
 _ANCHOR = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]|\s(?:at|arroba|arobase|klammeraffe)\s[^\n]{1,80}?(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s)|\s@|@\s|@[^\n@]{1,80}?(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s)|&#0*64;|%40", re.I)
 
+#: Last labels that make a bare "at" an address; bracketed ones need no such proof.
+_DOMAINS = frozenset("com org net edu gov mil int info biz io co me dev app eu uk us ca au de at ch fr es it nl be pt pl se no dk fi cz ie br mx ar cl in jp cn ru example test".split())
 _DETECT = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -156,7 +158,7 @@ def _disguised_addresses(t: Traced) -> None:
             names = [(x.start(), x.end()) for x in _DOT_IN.finditer(t.text, b, m.end())]
             bracketed = not _PLAIN_AT.search(m["at"])
             spoken = any(len(t.text[x:y].strip()) > 1 for x, y in names)
-            if not (bracketed or spoken):
+            if not (bracketed or spoken and t.text[names[-1][1] : m.end()].lower() in _DOMAINS):
                 continue
             first = m.start()
             if not bracketed or any(c.isspace() for c in t.text[first:a]):  # only a dotted name is taken as the local part

@@ -256,13 +256,16 @@ def _unwrapped(layer: Layer, max_bytes: int) -> Iterator[Layer]:
 def findings(text: str, max_bytes: int = MAX_BYTES) -> list[tuple[str, str, int, int, str]]:
     """(kind, secret, start, end, layers) of a text; layers are the names of the encodings around it."""
     work, seen, out = deque([Layer(text, ())]), {(text, None)}, {}
+    places: dict[tuple[str, str], Spans] = {}
     while work:
         layer = work.popleft()
         if layer.names and layer.names[-1] == "oversized":
             out.setdefault(("oversized", "", *layer.span), "/".join(layer.names[:-1]))
             continue
         for kind, secret, a, b in scan(layer.text):
-            out.setdefault((kind, secret, *layer.source(a, b)), "/".join(layer.names))
+            span = layer.source(a, b)
+            if places.setdefault((kind, secret), Spans()).take(*span):
+                out[kind, secret, *span] = "/".join(layer.names)
         for new in _unwrapped(layer, max_bytes):
             key = (new.text, new.span)
             if key not in seen:

@@ -122,7 +122,7 @@ def layer_product(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("col", "v"))
     place = [(F.col("vec_id") % 3).cast("int").alias("layer"), (F.floor(F.col("vec_id") / 3) % 8).cast("int").alias("row"), "col"]
     layers = e.groupBy(*place).agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return learning.chain_product(layers).select("row", "col", F.round("v", 5).alias("v"))
+    return learning.chain_product(layers).select("row", "col", (F.round("v", 5) + F.lit(0.0)).alias("v"))
 
 
 QUERIES = {
@@ -159,5 +159,5 @@ floor(20 * (1 - t) + 220 * t + 0.5)::INT AS channel, round(sqrt(t * t + (1 - t)
     "label_accuracy": """SELECT part, accuracy, n, round(max(accuracy) FILTER (part = 'train') OVER () - max(accuracy) FILTER (part = 'test') OVER (), 8) AS gap FROM (SELECT CASE WHEN doc_id > cut THEN 'test' ELSE 'train' END AS part, round(avg(((n_chars >= 500)::INT = quality)::INT), 8) AS accuracy, count(*) AS n
 FROM (SELECT doc_id, quality, n_chars, quantile_cont(doc_id, 0.8) OVER () AS cut FROM labels JOIN documents USING (doc_id)) GROUP BY 1)""",
     "layer_product": """WITH l AS (SELECT layer, r, c, avg(v) AS v FROM (SELECT vec_id % 3 AS layer, (vec_id // 3) % 8 AS r, unnest(range(8)) AS c, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings) GROUP BY ALL)
-SELECT a.r::INT AS "row", c.c::INT AS col, round(sum(a.v * b.v * c.v), 5) AS v FROM l a JOIN l b ON a.layer = 0 AND b.layer = 1 AND a.c = b.r JOIN l c ON c.layer = 2 AND b.c = c.r GROUP BY ALL""",
+SELECT a.r::INT AS "row", c.c::INT AS col, round(sum(a.v * b.v * c.v), 5) + 0.0 AS v FROM l a JOIN l b ON a.layer = 0 AND b.layer = 1 AND a.c = b.r JOIN l c ON c.layer = 2 AND b.c = c.r GROUP BY ALL""",
 }

@@ -161,14 +161,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
 
 def evidence(model: Model):
-    """Arrow function: text to log odds, null where there are no words."""
+    """Arrow function: text to log odds, null where there are no words.
+
+    Declared nondeterministic so that the optimizer never evaluates it twice, for a filter and for its value.
+    """
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
         z = model.logit(features(text))
         return pa.array(z, mask=np.isnan(z))
 
-    return run
+    return run.asNondeterministic()
 
 
 def site(source: Column, lang: Column) -> Column:

@@ -37,8 +37,11 @@ def merged(symbols: list[str], left: str, right: str) -> list[str]:
     return out
 
 
-def learn(words: Iterable[tuple[str, int]], merges: int, at_least: int = 2) -> list[tuple[str, str]]:
-    """The pairs merged one after the other: each time the most frequent, the first of ties; none below ``at_least``."""
+def learn(words: Iterable[tuple[str, int]], merges: int, at_least: int = 2, known: Iterable[str] | None = None) -> list[tuple[str, str]]:
+    """The pairs merged one after the other: each time the most frequent, the first of ties; none below ``at_least``.
+
+    With ``known`` tokens, ``merges`` counts the new tokens: a result that is known, or was made of another pair, isn't new.
+    """
     table = [(list(w), n) for w, n in sorted(words)]
     count: Counter = Counter()
     where: dict = defaultdict(set)
@@ -49,57 +52,70 @@ def learn(words: Iterable[tuple[str, int]], merges: int, at_least: int = 2) -> l
     heap = [(-n, p) for p, n in count.items()]
     heapq.heapify(heap)
     out: list[tuple[str, str]] = []
-    while heap and len(out) < merges:
+    made, new_tokens = set(known or ()), 0
+    while heap and new_tokens < merges:
         n, pair = heapq.heappop(heap)
-        if count.get(pair, 0) != -n:  # changed since it was queued
+        now = count.get(pair, 0)
+        if now != -n:  # changed since it was queued: what has become less is queued here, what has become more below
+            if 0 < now < -n:
+                heapq.heappush(heap, (-now, pair))
             continue
-        if -n < at_least:
+        if now < at_least:
             break
         out.append(pair)
-        moved = set()
+        if known is None or pair[0] + pair[1] not in made:
+            new_tokens += 1
+            made.add(pair[0] + pair[1])
+        more: dict = defaultdict(int)
         for i in where.pop(pair, ()):
             s, n = table[i]
             new = merged(s, *pair)
+            if len(new) == len(s):
+                continue
             for p in zip(s, s[1:]):
-                count[p] -= n
-                moved.add(p)
+                more[p] -= n
             for p in zip(new, new[1:]):
-                count[p] += n
+                more[p] += n
                 where[p].add(i)
-                moved.add(p)
             table[i] = (new, n)
-        for p in moved:
-            if count[p] > 0:
+        for p, d in more.items():
+            count[p] += d
+            if count[p] <= 0:
+                del count[p]
+                where.pop(p, None)
+            elif d > 0:
                 heapq.heappush(heap, (-count[p], p))
-            else:
-                count.pop(p)
     return out
 
 
 MERGES = "rank int, left string, right string, result string"
 
 
-def _one_task(merges: int, at_least: int):
+def _one_task(merges: int, at_least: int, known: tuple[str, ...] | None):
     def run(t: pa.Table) -> pa.Table:
-        found = learn(zip(t["word"].to_pylist(), t["freq"].to_pylist()), merges, at_least)
+        found = learn(zip(t["word"].to_pylist(), t["freq"].to_pylist()), merges, at_least, known)
         left, right = ([p[k] for p in found] for k in (0, 1))
         return pa.table({"rank": pa.array(range(len(found)), pa.int32()), "left": pa.array(left, pa.string()), "right": pa.array(right, pa.string()), "result": pa.array([a + b for a, b in found], pa.string())})
 
     return run
 
 
-def train(words: DataFrame, merges: int, at_least: int = 2, local_words: int = LOCAL_WORDS, write_every: int = 20) -> DataFrame:
-    """Merges (rank, left, right, result) learned from ``words(word, freq)``."""
+def train(words: DataFrame, merges: int, at_least: int = 2, local_words: int = LOCAL_WORDS, write_every: int = 20, known: tuple[str, ...] | None = None) -> DataFrame:
+    """Merges (rank, left, right, result) learned from ``words(word, freq)``; ``known`` as in :func:`learn`."""
     words = written(words.select("word", F.col("freq").cast("bigint").alias("freq")).where("word IS NOT NULL AND freq > 0"))
     if words.count() <= local_words:
-        return words.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_one_task(merges, at_least), MERGES)
+        return words.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_one_task(merges, at_least, known), MERGES)
     symbols, found = words.select("freq", tx.codepoints(F.col("word")).alias("s")).where("size(s) > 1"), []
-    while len(found) < merges:
+    made, new_tokens = set(known or ()), 0
+    while new_tokens < merges:
         pairs = symbols.select("freq", F.explode(tx.adjacent_pairs(F.col("s"))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
         best = counts.best_pairs(pairs.where(F.col("n") >= at_least), 1).first()
         if best is None:
             break
         found.append((len(found), best["left"], best["right"], best["left"] + best["right"]))
+        if known is None or found[-1][3] not in made:
+            new_tokens += 1
+            made.add(found[-1][3])
         symbols = symbols.select("freq", tx.merged_symbols(F.col("s"), F.lit(best["left"]), F.lit(best["right"])).alias("s")).where("size(s) > 1")
         if len(found) % write_every == 0:
             symbols = written(symbols)
@@ -115,10 +131,11 @@ class Tokenizer:
 
     @classmethod
     def of(cls, base: DataFrame, merges: DataFrame) -> Tokenizer:
+        """Every merge takes the next id; a token made twice has the id of its last merge, a pair merged twice its last rank."""
         vocab = {r["token"]: r["id"] for r in base.collect()}
         rows = sorted(merges.collect(), key=lambda r: r["rank"])
-        for r in rows:
-            vocab.setdefault(r["result"], len(vocab))
+        for i, r in enumerate(rows, max(vocab.values(), default=-1) + 1):
+            vocab[r["result"]] = i
         return cls({(r["left"], r["right"]): r["rank"] for r in rows}, vocab)
 
     def pieces(self, word: str) -> list[str]:
@@ -171,11 +188,19 @@ def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return docs.withColumn("ids", word_ids(tokenizer)(tx.pretokens(F.col("text"))))
 
 
+def _joined(tokenizer: Tokenizer):
+    names = {i: t for t, i in tokenizer.vocab.items() if t not in SILENT}
+
+    @F.arrow_udf("string")
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "".join(names.get(i, "") for i in x) for x in ids.to_pylist()], pa.string())
+
+    return run
+
+
 def decoded(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """``docs(ids)`` with ``decoded``: unknown and silent ids go."""
-    names = F.create_map(*[F.lit(x) for t, i in tokenizer.vocab.items() if t not in SILENT for x in (i, t)])
-    parts = F.filter(F.transform("ids", lambda i: F.try_element_at(names, i)), lambda t: t.isNotNull())
-    return docs.withColumn("decoded", F.replace(F.array_join(parts, ""), F.lit(tx.MARK), F.lit(" ")))
+    return docs.withColumn("decoded", F.replace(_joined(tokenizer)(F.col("ids")), F.lit(tx.MARK), F.lit(" ")))
 
 
 def _sized(tokenizer: Tokenizer):

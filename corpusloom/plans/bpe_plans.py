@@ -6,21 +6,28 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import bpe, counts
+from corpusloom.sources.shared import written
 from corpusloom.sources.tables import table
 
-MERGES = 300
+#: Tokens that training aims at, special ones and the alphabet counted: the reference's default.
+VOCABULARY = 10_000
 
 
-def _trained(spark, sf_dir):
+def _learned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    words = counts.weighted_frequencies(docs)
-    merges = bpe.train(words, MERGES)
-    return docs, merges, bpe.Tokenizer.of(counts.base_vocabulary(words), merges)
+    words = written(counts.weighted_frequencies(docs))
+    base = written(counts.base_vocabulary(words))
+    merges = bpe.train(words, max(0, VOCABULARY - base.count()), known=tuple(counts.SPECIALS))
+    return docs, base, merges
+
+
+def _trained(spark, sf_dir):
+    docs, base, merges = _learned(spark, sf_dir)
+    return docs, merges, bpe.Tokenizer.of(base, merges)
 
 
 def bpe_merges(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return bpe.train(counts.weighted_frequencies(docs), MERGES)
+    return _learned(spark, sf_dir)[2]
 
 
 def bpe_vocabulary(spark, sf_dir):

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import minhash
+from corpusloom.operators.components import components
+from corpusloom.sources.shared import written
 from corpusloom.sources.tables import table
 
 STOP = {"en": ("the", "and", "of"), "de": ("der", "und", "die"), "fr": ("le", "et", "la"), "es": ("el", "que", "y")}
@@ -73,7 +76,7 @@ def line_dedup(spark, sf_dir):
 
 
 def minhash_pairs(spark, sf_dir):
-    """Near-duplicate pairs by MinHash bands, verified by the Jaccard index of their shingles of five words."""
+    """Near-duplicate pairs by MinHash bands, verified by the Jaccard index of their shingles of five words, with their components."""
     docs = _docs(spark, sf_dir)
     shingled = near_shingles(docs)
     return minhash_candidates(shingled)
@@ -86,16 +89,36 @@ def near_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("doc_id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))).alias("s"))
 
 
-def minhash_candidates(shingled: DataFrame, bands: int = 16, rows: int = 3, threshold: float = 0.7) -> DataFrame:
-    """(a, b, jaccard): each band's bucket links its documents to the least of them, so a bucket's pairs grow with its size only."""
-    least = lambda i: F.array_min(F.transform("s", lambda h: F.xxhash64(h, F.lit(i))))
-    keys = F.array(*[F.xxhash64(F.lit(b), *(least(b * rows + r) for r in range(rows))) for b in range(bands)])
-    banded = shingled.select("doc_id", F.explode(keys).alias("key"))
-    first = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = banded.join(first, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    both = pairs.join(shingled.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", F.round(same / (F.size("sa") + F.size("sb") - same), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+def minhash_candidates(shingled: DataFrame, bands: int = 16, rows: int = 3, threshold: float = 0.7, block: int = 1000) -> DataFrame:
+    """(a, b, jaccard, comp): all pairs that share a band's bucket and reach the threshold, with the least id of their component.
+
+    Equal shingle sets are compared once, as one, and their documents' pairs are put back at the end. A bucket is
+    joined with itself in blocks of about ``block`` sets, so that none is one task's work.
+    """
+    signed = written(shingled.where("doc_id IS NOT NULL").select("doc_id", "s", minhash.signed(bands, rows)(F.col("s")).alias("k")).select("doc_id", "s", "k.keys", "k.content"))
+    members = signed.select("content", "doc_id").distinct()
+    sets = written(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("s").alias("s"), F.first("keys").alias("keys")))
+    banded = sets.select("content", F.size("s").alias("n"), F.explode("keys").alias("key"))
+    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / block).alias("parts"))
+    cells = banded.join(full, "key").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cells = cells.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "content", "n")
+    right = cells.select("key", "lo", "hi", F.col("part").alias("part2"), F.col("content").alias("y"), F.col("n").alias("n2"))
+    # an index is at most the smaller set over the larger one; the rounding below is allowed for
+    may = (F.least("n", "n2") >= (threshold - 1e-6) * F.greatest("n", "n2")) & (F.col("content") < F.col("y")) & ((F.col("part") != F.col("part2")) | (F.col("lo") == F.col("hi")))
+    pairs = cells.join(right, ["key", "lo", "hi"]).where(may).select(F.col("content").alias("x"), "y").distinct()
+    side = lambda c: sets.select(F.col("content").alias(c), F.col("s").alias(f"s{c}"))
+    same = F.size(F.array_intersect("sx", "sy"))
+    near = written(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", F.round(same / (F.size("sx") + F.size("sy") - same), 6).alias("jaccard")).where(F.col("jaccard") >= threshold))
+    of = lambda c, k: members.select(F.col("content").alias(c), F.col("doc_id").alias(k))
+    between = near.join(of("x", "p"), "x").join(of("y", "q"), "y").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
+    copies = of("x", "a").join(of("x", "b"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    # a document of several rows may have more than one index with another
+    found = between.unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    least = sets.select("content", "id")
+    stars = least.join(members, "content").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    links = near.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y").select("a", "b")
+    comps = components(links.unionByName(stars))
+    return found.join(comps.select(F.col("node").alias("a"), "comp"), "a").select("a", "b", "jaccard", "comp")
 
 
 def benchmark_overlap(spark, sf_dir):

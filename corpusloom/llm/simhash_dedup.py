@@ -2,8 +2,10 @@
 
 Each text becomes a 256-bit SimHash of its distinct words. Equal fingerprints collapse first. Every table
 groups the rest by a few sampled coordinates (more of them as the corpus grows, so a bucket keeps its
-expected size); a bucket above ``cap`` is divided by additional bits until its parts fit. All pairs of a
-bucket are verified by Hamming distance, and groups are the connected components of the verified pairs.
+expected size); their number gives that of the tables, by which a pair at the threshold is found with
+probability ``RECALL`` at any size. A bucket above ``cap`` is divided by additional bits until its parts fit, again
+and again by other bits until such a pair has stayed together with probability ``TOGETHER``, or compared whole where
+that is less work. All pairs of a bucket are verified by Hamming distance, and groups are the connected components of the verified pairs.
 
 Defined results: a null text or a null doc_id takes no part (the row stays, in no group). A text without
 words, empty ones included, is fingerprinted by its exact characters, so only exact copies of it match.
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, quoted, read_table, without, written
+from corpusloom.llm.common import components, quoted, read_table, union_find, without, written
 from corpusloom.llm.words import as_texts, chunks, mix, text_hash, words
 
 WORDS = 4
 BITS = 64 * WORDS
 FP = [f"f{i}" for i in range(WORDS)]
+RECALL, TOGETHER = 0.9, 0.95
 _LANE = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(WORDS)]
 
 
@@ -81,9 +84,20 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
 
 
-def sampled_bits(n: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each table the sampled coordinates, and a full order of the others to divide buckets by."""
-    k = int(min(40, max(6, round(math.log2(max(n, 2))) - 4)))
+def times(p: float, recall: float) -> int:
+    """Independent trials of which one succeeds with probability ``recall``, each with ``p``."""
+    return 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log1p(-p)) if p > 1e-12 else 1 << 60
+
+
+def agreement(k: int, threshold: int, known: int = 0) -> float:
+    """Probability that a pair at ``threshold`` agrees in ``k`` coordinates, drawn from those besides ``known`` equal ones."""
+    return math.prod(max(0, BITS - threshold - i) / max(1, BITS - i) for i in range(known, known + k))
+
+
+def sampled_bits(n: int, tables: int, seed: int, threshold: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """For each table the sampled coordinates, and a full order of the others to divide buckets by; ``tables`` at least."""
+    k = int(min(40, max(6, round(math.log2(max(n, 2))) - 8)))
+    tables = max(tables, times(TOGETHER * agreement(k, threshold), RECALL))
     rng = np.random.default_rng(seed)
     orders = np.array([rng.permutation(BITS) for _ in range(tables)])
     return orders[:, :k], orders[:, k:]
@@ -106,14 +120,14 @@ def _keys(bits: np.ndarray):
     return run
 
 
-def _divided(run: np.ndarray, fp: np.ndarray, key: np.ndarray, more: np.ndarray, cap: int, tables: int) -> np.ndarray:
-    """New run numbers, in which runs above ``cap`` are divided by additional bits until each part fits."""
-    used = np.zeros(len(run), np.int64)
+def _divided(run: np.ndarray, fp: np.ndarray, key: np.ndarray, more: np.ndarray, cap: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """New run numbers, in which runs above ``cap`` are divided by additional bits until each part fits; and by how many bits that differ."""
+    used, told = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
     while True:
         size = np.bincount(run)
         big = (size > cap)[run] & (used < more.shape[1])
         if not big.any():
-            return run
+            return run, told
         at = np.flatnonzero(big)
         extra = np.maximum(1, np.ceil(np.log2(size[run[at]] / cap))).astype(np.int64)
         part = np.zeros(len(at), np.int64)
@@ -121,18 +135,53 @@ def _divided(run: np.ndarray, fp: np.ndarray, key: np.ndarray, more: np.ndarray,
         for j in range(int(min(extra.max(), 16))):
             use = (extra > j) & (used[at] + j < more.shape[1])
             bit = more[table, np.minimum(used[at] + j, more.shape[1] - 1)]
-            part |= np.where(use, (fp[at, bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << j, 0)
+            one = np.where(use, (fp[at, bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64), 0)
+            ones = np.bincount(run[at], one, len(size))
+            told[at] += ((ones > 0) & (ones < size))[run[at]]
+            part |= one << j
         used[at] += np.minimum(extra, 16)
         new = run.astype(np.int64) << 17
         new[at] |= part + 1
         run = np.unique(new, return_inverse=True)[1]
 
 
+def _joined(doc: np.ndarray, fp: np.ndarray, key: np.ndarray, run: np.ndarray, more: np.ndarray, cap: int, tables: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the near pairs of each run; runs above ``cap`` in repeated divisions, or whole."""
+    a, b = [], []
+
+    def take(at: np.ndarray, parts: np.ndarray) -> None:
+        x, y = _verified(doc[at], fp[at], parts, threshold)
+        a.append(x)
+        b.append(y)
+
+    size = np.bincount(run)
+    take(at := np.flatnonzero(size[run] <= cap), run[at])
+    at = np.flatnonzero(size[run] > cap)
+    done, orders = np.zeros(len(size), np.int64), np.random.default_rng(len(more))
+    # repetitions still due: of each run by the bits its parts of the first division have taken
+    due = None
+    while len(at):
+        parts, told = _divided(np.unique(run[at], return_inverse=True)[1], fp[at], key[at], more, cap, tables)
+        bits = np.zeros(len(size), np.int64)
+        np.maximum.at(bits, run[at], told)
+        if due is None:
+            due = np.array([times(agreement(e, threshold, BITS - more.shape[1]), TOGETHER) for e in range(int(bits.max()) + 1)])[bits]
+            whole = (due >= size / cap)[run[at]]
+            take(at[whole], run[at[whole]])
+            at, parts = at[~whole], parts[~whole]
+        if len(at):
+            take(at, parts)
+        done[run[at]] += 1
+        at = at[(done < due)[run[at]]]
+        more = orders.permuted(more, axis=1)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _verified(doc: np.ndarray, fp: np.ndarray, run: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (later, earlier row) of equal run whose distance is within the threshold, one link a row and step."""
     order = np.argsort(run, kind="stable")
     doc, fp, run = doc[order], fp[order], run[order]
-    a, b, at, d = [], [], np.arange(len(run)), 1
+    a, b, at, d, n = [], [], np.arange(len(run)), 1, 0
     lane = [np.ascontiguousarray(fp[:, i]) for i in range(WORDS)]
     while True:
         at = at[at < len(run) - d]
@@ -147,20 +196,22 @@ def _verified(doc: np.ndarray, fp: np.ndarray, run: np.ndarray, threshold: int)
             x, y, near = x[keep], y[keep], near[keep]
         a.append(doc[x])
         b.append(doc[y])
+        n += len(x)
+        if n > 1 << 21:  # stars hold the same links
+            p, q = union_find(np.concatenate(a), np.concatenate(b))
+            a, b, n = [p[p != q]], [q[p != q]], 0
         d += 1
     cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
     return cat(a), cat(b)
 
 
 def _pairs(more: np.ndarray, tables: int, threshold: int, cap: int, rows: int = 100_000):
-    from corpusloom.llm.common import union_find
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
             key, doc = t["key"].to_numpy(), t["doc_id"].to_numpy()
             fp = np.stack([t[f].to_numpy().view(np.uint64) for f in FP], axis=1)
             runs = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-            a, b = _verified(doc, fp, _divided(runs, fp, key, more, cap, tables), threshold)
+            a, b = _joined(doc, fp, key, runs, more, cap, tables, threshold)
             if len(a):  # a star for each component holds the same links in fewer rows
                 a, b = union_find(a, b)
                 a, b = a[a != b], b[a != b]
@@ -190,13 +241,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 40, tables: int = 24, cap:
     """(rep_id, doc_id): every document of a near-duplicate group other than its representative.
 
     :param threshold: the greatest Hamming distance, of 256 bits, of a pair
-    :param tables: independent bit samples; more of them find more of the pairs near the threshold
+    :param tables: least number of independent bit samples; there are more where the corpus' size asks for them
     :param cap: rows of a bucket from which on it is divided by additional bits
     """
     fps = written(fingerprints(docs))
     reps = written(fps.groupBy(*FP).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     n = reps.count()
-    bits, more = sampled_bits(n, tables, seed)
+    bits, more = sampled_bits(n, tables, seed, threshold)
     hot = reps.where("n > 1").select(F.col("doc_id").alias("b"), *FP)
     same = fps.join(hot, FP).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     schema = "doc_id bigint, " + ", ".join(f"{f} bigint" for f in FP)
@@ -207,7 +258,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 40, tables: int = 24, cap:
         .repartition("key")
         .sortWithinPartitions("key")
     )
-    near = buckets.mapInArrow(_pairs(more, tables, threshold, cap), "a bigint, b bigint")
+    near = buckets.mapInArrow(_pairs(more, len(bits), threshold, cap), "a bigint, b bigint")
     return (
         components(same.union(near))
         .where("node <> comp")

@@ -9,8 +9,8 @@ from that of several weak ones together.
 
 Labelled documents add terms of their own: words that occur in a ``RATIO`` times greater share of toxic than of
 clean documents, near-duplicates counted once. These are matched exactly, and prove something only by their
-number: a document's hits, those in quotations counted less, are held against the rates at which toxic and clean
-documents use such terms, and the posterior must reach ``SURE``.
+number: the hits of a passage of ``PASSAGE`` words, or of the whole text, those in quotations counted less, are held
+against the rates at which toxic and clean documents use such terms, and the posterior must reach ``SURE``.
 
 Defined results: null and empty texts have no hits. A null doc_id is reported as null. Repeated rows are
 reported each. Of two terms equally near a word the one with the greater weight, then the first in
@@ -25,11 +25,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table, written
@@ -61,6 +62,10 @@ TRAIN_ROWS = 20_000
 TERM_DOCS = 5
 RATIO = 8.0
 SURE = 0.9
+#: Words of a passage that learned terms are counted in.
+PASSAGE = 256
+#: Different contexts that show a form to be an ordinary word, and the share of them with abuse that a misspelling has.
+ORDINARY_CONTEXTS, ORDINARY_ABUSE = 8, 0.2
 _CLASSES = 29
 _KIND = np.full(256, 26, np.uint8)
 _KIND[97:123] = np.arange(26)
@@ -202,8 +207,8 @@ def nearest(word: str, lexicon: dict[str, float]) -> tuple[str, int] | None:
     return best and (best[2], best[0])
 
 
-def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict, exact: frozenset = frozenset()) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, term, edits, score) of the words with these numbers that are near a term or in ``exact``."""
+def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict, exact: frozenset = frozenset()) -> list[tuple[int, int, str, int, float, int, bool, int]]:
+    """(start, end, term, edits, score, word number, whether abuse is around it, hash of the words around it) of the words with these numbers that are near a term or in ``exact``."""
     spans = [m.span() for m in _WORD.finditer(text)]
     out = []
     for k in numbers:
@@ -225,13 +230,15 @@ def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict,
             score *= 0.6
         if around & _ADDRESS:
             score *= 1.3
-        out.append((a, b, term, d, round(score, 4)))
+        abuse = any(w in _ADDRESS or w in exact or w in lexicon for w in around)
+        context = " ".join(text[x:y].lower() for x, y in spans[max(0, k - 3) : k + 4])
+        out.append((a, b, term, d, round(score, 4), k, abuse, int.from_bytes(blake2b(context.encode(), digest_size=8).digest(), "little", signed=True)))
     return out
 
 
 HITS = "array<struct<start:int,end:int,term:string,edits:int,score:double>>"
-_SCAN = "uid bigint, doc_id bigint, words bigint, start int, end int, form string, term string, edits int, score double"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+_SCAN = "uid bigint, doc_id bigint, words bigint, start int, end int, form string, term string, edits int, score double, at bigint, abuse boolean, context bigint"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.bool_(), pa.int64()]
 
 
 @dataclass
@@ -304,8 +311,9 @@ def _scan(lexicon: dict[str, float], nxt: np.ndarray, final: np.ndarray, exact:
 def toxic(docs: DataFrame, labels: DataFrame | None = None, lexicon: dict[str, float] | None = None, threshold: float = 0.4, **learning) -> DataFrame:
     """(doc_id, score, hits) of the toxic rows. The texts are read once; only hits are shuffled.
 
-    A form that isn't a term itself counts as an ordinary word, and not as a misspelling, where it is in more
-    documents than the right spelling, all documents counted; one document alone never makes it ordinary.
+    A form that isn't a term itself counts as an ordinary word, and not as a misspelling, where it stands in
+    ``ORDINARY_CONTEXTS`` different contexts of three words on each side, so that copies and near-copies count once, and
+    a share below ``ORDINARY_ABUSE`` of them has an address, a term or a learned term within :data:`WINDOW` words.
 
     :param labels: labels to learn terms from (:func:`learn`)
     :param lexicon: terms in lower case with their weights, 1 for the worst
@@ -318,13 +326,16 @@ def toxic(docs: DataFrame, labels: DataFrame | None = None, lexicon: dict[str, f
         return rows.where("false").select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast(HITS).alias("hits"))
     nxt, final = automaton(tuple(sorted(lexicon)), tuple(sorted(own)))
     hits = written(rows.where("text IS NOT NULL").mapInArrow(_scan(dict(lexicon), nxt, final, own), _SCAN))
-    seen = hits.select("uid", "form", "term", "edits").distinct().groupBy("form", "term", "edits").agg(F.count("*").alias("n"))
-    right = seen.where("edits = 0").select("term", F.col("n").alias("m"))
-    ordinary = seen.where("edits > 0").join(right, "term", "left").where("n > greatest(coalesce(m, 0), 1)").select("form")
+    seen = hits.where("edits > 0").select("form", "context", "abuse").distinct()
+    ordinary = seen.groupBy("form").agg(F.count("*").alias("n"), F.avg(F.col("abuse").cast("int")).alias("share")).where((F.col("n") >= ORDINARY_CONTEXTS) & (F.col("share") < ORDINARY_ABUSE)).select("form")
     in_lexicon = F.col("term").isin(sorted(lexicon)) if lexicon else F.lit(False)
     near = hits.join(ordinary, "form", "left_anti").withColumn("worst", F.when(in_lexicon, F.col("score")).otherwise(0.0))
     odds = math.log(known.prior / (1 - known.prior)) if own else 0.0
-    proof = F.sum(F.least(F.lit(1.0), "score")) * math.log(known.toxic_rate / known.clean_rate) - F.max("words") * (known.toxic_rate - known.clean_rate)
+    # a passage is judged by itself, so that the text around it can't clear it; a text below its length is one passage
+    passage = Window.partitionBy("uid").orderBy("at").rangeBetween(0, PASSAGE - 1)
+    near = near.withColumn("proof", F.sum(F.least(F.lit(1.0), "score")).over(passage))
+    ratio, gap = math.log(known.toxic_rate / known.clean_rate), known.toxic_rate - known.clean_rate
+    proof = F.greatest(F.max("proof") * ratio - F.max(F.least("words", F.lit(PASSAGE))) * gap, F.sum(F.least(F.lit(1.0), "score")) * ratio - F.max("words") * gap)
     whole = near.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.max("worst").alias("top"),
         F.round(1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.99), F.col("worst"))))), 4).alias("score"),

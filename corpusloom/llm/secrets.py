@@ -9,7 +9,8 @@ through escapes, to the encoded stretch through base64, hexadecimal and compress
 Defined results: null and empty texts have no findings. A null doc_id is reported as null. Repeated rows are
 reported each. Of overlapping findings of one layer the longest is reported, then the first; a secret found again at the same
 place through another layer is reported once, from the outermost. Data that decompresses to more than
-``max_bytes`` is reported as kind ``oversized``, with its span, instead of being scanned.
+``max_bytes`` is reported as kind ``oversized``, with its span, instead of being scanned. All members of a compressed
+stream are read; one that breaks off is scanned as far as it goes, under a layer name that ends in ``-truncated``.
 """
 
 from __future__ import annotations
@@ -53,7 +54,11 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}(?:\\u[dD][c-fC-F][0-9A-Fa-f]{2})?|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#\d{1,7};|&(?:quot|amp|lt|gt|apos|equals|colon|sol|plus|lowbar|hyphen);"
 )
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}|(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+)={0,2}(?![A-Za-z0-9+/_=])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/_=])")
+#: Base64 in lines; its lines are also tried one by one, as they may be separate.
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{40,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]+|(?:[A-Za-z0-9_-]{40,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9_-]+)={0,2}(?![A-Za-z0-9+/_=-])"
+)
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{2}){8,}(?![A-Za-z0-9])")
 #: A text without any of these has neither a secret nor anything to decode; long runs must hold a digit or both cases.
 _CLUE = (
@@ -107,39 +112,54 @@ class Oversized(Exception):
     pass
 
 
-def _inflate(data: bytes, max_bytes: int) -> tuple[str, bytes] | None:
-    """The name of the format and the content of compressed data, or None."""
+class _Zstd:
+    """One frame of zstandard data, with the interface of the other decompressors."""
 
-    def pumped(d, name: str) -> tuple[str, bytes]:
-        out = d.decompress(data, max_bytes + 1)
-        if len(out) > max_bytes:
-            raise Oversized
-        return name, out
+    def decompress(self, data: bytes, most: int) -> bytes:
+        import zstandard
 
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return pumped(zlib.decompressobj(31), "gzip")
-        if data[:1] == b"\x78" and len(data) > 6 and (data[0] << 8 | data[1]) % 31 == 0:
-            return pumped(zlib.decompressobj(15), "zlib")
-        if data[:3] == b"BZh":
-            return pumped(bz2.BZ2Decompressor(), "bzip2")
-        if data[:6] == b"\xfd7zXZ\x00":
-            return pumped(lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 28), "xz")
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
-                out = r.read(max_bytes + 1)
-            if len(out) > max_bytes:
-                raise Oversized
-            return "zstd", out
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, MemoryError):
+        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
+            if len(out := r.read(most)) == most:
+                return out
+        one = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        one.decompress(data)  # its size is known to be bounded
+        self.eof, self.unused_data = one.eof, one.unused_data
+        return out
+
+
+_FORMATS = (
+    ("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)),
+    ("zlib", b"\x78", lambda: zlib.decompressobj(15)),
+    ("bzip2", b"BZh", bz2.BZ2Decompressor),
+    ("xz", b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 28)),
+    ("zstd", b"\x28\xb5\x2f\xfd", _Zstd),
+)
+
+
+def _inflate(data: bytes, max_bytes: int) -> tuple[str, bytes] | None:
+    """The name of the format and the content of all members of compressed data, or None; a stream that breaks off says so in its name."""
+    for name, magic, make in _FORMATS:
+        if data.startswith(magic) and (name != "zlib" or len(data) > 6 and (data[0] << 8 | data[1]) % 31 == 0):
+            break
+    else:
         return None
-    except Exception as e:
-        if isinstance(e, Oversized):
+    parts, left, rest, whole = [], max_bytes + 1, data, True
+    while whole and rest.startswith(magic):
+        try:
+            d = make()
+            parts.append(d.decompress(rest, left))
+            left -= len(parts[-1])
+            if left <= 0:
+                raise Oversized
+            whole = d.eof
+            rest = d.unused_data.lstrip(b"\0")  # members may be padded
+        except Oversized:
             raise
-        return None
-    return None
+        except Exception:  # zstandard's error has no common base
+            if not parts:
+                return None
+            whole = False
+    return name if whole else f"{name}-truncated", b"".join(parts)
 
 
 def _base64(run: str) -> bytes | None:
@@ -231,7 +251,7 @@ def _unwrapped(layer: Layer, max_bytes: int) -> Iterator[Layer]:
     for name, pattern, decode in (("url", _URL, _unurl), ("unicode", _ESCAPE, _unescape)):
         if (new := _substituted(layer, name, pattern, decode)) is not None:
             yield new
-    for name, pattern in (("hex", _HEX), ("base64", _BASE64)):
+    for name, pattern in (("hex", _HEX), ("base64", _WRAPPED), ("base64", _BASE64)):
         for m in pattern.finditer(layer.text):
             run = m[0]
             if name == "base64" and (run.islower() or run.isupper() or run.isdigit()) and not re.search("[0-9+/=_-]", run):
@@ -271,7 +291,10 @@ def findings(text: str, max_bytes: int = MAX_BYTES) -> list[tuple[str, str, int,
             if key not in seen:
                 seen.add(key)
                 work.append(new)
-    return sorted(((*k, v) for k, v in out.items()), key=lambda f: (f[2], f[3], f[0], f[1]))
+    found = sorted(((*k, v) for k, v in out.items()), key=lambda f: (f[2], f[3], f[0], f[1]))
+    # the lines of wrapped data give parts of what the whole of it holds
+    long = [f for f in found if "base64" in f[4] and "\n" in text[f[2] : f[3]]]
+    return [f for f in found if not any(f is not g and f[1] != g[1] and f[1] in g[1] and g[2] <= f[2] and f[3] <= g[3] and (f[2], f[3]) != (g[2], g[3]) for g in long)]
 
 
 def _scan(max_bytes: int):

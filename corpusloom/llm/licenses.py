@@ -4,7 +4,8 @@ Segments of a text that are worded like licenses form blocks. A block is compres
 template as zstandard raw dictionary; the relative size reductions rank the templates. In that order a
 template is confirmed by the exact wording: the differing words are listed, enough of the template or of the
 block must agree, and the words that tell licenses apart (versions, nc, nd, sa, lesser, affero, ...) must be
-the same. A block that no template is confirmed for is reported as ``unknown`` with its nearest template.
+the same. A confirmed template's wording is cut out, and what is left of the block is ranked again, so that each
+license of a block is a row, with a span of its own where there are several. A block that no template is confirmed for is reported as ``unknown`` with its nearest template.
 
 Defined results: null and empty texts have no blocks. A null doc_id is reported as null. Repeated rows are
 reported each. Equal reductions rank by the template's name. Spans are [start, end) in characters.
@@ -101,6 +102,7 @@ _CLUE_PY = re.compile(_CLUE)
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?:;](?=\s+[A-Z(©\"])|(?=\n)|\Z)", re.S)
 
 
+_START = re.compile(r"[.!?;][\s\"')]|\n\s*\n")
 _PART = re.compile(r"\d+|[^\W\d_]+")
 _SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "v": "version", "ver": "version"}
 
@@ -168,44 +170,103 @@ def ranked(ws: list[str]) -> list[tuple[float, str, str, list[str]]]:
     return sorted(out, key=lambda r: (-r[0], r[1]))
 
 
-def confirmed(ws: list[str], tws: list[str]) -> tuple[bool, float, list[str], list[str]]:
-    """Whether the wording is the template's; the agreement; words added to and missing from the template."""
+def _runs(same: list, gap: int = 12) -> list[list]:
+    """Matching blocks in runs that no more than ``gap`` other words of the text part."""
+    out: list[list] = []
+    for m in same:
+        if m.size:
+            if out and m.a - out[-1][-1].a - out[-1][-1].size <= gap:
+                out[-1].append(m)
+            else:
+                out.append([m])
+    for run in out:  # ends that are farther off than they are long belong to other wording
+        while len(run) > 1 and run[-1].size <= run[-1].a - run[-2].a - run[-2].size:
+            run.pop()
+        while len(run) > 1 and run[0].size <= run[1].a - run[0].a - run[0].size:
+            run.pop(0)
+    return out
+
+
+def confirmed(ws: list[str], tws: list[str], starts: frozenset[int] = frozenset()) -> tuple[bool, float, list[str], list[str], list[tuple[int, int]]]:
+    """Whether the wording is the template's; the agreement; words added to and missing from the template; the spans of words it takes up.
+
+    ``starts`` are the words that begin a sentence or paragraph: what stands before them says nothing of what follows.
+    Where the whole of the words doesn't fit, as with two licenses in a row, their best run is looked at alone.
+    """
     match = difflib.SequenceMatcher(None, ws, tws, False)
     same = match.get_matching_blocks()
-    n = sum(m.size for m in same)
+    runs = _runs(same)
+    most = max((sum(m.size for m in r) for r in runs), default=0)
+    # single words of the template also stand elsewhere
+    taken = [(r[0].a, r[-1].a + r[-1].size) for r in runs if sum(m.size for m in r) >= max(4, most / 4) or sum(m.size for m in r) == most]
     ops = match.get_opcodes()
     added = [w for tag, a, b, _, _ in ops if tag in ("delete", "replace") for w in ws[a:b]]
     missing = [w for tag, _, _, a, b in ops if tag in ("insert", "replace") for w in tws[a:b]]
-    of_template, of_block = n / max(1, len(tws)), n / max(1, len(ws))
+
+    def fits(n: int, lo: int, hi: int, size: int, margin: int) -> tuple[bool, float]:
+        of_template, of_block = n / max(1, len(tws)), n / max(1, size)
+        for _ in range(margin):
+            lo, hi = lo - (lo > 0 and lo not in starts), hi + (hi not in starts)
+        tells = _telling(ws, lo, hi - lo)
+        agree = tells == _telling(tws, 0, len(tws)) or of_template < 0.9 and tells <= _telling(tws, 0, len(tws)) and n >= 20
+        ok = agree and (of_template >= 0.85 or of_block >= 0.9 and n >= 12 or of_template >= 0.6 and of_block >= 0.6 and n >= 4)
+        return ok, round(max(of_template, of_block), 4)
+
+    n = sum(m.size for m in same)
     lo = min((m.a for m in same if m.size), default=0)
     hi = max((m.a + m.size for m in same if m.size), default=0)
-    lo, hi = max(0, lo - 2), hi + 2
-    tells = _telling(ws, lo, hi - lo)
-    agree = tells == _telling(tws, 0, len(tws)) or of_template < 0.9 and tells <= _telling(tws, 0, len(tws)) and n >= 20
-    ok = agree and (of_template >= 0.85 or of_block >= 0.9 and n >= 12 or of_template >= 0.6 and of_block >= 0.6 and n >= 4)
-    return ok, round(max(of_template, of_block), 4), added, missing
+    ok, agreement = fits(n, lo, hi, len(ws), 2)
+    if not ok and len(runs) > 1:
+        best = max(runs, key=lambda r: sum(m.size for m in r))
+        k, lo, hi = sum(m.size for m in best), best[0].a, best[-1].a + best[-1].size
+        if k >= 0.85 * len(tws) and fits(k, lo, hi, len(ws), 2)[0]:
+            ok, agreement, taken = True, fits(k, lo, hi, len(ws), 2)[1], [(lo, hi)]
+            added = []
+            missing = []
+            for tag, a, b, c, d in difflib.SequenceMatcher(None, ws[lo:hi], tws, False).get_opcodes():
+                added += ws[lo + a : lo + b] if tag in ("delete", "replace") else []
+                missing += tws[c:d] if tag in ("insert", "replace") else []
+    return ok, agreement, added, missing, taken
 
 
 def findings(text: str) -> list[tuple]:
-    """(start, end, license, template, reduction, agreement, added, missing) of each block."""
+    """(start, end, license, template, reduction, agreement, added, missing) of each license of each block.
+
+    What a confirmed template takes up is cut out, and the pieces left are ranked again until none is confirmed.
+    """
     out = []
     for a, b in blocks(text):
-        ws = word_list(text[a:b])
+        spans = [m.span() for m in _PART.finditer(text, a, b)]
+        ws = [_SAME.get(w, w) for w in (text[x:y].lower() for x, y in spans)]
         order = ranked(ws)
         if order[0][0] < 0.2:  # no template's wording is in it
             continue
-        chosen = None
-        for reduction, key, name, tws in order:
-            if reduction < 0.3 * order[0][0]:  # what compresses so much worse isn't worded like the block
-                break
-            wording = confirmed(ws, tws)
-            if wording[0]:
-                chosen = (a, b, name, key, reduction, *wording[1:])
+        starts = {k for k in range(1, len(spans)) if _START.search(text, spans[k - 1][1], spans[k][0])}
+        found: dict[str, tuple] = {}
+        pieces = [(0, len(ws), order)]
+        while pieces:
+            lo, hi, order = pieces.pop()
+            part = ws[lo:hi]
+            order = ranked(part) if order is None else order
+            for reduction, key, name, tws in order:
+                if reduction < max(0.2, 0.3 * order[0][0]):  # what compresses so much worse isn't worded like the piece
+                    break
+                ok, *wording, taken = confirmed(part, tws, frozenset(k - lo for k in starts))
+                if not ok:
+                    continue
+                if name not in found:
+                    found[name] = (spans[lo + taken[0][0]][0], spans[lo + taken[-1][1] - 1][1], name, key, reduction, *wording)
+                ends = [0, *(x for t in taken for x in t), len(part)]
+                for x, y in zip(ends[::2], ends[1::2]):
+                    if y - x >= 3 and _CLUE_PY.search(text, spans[lo + x][0], spans[lo + y - 1][1]):
+                        pieces.append((lo + x, lo + y, None))
                 break
-        if chosen is None:
-            reduction, key, _, tws = order[0]
-            chosen = (a, b, "unknown", key, reduction, *confirmed(ws, tws)[1:])
-        out.append(chosen)
+        if not found:
+            reduction, key, _, tws = ranked(ws)[0]
+            found["unknown"] = (a, b, "unknown", key, reduction, *confirmed(ws, tws, frozenset(starts))[1:4])
+        if len(found) == 1:
+            found = {k: (a, b, *f[2:]) for k, f in found.items()}
+        out += sorted(found.values())
     return out
 
 

@@ -28,6 +28,8 @@ from corpusloom.llm.common import BROADCAST_IDS, read_table, written
 BUCKET = 20_000
 #: Share of tokens is taken to this power for the default targets: 1 keeps the sources' proportions, 0 evens them out.
 TEMPERATURE = 0.5
+#: Share of the input's tokens that the default sample has.
+BUDGET = 0.7
 _EPS = 1e-9
 
 
@@ -121,10 +123,24 @@ _COLUMNS = ["doc_id", "source", "n_tokens", "pi", "h", "p"]
 _SCHEMA = "doc_id bigint, source string, n_tokens bigint, pi double, h bigint, p double"
 
 
+def _filled(rows: DataFrame, tokens: float) -> float:
+    """The scale at which ``least(t, scale * w)`` sums up to ``tokens``: whole sources are set aside until no more turn up."""
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("t") <= scale * F.col("w")
+        r = rows.where("w IS NOT NULL").agg(F.sum(full.cast("bigint")).alias("whole"), F.sum(F.when(full, F.col("t"))).alias("t"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if not r["w"]:  # all are whole, or there are none
+            return scale
+        if r["whole"] == whole:
+            return scale
+        whole, scale = r["whole"], max(scale, (tokens - (r["t"] or 0.0)) / r["w"])
+
+
 def probabilities(units: DataFrame, weights: dict[str, float] | None = None, tokens: float | None = None) -> DataFrame:
     """(source, pi, n): inclusion probabilities that bring each source's tokens to its target share.
 
-    Without ``tokens``, the total is the largest that needs no document twice.
+    Without ``tokens``, given weights get the largest total that needs no document twice, and the default ones ``BUDGET`` of
+    the input's tokens. A source that has less than its share of a total is kept whole, and the others share what is left.
     """
     rows = units.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("t"), F.count("*").alias("n"))
     if weights is None:
@@ -133,8 +149,9 @@ def probabilities(units: DataFrame, weights: dict[str, float] | None = None, tok
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else None
         rows = rows.withColumn("w", F.when((F.col("t") > 0) & (F.element_at(given, F.coalesce("source", F.lit(""))) > 0), F.element_at(given, F.coalesce("source", F.lit(""))))) if weights else rows.withColumn("w", F.lit(None).cast("double"))
     rows = written(rows)
-    best = rows.agg(F.min(F.col("t") / F.col("w")).alias("c"), F.sum("w").alias("w")).first()
-    scale = 0.0 if best["c"] is None else best["c"] if tokens is None else tokens / best["w"]
+    if weights is None and tokens is None:
+        tokens = BUDGET * (rows.agg(F.sum("t")).first()[0] or 0.0)
+    scale = _filled(rows, tokens) if tokens is not None else rows.agg(F.min(F.col("t") / F.col("w"))).first()[0] or 0.0
     none = 1.0 if weights is None else 0.0
     pi = F.when(F.col("w").isNull(), F.lit(none)).otherwise(F.least(F.lit(1.0), F.lit(scale) * F.col("w") / F.col("t")))
     return rows.select("source", pi.alias("pi"), "n")
@@ -146,7 +163,7 @@ def decisions(
     """(doc_id, source, n_tokens, pi, p): p is 1 for the documents of the sample and 0 for the others.
 
     :param weights: target share of each source's tokens; by default its tokens to the power ``TEMPERATURE``
-    :param tokens: expected tokens of the sample
+    :param tokens: expected tokens of the sample; see :func:`probabilities`
     """
     units = written(
         docs.select(

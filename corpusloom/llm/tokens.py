@@ -1,7 +1,7 @@
 """Token ids in binary shards, compressed by Re-Pair.
 
 Texts are encoded with a public byte-level vocabulary. A shard is about ``shard_tokens`` tokens of one input
-partition. In it, pairs of ids that occur at least ``min_count`` times are replaced by nonterminals, all
+partition. In it, pairs of ids that occur often enough to pay for their rule are replaced by nonterminals, all
 frequent pairs of a round at once, until no pair is frequent. Pairs never cross documents, so each document
 is a string of codes of its own, and a row of its own; each shard's rules, with the length of each one's
 expansion, are one more row. Any range of a document's tokens is decoded without expanding what precedes it.
@@ -35,8 +35,8 @@ from corpusloom.llm.words import as_texts, mix, text_buffer
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_TOKENS = 1 << 20
-#: Occurrences in a shard from which a pair is frequent.
-MIN_COUNT = 64
+#: Bytes of a rule, and the occurrences by which the rounds begin: the most frequent pairs get their codes first.
+RULE_BYTES, FIRST_COUNT = 12, 64
 LONG = 1000
 SCHEMA = "shard string, doc_id bigint, n_tokens bigint, width int, codes binary, rules binary, lengths binary"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -271,17 +271,19 @@ class Encoder:
             i = j
 
 
-def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sequence in codes, the rules (n, 2) and the expansion lengths. Negative ids part documents.
 
     Each round counts hashed pairs, takes the exact counts of those in frequent buckets, and replaces every
     frequent pair; of overlapping occurrences in a run every other one is taken. After a round only pairs with
-    a new symbol can have become frequent; when none is left, all are counted once more.
+    a new symbol can have become frequent; when none is left, all are counted once more. What is frequent goes
+    from ``FIRST_COUNT`` down to ``min_count`` by halves. There are ``most`` rules at most.
     """
+    now = max(min_count, FIRST_COUNT)
     rules: list[np.ndarray] = []
     n_rules, fresh = 0, 0  # pairs without a symbol from ``fresh`` on were counted before
     seq = seq.astype(np.int32)
-    while len(seq) > 1:
+    while len(seq) > 1 and n_rules < most:
         a, b = seq[:-1], seq[1:]
         if fresh:
             new = seq >= fresh
@@ -291,14 +293,14 @@ def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18) -
         slot ^= b.astype(np.uint32) * np.uint32(0x85EBCA77)
         slot ^= slot >> np.uint32(15)
         slot = (slot & np.uint32(buckets - 1)).astype(np.int64)
-        hot = np.flatnonzero((np.bincount(slot, minlength=buckets) >= min_count)[slot])
+        hot = np.flatnonzero((np.bincount(slot, minlength=buckets) >= now)[slot])
         a, b = a[hot], b[hot]
         at = at[hot] if fresh else hot
         if not fresh:
             within = np.minimum(a, b) >= 0
             at, a, b = at[within], a[within], b[within]
         pair, which, count = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True, return_counts=True)
-        use = count >= min_count
+        use = count >= now
         if use.any():
             keep = use[which]
             at, which = at[keep], which[keep]
@@ -307,14 +309,19 @@ def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18) -
             take = (at - at[first]) % 2 == 0
             at, which = at[take], which[take]
             done = np.bincount(which, minlength=len(pair))
-            use &= done >= 2
+            use &= done >= min(now, max(2, min_count))
         if not use.any():
             if not fresh:
-                break
+                if now == min_count:
+                    break
+                now = max(min_count, now // 2)
+                continue
             fresh = 0  # overlaps may have left old pairs frequent: all are counted again
             continue
         order = np.flatnonzero(use)
-        order = order[np.lexsort((pair[order], -done[order]))]
+        order = order[np.lexsort((pair[order], -done[order]))][: most - n_rules]
+        use[:] = False
+        use[order] = True
         name = np.zeros(len(pair), np.int32)
         fresh = base + n_rules
         name[order] = fresh + np.arange(len(order), dtype=np.int32)
@@ -369,7 +376,27 @@ def unpack(codes: bytes, width: int) -> np.ndarray:
     return np.frombuffer(codes, "<u2" if width == 2 else "<u4")
 
 
-def _encoded(vocabulary: str, shard_tokens: int, min_count: int):
+def repaired(seq: np.ndarray, base: int, min_count: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The result of :func:`repair` with the bytes of a code, of the two widths the one that takes less.
+
+    A pair is replaced from the count at which its rule saves more than it takes, unless ``min_count`` is given.
+    """
+    best = None
+    for width in (2, 4):
+        most = (1 << 8 * width) - base
+        if most < 0:
+            continue
+        got = (*repair(seq, base, RULE_BYTES // width + 1 if min_count is None else min_count, most=most), width)
+        size = lambda x: x[3] * len(x[0]) + RULE_BYTES * len(x[1])
+        if best is None or size(got) < size(best):
+            best = got
+        # where two bytes have room for all rules, four can't take less
+        if width == 2 and len(got[1]) < most:
+            break
+    return best
+
+
+def _encoded(vocabulary: str, shard_tokens: int, min_count: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         base = encoder.enc.n_vocab
@@ -382,8 +409,7 @@ def _encoded(vocabulary: str, shard_tokens: int, min_count: int):
             nonlocal k, ids, docs, size
             sep = np.array([-1], np.int32)
             whole = [x for d in docs if d is not None for x in (d, sep)]
-            seq, rules, lengths = repair(np.concatenate(whole) if whole else sep, base, min_count)
-            width = 2 if base + len(rules) <= 1 << 16 else 4
+            seq, rules, lengths, width = repaired(np.concatenate(whole) if whole else sep, base, min_count)
             cut = np.flatnonzero(seq < 0)
             packed = seq.astype("<u2" if width == 2 else "<u4").tobytes()
             codes, at, j = [], 0, 0
@@ -419,7 +445,7 @@ def _encoded(vocabulary: str, shard_tokens: int, min_count: int):
     return run
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, min_count: int | None = None) -> DataFrame:
     """``docs`` as rows of :data:`SCHEMA`. One pass over the input partitions, no shuffle."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encoded(vocabulary, shard_tokens, min_count), SCHEMA)

@@ -1,16 +1,17 @@
 """Toxic terms by Levenshtein automata intersected with the lexicon's trie, scored in their context.
 
-The automata of all terms are walked along the trie at once and made deterministic, so every word of a text
-costs a table look-up a letter, whatever the lexicon's size. Edits are insertions, deletions, substitutions
+Each distinct word's automaton is walked along the trie of all terms, for many words at once, so a word costs as much as there are
+nodes near it, whatever the lexicon's size. Edits are insertions, deletions, substitutions
 and swaps of neighbours; short terms allow none, middle ones one, long ones two, and the first letter must be
 right. A hit's score is the term's weight, less for misspellings, less again where the words around it report
 or quote it, more where they address someone. A document is toxic from the score ``threshold`` of one hit, or
 from that of several weak ones together.
 
 Labelled documents add terms of their own: words that occur in a ``RATIO`` times greater share of toxic than of
-clean documents, near-duplicates counted once. These are matched exactly, and prove something only by their
-number: the hits of a passage of ``PASSAGE`` words, or of the whole text, those in quotations counted less, are held
-against the rates at which toxic and clean documents use such terms, and the posterior must reach ``SURE``.
+clean documents, near-duplicates counted once. They stand in the trie with the same tolerance, and prove something only by their
+number: the hits of a passage of ``PASSAGE`` words, or of the whole text, those in quotations or misspelled counted less, are held
+against the rates at which toxic and clean documents use such terms, and the posterior must reach ``SURE``. Forms near a
+term that clean labelled documents use are ordinary words.
 
 Defined results: null and empty texts have no hits. A null doc_id is reported as null. Repeated rows are
 reported each. Of two terms equally near a word the one with the greater weight, then the first in
@@ -24,7 +25,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -66,11 +66,8 @@ SURE = 0.9
 PASSAGE = 256
 #: Different contexts that show a form to be an ordinary word, and the share of them with abuse that a misspelling has.
 ORDINARY_CONTEXTS, ORDINARY_ABUSE = 8, 0.2
-_CLASSES = 29
-_KIND = np.full(256, 26, np.uint8)
-_KIND[97:123] = np.arange(26)
-_KIND[0xC0:] = 27
-_KIND[0x80:0xC0] = 28  # continuation bytes change nothing
+#: Words whose terms a task remembers, by a part of their hash (a power of 2).
+_CACHE = 20
 
 
 def allowed(term: str) -> int:
@@ -91,88 +88,149 @@ def edits(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-def _letters(term: str) -> list[int]:
-    return [int(_KIND[ord(c)]) if ord(c) < 128 else 27 for c in term]
-
-
-@lru_cache(4)
-def automaton(terms: tuple[str, ...], exact: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """(next, final): the state after each letter class, and whether a term is within its edits. State 0 is dead, 1 starts."""
-    spelled = [_letters(t) for t in (*terms, *exact)]
-    most = [*map(allowed, terms), *[0] * len(exact)]
-    terms = (*terms, *exact)
-
-    def closed(states: set) -> frozenset:
-        """With deletions, and without states that another makes useless."""
-        todo, seen = list(states), set(states)
-        while todo:
-            k, i, e, swap = todo.pop()
-            if not swap and i < len(spelled[k]) and e < most[k] and i > 0 and (k, i + 1, e + 1, False) not in seen:
-                seen.add(x := (k, i + 1, e + 1, False))
-                todo.append(x)
-        least: dict = {}
-        for k, i, e, swap in seen:
-            least[k, i, swap] = min(e, least.get((k, i, swap), 9))
-        return frozenset((k, i, e, swap) for (k, i, swap), e in least.items())
-
-    first = frozenset((k, 0, 0, False) for k in range(len(terms)))
-    number, order, table = {frozenset(): 0, first: 1}, [frozenset(), first], []
-    for states in order:
-        row = [0] * _CLASSES
-        useful = {spelled[k][j] for k, i, _, _ in states for j in (i, i + 1, i - 1) if 0 <= j < len(spelled[k])}
-        other = None
-        for c in range(_CLASSES - 1):
-            if c not in useful and other is not None:
-                row[c] = other
-                continue
-            new = set()
-            for k, i, e, swap in states:
-                s = spelled[k]
-                if swap:  # after s[i + 1], s[i] must come
-                    if c == s[i]:
-                        new.add((k, i + 2, e, False))
+#: The automaton's states are rows of distances to the word's prefixes that are at most so much longer or shorter than the term's.
+_BAND = 2
+_FAR = 9
+
+
+class Trie:
+    """The terms as a trie, walked with the Levenshtein automata of many words at once.
+
+    A node's entry for a word is the state of that word's automaton after the node's letters: the distances of the letters to the
+    word's prefixes within ``_BAND``. A word goes no further down where all distances exceed what the terms below allow, so
+    its cost is the number of nodes near it and not that of the terms; no automaton is built beforehand.
+    """
+
+    def __init__(self, weights: dict[str, float]):
+        self.terms = sorted(weights)
+        self.weight = np.array([weights[t] for t in self.terms])
+        self.longest = max(map(len, self.terms), default=0) + _BAND
+        self.alphabet = np.array(sorted({ord(c) for t in self.terms for c in t}), np.uint32)
+        code = {chr(c): i + 1 for i, c in enumerate(self.alphabet.tolist())}
+        root: dict = {}
+        for k, t in enumerate(self.terms):
+            node = root
+            for c in t:
+                node = node.setdefault(c, {})
+            node[None] = k
+        first, count, letter, term, up, level = [], [], [0], [], [-1], [root]
+        for v, node in enumerate(level):
+            term.append(node.get(None, -1))
+            first.append(len(level))
+            for c in sorted(x for x in node if x is not None):
+                level.append(node[c])
+                letter.append(code[c])
+                up.append(v)
+            count.append(len(level) - first[-1])
+        self.first, self.count, self.letter, self.term = (np.array(x, np.int32) for x in (first, count, letter, term))
+        self.limit = np.array([allowed(t) for t in self.terms], np.int8)
+        most = [int(self.limit[k]) if k >= 0 else 0 for k in term]
+        for v in range(len(level) - 1, 0, -1):
+            most[up[v]] = max(most[up[v]], most[v])
+        self.most = np.array(most, np.int8)
+        below = [1 << min(len(self.terms[k]), 63) if k >= 0 else 0 for k in term]  # the lengths of the terms from a node on
+        for v in range(len(level) - 1, 0, -1):
+            below[up[v]] |= below[v]
+        self.lengths = np.array(below, np.uint64)
+        self.root = np.zeros(len(self.alphabet) + 1, np.int32)  # the root's child by letter
+        for v in range(first[0], first[0] + count[0]):
+            self.root[letter[v]] = v
+
+    def near(self, words: list[str], step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """The best term of each word, or -1, and its edits: the fewest, then the greatest weight, then the first in the alphabet."""
+        term, edit = np.full(len(words), -1, np.int32), np.zeros(len(words), np.int8)
+        for a in range(0, len(words), step):
+            w, t, d = self._walked(words[a : a + step])
+            order = np.lexsort((t, -self.weight[t], d, w))
+            w, t, d = w[order], t[order], d[order]
+            top = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+            term[a + w[top]], edit[a + w[top]] = t[top], d[top]
+        return term, edit
+
+    def _walked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, term, edits) of all terms within their edits of each word that begin with its first letter."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+        if not words or not self.terms:
+            return none
+        most = max(1, max(map(len, words)))
+        spelled = np.array(words, f"U{most}").view(np.uint32).reshape(len(words), most)
+        size = (spelled != 0).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.alphabet, spelled), len(self.alphabet) - 1)
+        ids = np.zeros((len(words), self.longest + most + 2 * _BAND + 4), np.int32)
+        lead = _BAND + 1
+        ids[:, lead : lead + most] = np.where(self.alphabet[at] == spelled, at + 1, 0)
+        w = np.flatnonzero((size > 0) & (size <= self.longest))
+        node = self.root[ids[w, lead]]
+        w, node = w[node > 0], node[node > 0]
+        fit = np.array([sum({1 << min(k, 63) for k in range(n - _BAND, n + _BAND + 1) if k > 0}) for n in range(self.longest + 1)], np.uint64)
+        width = 2 * _BAND + 1
+        old = np.tile(np.array([_FAR] * _BAND + list(range(_BAND + 1)), np.int8), (len(w), 1))
+        older, before = np.full_like(old, _FAR), np.zeros(len(w), np.int32)
+        found, j = [], 0
+        while len(w):
+            c, n = self.letter[node], size[w]
+            row = np.full((len(w), width), _FAR, np.int8)
+            for k in range(width):
+                i = j + 1 + k - _BAND  # letters of the word that this distance is for
+                if i < 0:
                     continue
-                if i < len(s) and c == s[i]:
-                    new.add((k, i + 1, e, False))
-                if e < most[k] and i > 0:
-                    new.add((k, i, e + 1, False))
-                    if i < len(s):
-                        new.add((k, i + 1, e + 1, False))
-                    if i + 1 < len(s) and c == s[i + 1]:
-                        new.add((k, i, e + 1, True))
-            shut = closed(new)
-            if shut not in number:
-                number[shut] = len(order)
-                order.append(shut)
-            row[c] = number[shut]
-            if c not in useful:
-                other = row[c]
-        table.append(row)
-    nxt = np.array(table, np.int32)
-    nxt[:, 28] = np.arange(len(nxt))
-    final = np.array([any(not swap and i == len(spelled[k]) for k, i, e, swap in s) for s in order])
-    return nxt, final
-
-
-def matched(texts: pa.Array, nxt: np.ndarray, final: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, object]:
-    """Texts and word numbers in them of the words that the automaton accepts."""
-    w = words(texts, hashed=False)
-    kind = _KIND[w.buf] if len(w.buf) else np.zeros(0, np.uint8)
-    at = np.flatnonzero((w.end - w.start) <= 4 * longest)
-    state = np.ones(len(at), np.int32)
-    pos, end = w.start[at].copy(), w.end[at]
-    flat = nxt.ravel()
-    hits = []
-    while len(at):
-        state = flat[state * _CLASSES + kind[pos]]
-        pos += 1
-        over = pos == end
-        hits.append(at[over & final[state]])
-        keep = ~over & (state != 0)
-        at, state, pos, end = at[keep], state[keep], pos[keep], end[keep]
-    hit = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-    doc = np.searchsorted(w.first, hit, "right") - 1
-    return doc, hit - w.first[doc], w
+                best = old[:, k + 1] + 1 if k + 1 < width else np.full(len(w), _FAR, np.int8)
+                if i:
+                    last = ids[w, lead + i - 1]
+                    best = np.minimum(best, old[:, k] + (last != c))
+                    if k:
+                        best = np.minimum(best, row[:, k - 1] + 1)
+                    if i > 1 and j:
+                        swap = (last == before) & (ids[w, lead + i - 2] == c)
+                        best = np.where(swap, np.minimum(best, older[:, k] + 1), best)
+                row[:, k] = np.where(i <= n, np.minimum(best, _FAR), _FAR)
+            t = self.term[node]
+            k = n - (j + 1) + _BAND
+            end = np.flatnonzero((t >= 0) & (k >= 0) & (k < width))
+            d = row[end, k[end]]
+            ok = d <= self.limit[t[end]]
+            found.append((w[end[ok]], t[end[ok]], d[ok]))
+            # down to all children
+            live = np.flatnonzero((row.min(axis=1) <= self.most[node]) & (self.count[node] > 0))
+            many = self.count[node[live]]
+            rep = np.repeat(live, many)
+            child = self.first[node[rep]] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+            keep = (self.lengths[child] & fit[size[w[rep]]]) != 0
+            rep, child = rep[keep], child[keep]
+            w, before, older, old, node, j = w[rep], c[rep], old[rep], row[rep], child, j + 1
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else none
+
+
+class Finder:
+    """The terms near the words of many texts; each distinct word is looked up once and remembered."""
+
+    def __init__(self, trie: Trie, ordinary: frozenset[str] = frozenset()):
+        self.trie, self.ordinary = trie, ordinary
+        self.known, self.answer = np.zeros(1 << _CACHE, np.uint64), np.full(1 << _CACHE, -1, np.int32)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, object]:
+        """Of each word that is near a term: its text, its number there, the term and the edits; and the words."""
+        w = words(texts)
+        at = np.flatnonzero((w.end - w.start) <= 4 * self.trie.longest)
+        h = w.hash[at]
+        place = (h >> np.uint64(64 - _CACHE)).astype(np.int64)
+        answer = np.where(self.known[place] == h, self.answer[place], -2)
+        miss = np.flatnonzero(answer == -2)
+        if len(miss):
+            keys, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            spelled = [bytes(w.buf[a:b]).decode() for a, b in zip(w.start[at[miss[first]]].tolist(), w.end[at[miss[first]]].tolist())]
+            term, d = self.trie.near(spelled)
+            got = np.where(term >= 0, term * 4 + d, -1).astype(np.int32)
+            for i in np.flatnonzero(d > 0).tolist():
+                if spelled[i] in self.ordinary:
+                    got[i] = -1
+            answer[miss] = got[which]
+            place = (keys >> np.uint64(64 - _CACHE)).astype(np.int64)
+            self.known[place], self.answer[place] = keys, got
+        hit = at[answer >= 0]
+        answer = answer[answer >= 0]
+        doc = np.searchsorted(w.first, hit, "right") - 1
+        return doc, hit - w.first[doc], answer >> 2, answer & 3, w
 
 
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -197,29 +255,12 @@ def _quoted(text: str, a: int, b: int, lo: int, hi: int) -> bool:
     return before_ok and (after + 1 >= len(text) or not text[after + 1].isalnum()) and "\n" not in text[left:after]
 
 
-def nearest(word: str, lexicon: dict[str, float]) -> tuple[str, int] | None:
-    best = None
-    for t, weight in lexicon.items():
-        if abs(len(t) - len(word)) <= (n := allowed(t)) and t[0] == word[0]:
-            d = edits(t, word)
-            if d <= n and (best is None or (d, -weight, t) < best):
-                best = (d, -weight, t)
-    return best and (best[2], best[0])
-
-
-def scored(text: str, numbers: list[int], lexicon: dict[str, float], memo: dict, exact: frozenset = frozenset()) -> list[tuple[int, int, str, int, float, int, bool, int]]:
-    """(start, end, term, edits, score, word number, whether abuse is around it, hash of the words around it) of the words with these numbers that are near a term or in ``exact``."""
+def scored(text: str, hits: list[tuple[int, str, int]], lexicon: dict[str, float], exact: frozenset = frozenset()) -> list[tuple[int, int, str, int, float, int, bool, int]]:
+    """(start, end, term, edits, score, word number, whether abuse is around it, hash of the words around it) of the words ``hits``: number, term and edits."""
     spans = [m.span() for m in _WORD.finditer(text)]
     out = []
-    for k in numbers:
+    for k, term, d in hits:
         a, b = spans[k]
-        word = text[a:b].lower()
-        if word not in memo:
-            found = None if word in ORDINARY else nearest(word, lexicon)
-            memo[word] = (word, 0) if word in exact and (found is None or found[1]) else found
-        if memo[word] is None:
-            continue
-        term, d = memo[word]
         near = spans[max(0, k - WINDOW) : k + WINDOW + 1]
         around = {text[x:y].lower() for x, y in near if (x, y) != (a, b)}
         score = lexicon.get(term, 1.0) * (1.0, 0.7, 0.35)[d]
@@ -249,13 +290,26 @@ class Learned:
     toxic_rate: float = 1.0
     clean_rate: float = 1.0
     prior: float = 0.5
+    #: forms near a term that clean documents use, too
+    ordinary: frozenset[str] = frozenset()
 
 
 NOTHING = Learned(frozenset())
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term_docs: int = TERM_DOCS, ratio: float = RATIO) -> Learned:
-    """Terms that tell toxic from clean documents, of at most ``train_rows`` labelled ones."""
+def _near_terms(trie: Trie):
+    @F.arrow_udf("boolean")
+    def run(forms: pa.Array) -> pa.Array:
+        term, d = trie.near([x if len(x) <= trie.longest else "" for x in forms.to_pylist()])
+        return pa.array((term >= 0) & (d > 0))
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float] | None = None, train_rows: int = TRAIN_ROWS, term_docs: int = TERM_DOCS, ratio: float = RATIO) -> Learned:
+    """Terms that tell toxic from clean documents, of at most ``train_rows`` labelled ones, and forms near a term that are ordinary words:
+    in two clean documents or more, and not in a ``ratio`` times greater share of the toxic ones. Near-duplicates count once.
+    """
     sample = (
         labels.select(F.col("doc_id").cast("bigint").alias("__loom_id"), F.col("toxic").cast("double").alias("t"))
         .where("__loom_id IS NOT NULL AND t IS NOT NULL")
@@ -270,38 +324,38 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     if len(size) < 2 or not (size[0]["words"] and size[1]["words"]):
         return NOTHING
     share = lambda c, t: (c + 0.5) / (size[t]["n"] + 1)
-    found = (
+    used = written(
         rows.select("toxic", F.explode(F.array_distinct("w")).alias("w"))
         .groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
-        .where((F.col("n1") >= term_docs) & (F.length("w") >= 3) & (share(F.col("n1"), 1) >= ratio * share(F.col("n0"), 0)))
     )
+    telling = share(F.col("n1"), 1) >= ratio * share(F.col("n0"), 0)
+    found = used.where((F.col("n1") >= term_docs) & (F.length("w") >= 3) & telling)
     terms = frozenset(r["w"] for r in found.select("w").collect())
+    trie = Trie(dict.fromkeys(terms, 1.0) | (lexicon or {}))
+    ordinary = frozenset(r["w"] for r in used.where((F.col("n0") >= 2) & ~telling & (F.length("w") <= trie.longest)).where(_near_terms(trie)("w")).select("w").collect())
     if not terms:
-        return NOTHING
+        return Learned(terms, ordinary=ordinary)
     uses = dict(rows.select("toxic", F.explode("w").alias("w")).join(F.broadcast(found.select("w")), "w").groupBy("toxic").count().collect())
     rate = [(uses.get(t, 0) + 0.5) / (size[t]["words"] + 1) for t in (0, 1)]
-    return Learned(terms, rate[1], rate[0], size[1]["n"] / (size[0]["n"] + size[1]["n"])) if rate[1] > rate[0] else NOTHING
-
+    return Learned(terms, rate[1], rate[0], size[1]["n"] / (size[0]["n"] + size[1]["n"]), ordinary) if rate[1] > rate[0] else Learned(frozenset(), ordinary=ordinary)
 
-def _scan(lexicon: dict[str, float], nxt: np.ndarray, final: np.ndarray, exact: frozenset[str] = frozenset()):
-    longest = max(map(len, [*lexicon, *exact])) + 2
 
+def _scan(lexicon: dict[str, float], trie: Trie, ordinary: frozenset[str], exact: frozenset[str] = frozenset()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
+        finder = Finder(trie, ordinary)
         uid = TaskContext.get().partitionId() << 40
         for whole, i, j in ((b, i, j) for b in batches for i, j in chunks(as_texts(b["text"]))):
             b = whole.slice(i, j - i)
-            doc, number, w = matched(b["text"], nxt, final, longest)
+            doc, number, term, d, w = finder(b["text"])
+            near = list(zip(number.tolist(), (trie.terms[t] for t in term.tolist()), d.tolist()))
             rows = []
             cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
             for i, j in zip(cut, [*cut[1:], len(doc)]):
-                d = int(doc[i])
-                text, key = b["text"][d].as_py(), b["doc_id"][d].as_py()
-                for h in scored(text, number[i:j].tolist(), lexicon, memo, exact):
-                    rows.append((uid + d, key, int(w.first[d + 1] - w.first[d]), h[0], h[1], text[h[0] : h[1]].lower(), *h[2:]))
+                at = int(doc[i])
+                text, key = b["text"][at].as_py(), b["doc_id"][at].as_py()
+                for h in scored(text, near[i:j], lexicon, exact):
+                    rows.append((uid + at, key, int(w.first[at + 1] - w.first[at]), h[0], h[1], text[h[0] : h[1]].lower(), *h[2:]))
             uid += len(b)
-            if len(memo) > 1_000_000:
-                memo.clear()
             cols = zip(*rows) if rows else [[]] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], [c.split()[0] for c in _SCAN.split(", ")])
 
@@ -319,13 +373,13 @@ def toxic(docs: DataFrame, labels: DataFrame | None = None, lexicon: dict[str, f
     :param lexicon: terms in lower case with their weights, 1 for the worst
     """
     lexicon = LEXICON if lexicon is None else lexicon
-    known = NOTHING if labels is None else learn(docs, labels, **learning)
+    known = NOTHING if labels is None else learn(docs, labels, lexicon, **learning)
     own = known.terms - set(lexicon)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not lexicon and not own:
         return rows.where("false").select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast(HITS).alias("hits"))
-    nxt, final = automaton(tuple(sorted(lexicon)), tuple(sorted(own)))
-    hits = written(rows.where("text IS NOT NULL").mapInArrow(_scan(dict(lexicon), nxt, final, own), _SCAN))
+    trie = Trie(dict.fromkeys(own, 1.0) | lexicon)
+    hits = written(rows.where("text IS NOT NULL").mapInArrow(_scan(dict(lexicon), trie, ORDINARY | known.ordinary, own), _SCAN))
     seen = hits.where("edits > 0").select("form", "context", "abuse").distinct()
     ordinary = seen.groupBy("form").agg(F.count("*").alias("n"), F.avg(F.col("abuse").cast("int")).alias("share")).where((F.col("n") >= ORDINARY_CONTEXTS) & (F.col("share") < ORDINARY_ABUSE)).select("form")
     in_lexicon = F.col("term").isin(sorted(lexicon)) if lexicon else F.lit(False)

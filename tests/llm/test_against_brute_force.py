@@ -240,27 +240,66 @@ def test_flight_keeps_probabilities():
 
 
 # 9: toxicity
-def test_automaton_is_the_edit_distance():
-    terms = ("idiot", "moron", "scum", "disgusting")
-    nxt, final = toxicity.automaton(terms)
+def misspelled(rng, term):
+    s = list(term)
+    for _ in range(rng.randrange(4)):
+        k, at = rng.randrange(4), rng.randrange(len(s)) if s else 0
+        if k == 0 and len(s) > 1:
+            del s[at]
+        elif k == 1:
+            s.insert(at, rng.choice("abcdeimostéx"))
+        elif k == 2:
+            s[at] = rng.choice("abcdeimost")
+        elif at + 1 < len(s):
+            s[at], s[at + 1] = s[at + 1], s[at]
+    return "".join(s)
+
+
+def nearest(word, weights):
+    return min(((toxicity.edits(t, word), -weights[t], t) for t in weights if t[0] == word[0] and toxicity.edits(t, word) <= toxicity.allowed(t)), default=None)
+
+
+def test_trie_walk_is_the_edit_distance():
     rng = random.Random(3)
-    tried = set()
-    for t in terms:
-        for _ in range(400):
-            s = list(t)
-            for _ in range(rng.randrange(4)):
-                k, at = rng.randrange(4), rng.randrange(1, len(s)) if len(s) > 1 else 0
-                if k == 0 and len(s) > 1: del s[at]
-                elif k == 1: s.insert(at, rng.choice("abcdeimost"))
-                elif k == 2: s[at] = rng.choice("abcdeimost")
-                elif at + 1 < len(s): s[at], s[at + 1] = s[at + 1], s[at]
-            tried.add("".join(s))
-    for w in tried:
-        state = 1
-        for c in w.encode():
-            state = nxt[state, toxicity._KIND[c]]
-        want = any(w[0] == t[0] and toxicity.edits(t, w) <= toxicity.allowed(t) for t in terms)
-        assert bool(final[state]) == want, w
+    weights = {"".join(rng.choice("abcdeimosté") for _ in range(rng.randrange(2, 12))): rng.choice([0.5, 1.0]) for _ in range(200)} | {"idiot": 1.0, "moron": 0.9}
+    trie = toxicity.Trie(weights)
+    tried = sorted({misspelled(rng, t) for t in list(weights) * 4} | {"", "zzz"})
+    for w, t, d in zip(tried, *trie.near(tried)):
+        want = nearest(w, weights) if w else None
+        assert (None if t < 0 else (int(d), -weights[trie.terms[t]], trie.terms[t])) == want, w
+
+
+def test_many_terms_are_ready_at_once():
+    import time
+
+    rng = random.Random(4)
+    began = time.perf_counter()
+    toxicity.Trie({"".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(5, 11))): 1.0 for _ in range(10_000)})
+    assert time.perf_counter() - began < 5
+
+
+def test_toxic_rows_are_those_of_brute_force(spark):
+    """Plain hits: no quotation, no report, no address around them, so that a score is the term's weight by its edits."""
+    rng = random.Random(9)
+    weights = {"zorgling": 1.0, "blarfen": 0.9, "quux": 1.0, "mirkol": 0.5}
+    rows = []
+    for i in range(400):
+        text = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            text.insert(rng.randrange(len(text) + 1), misspelled(rng, rng.choice(list(weights))))
+        rows.append((i // 2, " ".join(text)))
+    rows += [(None, "a zorgling"), (7, None), (8, "")]
+    want = []
+    for i, text in rows:
+        hits = []
+        for m in re.finditer(r"\w+", text or ""):
+            if near := nearest(m[0], weights):
+                hits.append((m.start(), m.end(), near[2], near[0], round(weights[near[2]] * (1.0, 0.7, 0.35)[near[0]], 4)))
+        total = 1 - np.prod([1 - min(0.99, h[4]) for h in hits])
+        if hits and (max(h[4] for h in hits) >= 0.4 or total >= 0.8):
+            want.append((i, round(float(total), 4), hits))
+    got = [(r.doc_id, r.score, [tuple(h) for h in r.hits]) for r in toxicity.toxic(spark.createDataFrame(rows, "doc_id bigint, text string"), lexicon=weights).collect()]
+    assert len(want) > 100 and sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_quotation_is_milder_than_abuse(spark):

@@ -9,8 +9,10 @@ through escapes, to the encoded stretch through base64, hexadecimal and compress
 Defined results: null and empty texts have no findings. A null doc_id is reported as null. Repeated rows are
 reported each. Of overlapping findings of one layer the longest is reported, then the first; a secret found again at the same
 place through another layer is reported once, from the outermost. Data that decompresses to more than
-``max_bytes`` is reported as kind ``oversized``, with its span, instead of being scanned. All members of a compressed
+``max_bytes`` is reported as kind ``oversized``, with its span, and scanned as far as those bytes go; so is data whose
+decompressor would need more memory than that, without a scan. All members of a compressed
 stream are read; one that breaks off is scanned as far as it goes, under a layer name that ends in ``-truncated``.
+Values have no greatest length.
 """
 
 from __future__ import annotations
@@ -41,13 +43,13 @@ MAX_BYTES = 1 << 26
 _RULES = [
     ("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|\Z)"),
     ("aws_access_key", r"(?<![A-Z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}(?![A-Z0-9])"),
-    ("github_token", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{50,255})"),
+    ("github_token", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{50,})"),
     ("slack_token", r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     ("google_api_key", r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
     ("stripe_key", r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,}"),
-    ("url_password", r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"']{1,64}:[^\s/:@\"']{3,128}@[A-Za-z0-9.-]+"),
-    ("assigned", r"(?i:(?<![A-Za-z])(?:[A-Za-z]{1,20}[_-]){0,3}(?:api[_-]?key|apikey|token|secret|passw(?:or)?d|passwd|pwd|access[_-]?key|auth[_-]?key|credential)s?(?:[_-][A-Za-z]{1,20}){0,2})[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?(?P<value>[A-Za-z0-9+/_.~!@#$%^&*=-]{8,512})"),
+    ("url_password", r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"']+:[^\s/:@\"']{3,}@[A-Za-z0-9.-]+"),
+    ("assigned", r"(?i:(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:[A-Za-z]{1,20}[_-]){0,3}(?:api[_-]?key|apikey|token|secret|passw(?:or)?d|passwd|pwd|access[_-]?key|auth[_-]?key|credential)s?(?:[_-][A-Za-z]{1,20}){0,2})[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?(?P<value>[A-Za-z0-9+/_.~!@#$%^&*=-]{8,})"),
 ]
 _RULES = [(k, re.compile(p)) for k, p in _RULES]
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -63,7 +65,7 @@ _HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{2}){8,}(?![A-Za-z0-9])")
 #: A text without any of these has neither a secret nor anything to decode; long runs must hold a digit or both cases.
 _CLUE = (
     r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|&(?:quot|amp|lt|gt|apos|equals|colon|sol|plus|lowbar|hyphen);|PRIVATE KEY-----|://[^\s/@]*@"
-    r"|[A-Za-z0-9+/_-]{16,}|(?i:(?:key|token|secret|passw|pwd|credential)[A-Za-z_-]{0,40}[\"']?\s{0,3}[:=])"
+    r"|[A-Za-z0-9+/_-]{16,}|(?i:(?:key|token|secret|passw|pwd|credential)[A-Za-z_-]{0,50}[^A-Za-z0-9_]{0,5}[:=])"
 )
 
 
@@ -93,10 +95,13 @@ def scan(text: str) -> list[tuple[str, str, int, int]]:
     return sorted(out, key=lambda f: f[2])
 
 
-def _printable(data: bytes) -> str | None:
+def _printable(data: bytes, cut: bool = False) -> str | None:
+    """The text that the bytes are, if they are one; of data that was cut off the last character may be missing."""
     try:
         text = data.decode("utf-8")
-    except UnicodeDecodeError:
+    except UnicodeDecodeError as e:
+        if cut and e.start >= len(data) - 3:
+            return _printable(data[: e.start])
         if len(data) >= 4 and data[:2] in (b"\xff\xfe", b"\xfe\xff"):
             try:
                 text = data.decode("utf-16")
@@ -109,29 +114,54 @@ def _printable(data: bytes) -> str | None:
 
 
 class Oversized(Exception):
-    pass
+    """Decompressing would take more than it may; ``args[0]`` is what was decompressed until then."""
 
 
 class _Zstd:
     """One frame of zstandard data, with the interface of the other decompressors."""
 
+    eof, unused_data = False, b""
+
     def decompress(self, data: bytes, most: int) -> bytes:
         import zstandard
 
-        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
-            if len(out := r.read(most)) == most:
-                return out
-        one = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
-        one.decompress(data)  # its size is known to be bounded
+        try:
+            if zstandard.get_frame_parameters(data).window_size > _WINDOW:
+                raise Oversized(b"")
+            with zstandard.ZstdDecompressor(max_window_size=_WINDOW).stream_reader(data) as r:
+                if len(out := r.read(most)) == most:
+                    return out
+            one = zstandard.ZstdDecompressor(max_window_size=_WINDOW).decompressobj()
+            one.decompress(data)  # its size is known to be bounded
+        except zstandard.ZstdError as e:
+            raise ValueError from e
         self.eof, self.unused_data = one.eof, one.unused_data
         return out
 
 
+class _Xz:
+    """One xz stream."""
+
+    def __init__(self):
+        self.one = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=2 * _WINDOW)
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        try:
+            out = self.one.decompress(data, most)
+        except lzma.LZMAError as e:
+            if "emory" in str(e):
+                raise Oversized(b"") from e
+            raise
+        self.eof, self.unused_data = self.one.eof, self.one.unused_data
+        return out
+
+
+_WINDOW = 1 << 27
 _FORMATS = (
     ("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)),
     ("zlib", b"\x78", lambda: zlib.decompressobj(15)),
     ("bzip2", b"BZh", bz2.BZ2Decompressor),
-    ("xz", b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 28)),
+    ("xz", b"\xfd7zXZ\x00", _Xz),
     ("zstd", b"\x28\xb5\x2f\xfd", _Zstd),
 )
 
@@ -145,20 +175,21 @@ def _inflate(data: bytes, max_bytes: int) -> tuple[str, bytes] | None:
         return None
     parts, left, rest, whole = [], max_bytes + 1, data, True
     while whole and rest.startswith(magic):
+        d = make()
         try:
-            d = make()
             parts.append(d.decompress(rest, left))
-            left -= len(parts[-1])
-            if left <= 0:
-                raise Oversized
-            whole = d.eof
-            rest = d.unused_data.lstrip(b"\0")  # members may be padded
-        except Oversized:
-            raise
-        except Exception:  # zstandard's error has no common base
+        except Oversized as e:
+            raise Oversized(b"".join(parts), name) from e
+        except (ValueError, OSError, EOFError, zlib.error, lzma.LZMAError):
             if not parts:
                 return None
             whole = False
+            break
+        left -= len(parts[-1])
+        if left <= 0:
+            raise Oversized(b"".join(parts)[:max_bytes], name)
+        whole = d.eof
+        rest = d.unused_data.lstrip(b"\0")  # members may be padded
     return name if whole else f"{name}-truncated", b"".join(parts)
 
 
@@ -251,7 +282,7 @@ def _unwrapped(layer: Layer, max_bytes: int) -> Iterator[Layer]:
     for name, pattern, decode in (("url", _URL, _unurl), ("unicode", _ESCAPE, _unescape)):
         if (new := _substituted(layer, name, pattern, decode)) is not None:
             yield new
-    for name, pattern in (("hex", _HEX), ("base64", _WRAPPED), ("base64", _BASE64)):
+    for name, pattern in (("hex", _HEX), ("base64", _BASE64), ("base64", _WRAPPED)):
         for m in pattern.finditer(layer.text):
             run = m[0]
             if name == "base64" and (run.islower() or run.isupper() or run.isdigit()) and not re.search("[0-9+/=_-]", run):
@@ -265,10 +296,10 @@ def _unwrapped(layer: Layer, max_bytes: int) -> Iterator[Layer]:
                 while (inner := _inflate(data, max_bytes)) is not None and inner[1] not in unwrapped:
                     names, data = (*names, inner[0]), inner[1]
                     unwrapped.add(data)
-            except Oversized:
+            except Oversized as e:
                 yield Layer("", (*names, "oversized"), span)
-                continue
-            text = _printable(data)
+                data, names = e.args[0], (*names, f"{e.args[1]}-truncated")
+            text = _printable(data, "truncated" in names[-1])
             if text is not None:
                 yield Layer(text, names, span)
 

@@ -10,7 +10,7 @@ phone (7 to 12 digits spelled out one by one, too). ``disguised`` says that the
 
 Defined results: null and empty texts have no findings. A null doc_id is reported as null. Repeated rows
 are reported each. Of overlapping findings the first kind in the list above is reported. Spans are
-[start, end) in Unicode characters.
+[start, end) in Unicode characters. Names and addresses have no greatest length.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SCHEMA = "doc_id bigint, kind string, value string, start int, end int, disguise
 _LOOKALIKES = dict(
     zip(
         "асеорхуіјѕԁԛԝһӏАВЕКМНОРСТХУІЈЅαοινρτυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧɑɡıⅰⅼ＠﹫．。․‧∙•－–—‑‒−",
-        "aceopxyijsdqwhlABEKMHOPCTXYIJSaoivptukABEZHIKMNOPTYXagiil@@........------",
+        "aceopxyijsdqwhlABEKMHOPCTXYIJSaoivptukABEZHIKMNOPTYXagiil@@......------",
     )
 )
 _INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
@@ -62,11 +62,13 @@ _ONE = re.compile(_DIGIT, re.I)
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]\s*|\s+(?:at|arroba|arobase|klammeraffe)\s+|\s*@\s*|\s*&#0*64;\s*|\s*%40\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.|\s*&#0*46;\s*|\s*%2[eE]\s*)"
 _NAME = r"[A-Za-z0-9](?:[A-Za-z0-9_%+\-]*[A-Za-z0-9])?"
-_DISGUISE = re.compile(rf"(?<![A-Za-z0-9._%+\-@]){_NAME}(?:{_DOT}{_NAME})*?(?P<at>{_AT}){_NAME}(?:{_DOT}{_NAME})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
+_DOMAIN = re.compile(rf"{_NAME}(?:{_DOT}{_NAME})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
+#: What stands before an at, read backwards.
+_TOD = r"(?:\s*[\])}>]\s*(?:tod|\.|tknup|otnup|tniop)\s*[\[({<]\s*|\s+(?:tod|tknup|otnup|tniop)\s+|\.|\s*;640*#&\s*|\s*[eE]2%\s*)"
+_EMAN = r"[A-Za-z0-9](?:[A-Za-z0-9_%+\-]*[A-Za-z0-9])?"
+_LOCAL_BACKWARDS = re.compile(rf"{_EMAN}(?:{_TOD}{_EMAN})*(?![A-Za-z0-9._%+\-@])", re.I)
 _AT_IN, _DOT_IN = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 _PLAIN_AT = re.compile(r"\s+(?:at|arroba|arobase|klammeraffe)\s+\Z", re.I)
-#: Where a disguise may be; the match itself must start at most this many name characters before.
-_ANCHOR = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]|\s(?:at|arroba|arobase|klammeraffe)\s[^\n]{1,80}?(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s)|\s@|@\s|@[^\n@]{1,80}?(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s)|&#0*64;|%40", re.I)
 
 #: Last labels that make a bare "at" an address; bracketed ones need no such proof.
 _DOMAINS = frozenset("com org net edu gov mil int info biz io co me dev app eu uk us ca au de at ch fr es it nl be pt pl se no dk fi cz ie br mx ar cl in jp cn ru example test".split())
@@ -81,12 +83,18 @@ _DETECT = [
 _BARE = re.compile(r"(?<!\d)\d{7,12}(?!\d)")
 _RANK = {k: i for i, k in enumerate(["email", "iban", "ssn", "ip", "card", "number", "phone"])}
 _SPELLED_ALT = "|".join(re.escape(w) for w in sorted(_DIGITS, key=len, reverse=True))
-#: Texts without any of these have nothing to find: at least 7 digits in reach of each other, an @ or its disguise, look-alikes.
+#: White space and gaps as they are before look-alikes are replaced; RE2's own class is ASCII's.
+_S = "[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]"
+_GAPS = "[\\p{Z}\\t,./\\p{Pd}\\x{2212}]"
+#: Texts without any of these have nothing to find: at least 7 digits in reach of each other, the start of an account number, an @ or
+#: its disguise, digits spelled out, look-alikes. Dashes and blanks that texts are full of count as what they look like.
 _CLUE = (
-    r"(?:\d[^\n\d]{0,6}){6}\d|\d\.\d{1,3}\.\d{1,3}\.\d|@|(?i:[\[({<]\s*(?:at|ät|arroba|arobase)\s*[\])}>])|&#0*64;|%40"
-    r"|(?i:\s(?:at|arroba|arobase|klammeraffe)\s[^\n]{1,80}?(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s))"
-    rf"|(?i:(?:\b(?:{_SPELLED_ALT}|\d)\b[ \t,.\-/]{{1,3}}){{6}})"
+    rf"(?:\d[^\n\d]{{0,6}}){{6}}\d|\d\.\d{{1,3}}\.\d{{1,3}}\.\d|[A-Z]{{2}}\d{{2}}{_S}?[A-Z0-9]{{4}}|@|(?i:[\[({{<]{_S}*(?:at|ät|arroba|arobase){_S}*[\])}}>])|&#0*64;|%40"
+    rf"|(?i:(?:(?:{_SPELLED_ALT}|\d){_GAPS}{{1,3}}){{5}})"
 )
+#: A bare "at" makes an address only with a dot in disguise.
+_CLUE_AT = rf"(?i){_S}(?:at|arroba|arobase|klammeraffe){_S}"
+_CLUE_DOT = rf"(?i)[\[({{<]{_S}*(?:dot|\.|punkt|punto|point){_S}*[\])}}>]|{_S}(?:dot|punkt|punto|point){_S}|&#0*46;|%2e"
 _CLUE_STRANGE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in [*_LOOKALIKES, *_INVISIBLE] if ord(c) not in (0xA0, 0x2013, 0x2014)) + "]"
 
 
@@ -143,33 +151,33 @@ def _spelled_digits(t: Traced) -> list[tuple[int, int]]:
 
 
 def _disguised_addresses(t: Traced) -> None:
-    edits, done = [], 0
-    for near in _ANCHOR.finditer(t.text):
-        if near.start() < done:
+    """Every at, in disguise or not, with the names before it, read backwards, and those after it; neither has a greatest length."""
+    text, edits, done = t.text, [], 0
+    back = text[::-1] if _AT_IN.search(text) else ""
+    for at in _AT_IN.finditer(text):
+        a, b = at.span()
+        if a <= done:
             continue
-        line = max(t.text.rfind("\n", 0, near.start()) + 1, done)
-        lo = max(line, near.start() - 128)
-        while lo > line and not t.text[lo - 1].isspace():
-            lo -= 1
-        for m in _DISGUISE.finditer(t.text, lo, min(len(t.text), near.end() + 256)):
-            a, b = m.span("at")
-            if m.start() < done or a > near.end():
-                continue
-            names = [(x.start(), x.end()) for x in _DOT_IN.finditer(t.text, b, m.end())]
-            bracketed = not _PLAIN_AT.search(m["at"])
-            spoken = any(len(t.text[x:y].strip()) > 1 for x, y in names)
-            if not (bracketed or spoken and t.text[names[-1][1] : m.end()].lower() in _DOMAINS):
-                continue
-            first = m.start()
-            if not bracketed or any(c.isspace() for c in t.text[first:a]):  # only a dotted name is taken as the local part
-                joints = [x for x in _DOT_IN.finditer(t.text, first, a) if len(x[0].strip()) > 1 or x[0] == "."]
-                if not joints:
-                    first = max(first, 1 + max(t.text.rfind(c, first, a) for c in " \t\n"))
-            edits += [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(t.text, first, a) if x[0] != "."]
-            if m["at"] != "@":
-                edits.append((a, b, "@"))
-            edits += [(x, y, ".") for x, y in names if t.text[x:y] != "."]
-            done = m.end()
+        after = _DOMAIN.match(text, b)
+        before = after and _LOCAL_BACKWARDS.match(back, len(text) - a, len(text) - done)
+        if not before:
+            continue
+        end = after.end()
+        names = [x.span() for x in _DOT_IN.finditer(text, b, end)]
+        bracketed = not _PLAIN_AT.search(at[0])
+        spoken = any(len(text[x:y].strip()) > 1 for x, y in names)
+        if not (bracketed or spoken and text[names[-1][1] : end].lower() in _DOMAINS):
+            continue
+        first = len(text) - before.end()
+        if any(c.isspace() for c in text[first:a]):  # only a dotted name is taken as the local part
+            joints = [x for x in _DOT_IN.finditer(text, first, a) if len(x[0].strip()) > 1 or x[0] == "."]
+            if not joints:
+                first = max(first, 1 + max(text.rfind(c, first, a) for c in " \t\n"))
+        edits += [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(text, first, a) if x[0] != "."]
+        if at[0] != "@":
+            edits.append((a, b, "@"))
+        edits += [(x, y, ".") for x, y in names if text[x:y] != "."]
+        done = end
     t.rewritten(edits)
 
 
@@ -224,10 +232,10 @@ def findings(text: str) -> list[tuple[str, str, int, int, bool]]:
 
 
 def suspects(texts: pa.Array) -> np.ndarray:
-    """Rows whose text has a clue."""
-    a = pc.match_substring_regex(texts, _CLUE)
-    b = pc.match_substring_regex(texts, _CLUE_STRANGE)
-    return np.flatnonzero(pc.or_(a, b).to_numpy(zero_copy_only=False))
+    """Rows whose text has a clue: all that have findings, and some more."""
+    clue = pc.or_(pc.match_substring_regex(texts, _CLUE), pc.match_substring_regex(texts, _CLUE_STRANGE))
+    spoken = pc.and_(pc.match_substring_regex(texts, _CLUE_AT), pc.match_substring_regex(texts, _CLUE_DOT))
+    return np.flatnonzero(pc.or_(clue, spoken).to_numpy(zero_copy_only=False))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,19 +6,19 @@ frequent pairs of a round at once, until no pair is frequent. Pairs never cross
 is a string of codes of its own, and a row of its own; each shard's rules, with the length of each one's
 expansion, are one more row. Any range of a document's tokens is decoded without expanding what precedes it.
 
-Rows: ``shard``; for a document ``doc_id, n_tokens, width, codes`` (little-endian, ``width`` bytes a code);
-for a shard's rules ``rules`` (pairs of 4-byte ids; rule i is id ``base + i``) and ``lengths`` (4 bytes each).
+Rows: ``shard``; for a document ``doc_id, n_tokens, width, codes`` (``width`` bits a code, the lowest first, filled up to whole bytes);
+for a shard's rules ``width``, ``rules`` (pairs of codes, ``width`` bits each; rule i is id ``base + i``) and ``lengths`` (a byte that
+names their bits, then the lengths). :func:`unpack`, :func:`unpack_rules` and :func:`unpack_lengths` read them.
 
 Defined results: a null text gives a row with null n_tokens and codes, an empty one 0 tokens and no codes; a
-null doc_id stays null. Repeated rows are encoded each. A run of more than ``LONG`` characters of which none,
-or all, are white space is cut every ``LONG`` characters before encoding: the round trip stays exact. A
-document above the size of a shard makes one by itself. A shard without frequent pairs has empty rules.
+null doc_id stays null. Repeated rows are encoded each. Ids are the vocabulary's own for every text, however long its runs of
+letters or blanks. A document above the size of a shard makes one by itself. A shard without frequent pairs has empty rules.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -35,47 +35,24 @@ from corpusloom.llm.words import as_texts, mix, text_buffer
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_TOKENS = 1 << 20
-#: Bytes of a rule, and the occurrences by which the rounds begin: the most frequent pairs get their codes first.
-RULE_BYTES, FIRST_COUNT = 12, 64
-LONG = 1000
+#: Occurrences of a pair that pay for a rule, which takes two codes and a shorter number, and those by which the rounds begin: the most frequent pairs are replaced first.
+PAYS, FIRST_COUNT = 3, 1024
 SCHEMA = "shard string, doc_id bigint, n_tokens bigint, width int, codes binary, rules binary, lengths binary"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RUN = re.compile(rf"\S{{{LONG + 1},}}|\s{{{LONG + 1},}}")
 
 
 @lru_cache(2)
 def encoding(vocabulary: str):
-    import tiktoken
-
     with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return encoding_of(f.read())
 
 
-def _long(texts: pa.Array) -> np.ndarray:
-    """Which texts may have a run of more than LONG characters of one kind."""
-    buf, off = text_buffer(texts)
-    out = np.zeros(len(texts), bool)
-    if len(buf):
-        kind = _SPACE[buf]
-        turn = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(buf)]
-        for i in np.flatnonzero(np.diff(turn) > LONG).tolist():
-            out[np.searchsorted(off, turn[i], "right") - 1 : np.searchsorted(off, turn[i + 1])] = True
-    return out
-
+@lru_cache(2)
+def encoding_of(content: bytes):
+    import tiktoken
 
-def encode(enc, text: str, long: bool) -> np.ndarray:
-    """The ids of one text."""
-    if not long:
-        return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int32)
-    parts, at = [], 0
-    for m in _RUN.finditer(text):
-        parts += [text[at : m.start()], *(m[0][i : i + LONG] for i in range(0, len(m[0]), LONG))]
-        at = m.end()
-    parts.append(text[at:])
-    return np.concatenate([np.asarray(enc.encode_to_numpy(p, disallowed_special=()), np.int32) for p in parts])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 _L, _N, _S, _O = 0, 1, 2, 3
@@ -180,14 +157,14 @@ def _keys(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
 class Encoder:
     """Encodes batches of texts; each distinct piece of text is encoded once and remembered."""
 
-    def __init__(self, vocabulary: str, remember: int = 400_000):
-        self.enc = encoding(vocabulary)
+    def __init__(self, vocabulary: str | bytes, remember: int = 400_000):
+        self.enc = encoding_of(vocabulary) if isinstance(vocabulary, bytes) else encoding(vocabulary)
         self.remember = remember
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.count = 0
+        self.count = self.bytes = 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
         self.known, self.where = np.zeros(1 << _CACHE, np.uint64), np.zeros(1 << _CACHE, np.int32)
@@ -209,6 +186,7 @@ class Encoder:
             self.size[k : k + m] = size
             self.used += total
             self.count += m
+            self.bytes += sum(map(len, fresh))
             out[new] = np.arange(k, k + m)
             self.slot.update(zip(fresh, range(k, k + m)))
         return out
@@ -254,18 +232,15 @@ class Encoder:
         cut = np.r_[0, stop][np.searchsorted(start, off)]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-    def __call__(self, texts: pa.Array, segment: int = 1 << 20, largest: int = 1 << 22) -> Iterator[np.ndarray]:
+    def __call__(self, texts: pa.Array, segment: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         buf, off = text_buffer(texts)
-        long = _long(texts) | (np.diff(off) > largest)
         i, n = 0, len(texts)
         while i < n:
-            if long[i]:
-                yield encode(self.enc, texts[i].as_py(), True)
-                i += 1
-                continue
+            if self.bytes > 1 << 26:  # very long pieces
+                self._forget()
             j = i + 1
-            while j < n and not long[j] and off[j + 1] - off[i] <= segment:
+            while j < n and off[j + 1] - off[i] <= segment:
                 j += 1
             yield from self._segment(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             i = j
@@ -304,10 +279,21 @@ def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18, m
         if use.any():
             keep = use[which]
             at, which = at[keep], which[keep]
+            # of overlapping occurrences the more frequent pair's is taken, of one pair's every other one
             start = np.r_[True, np.diff(at) > 1]
             first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            take = (at - at[first]) % 2 == 0
-            at, which = at[take], which[take]
+            weight = count[which] << 24 | which & 0xFFFFFF
+            alone = np.zeros(len(at), bool)
+            ahead, behind = np.full(len(at), -1), np.full(len(at), -1)
+            near = ~start[1:]
+            ahead[:-1][near], behind[1:][near] = weight[1:][near], weight[:-1][near]
+            alone = (weight > ahead) & (weight > behind)
+            even = (at - at[first]) % 2 == 0
+            same = (weight == ahead) | (weight == behind)
+            take = alone | (same & even & (weight >= ahead) & (weight >= behind))
+            taken = take.copy()
+            taken[1:] &= ~(take[:-1] & near)  # a pair's run may end beside a taken one
+            at, which = at[taken], which[taken]
             done = np.bincount(which, minlength=len(pair))
             use &= done >= min(now, max(2, min_count))
         if not use.any():
@@ -372,33 +358,73 @@ def decode_ids(codes: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base:
     return out[skip : skip + stop - start]
 
 
+def _bits(values: np.ndarray, width: int) -> np.ndarray:
+    """(n, width): the bits of each value, the lowest first."""
+    return np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    return np.packbits(_bits(values, width).ravel(), bitorder="little").tobytes()
+
+
 def unpack(codes: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(codes, "<u2" if width == 2 else "<u4")
+    """The codes of a document."""
+    bits = np.unpackbits(np.frombuffer(codes, np.uint8), bitorder="little")
+    n = len(bits) // width  # what fills up the last byte is less than a code
+    out = np.zeros((n, 32), np.uint8)
+    out[:, :width] = bits[: n * width].reshape(n, width)
+    return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
+
+
+def unpack_rules(rules: bytes, width: int) -> np.ndarray:
+    return unpack(rules, width).reshape(-1, 2)
+
+
+def unpack_lengths(lengths: bytes) -> np.ndarray:
+    return unpack(lengths[1:], lengths[0])
+
+
+def _length_bits(lengths: np.ndarray) -> int:
+    return max(8, int(lengths.max(initial=1)).bit_length())
 
 
 def repaired(seq: np.ndarray, base: int, min_count: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The result of :func:`repair` with the bytes of a code, of the two widths the one that takes less.
+    """The result of :func:`repair` with the bits of a code.
 
-    A pair is replaced from the count at which its rule saves more than it takes, unless ``min_count`` is given.
+    Of the widths that hold the first so many rules the one is taken with which codes, rules and lengths are the smallest; codes
+    of the rules beyond are expanded again.
     """
+    seq, rules, lengths = repair(seq, base, PAYS if min_count is None else min_count)
+    widths = range(max(base - 1, 1).bit_length(), max(base + len(rules) - 1, 1).bit_length() + 1)
+    used = np.bincount(seq[seq >= base] - base, minlength=len(rules))
+    plain = int((seq >= 0).sum() - used.sum())
     best = None
-    for width in (2, 4):
-        most = (1 << 8 * width) - base
-        if most < 0:
-            continue
-        got = (*repair(seq, base, RULE_BYTES // width + 1 if min_count is None else min_count, most=most), width)
-        size = lambda x: x[3] * len(x[0]) + RULE_BYTES * len(x[1])
-        if best is None or size(got) < size(best):
-            best = got
-        # where two bytes have room for all rules, four can't take less
-        if width == 2 and len(got[1]) < most:
-            break
-    return best
-
-
-def _encoded(vocabulary: str, shard_tokens: int, min_count: int | None):
+    for width in widths:
+        n = min(len(rules), (1 << width) - base)
+        parts = np.ones(len(rules), np.int64)  # codes of each rule where only n are kept
+        at = n
+        while at < len(rules):  # rules that refer to none beyond ``at`` are known at once
+            ahead = np.flatnonzero(rules[at:].max(axis=1) >= base + at)
+            end = at + int(ahead[0]) if len(ahead) else len(rules)
+            part = rules[at:end].astype(np.int64) - base
+            parts[at:end] = np.where(part >= n, parts[np.maximum(part, 0)], 1).sum(axis=1)
+            at = end
+        bits = width * (plain + int(used @ parts) + 2 * n) + n * _length_bits(lengths[:n])
+        if best is None or bits < best[0]:
+            best = bits, width, n
+    _, width, n = best
+    while (over := seq >= base + n).any():
+        at = np.cumsum(1 + over) - 1 - over
+        new = np.empty(len(seq) + int(over.sum()), np.int32)
+        new[at[~over]] = seq[~over]
+        new[at[over]], new[at[over] + 1] = rules[seq[over] - base].astype(np.int32).T
+        seq = new
+    return seq, rules[:n], lengths[:n], width
+
+
+def _encoded(vocabulary, shard_tokens: int, min_count: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary.value)
         base = encoder.enc.n_vocab
         part, k = TaskContext.get().partitionId(), 0
         ids: list = []
@@ -411,19 +437,19 @@ def _encoded(vocabulary: str, shard_tokens: int, min_count: int | None):
             whole = [x for d in docs if d is not None for x in (d, sep)]
             seq, rules, lengths, width = repaired(np.concatenate(whole) if whole else sep, base, min_count)
             cut = np.flatnonzero(seq < 0)
-            packed = seq.astype("<u2" if width == 2 else "<u4").tobytes()
+            bits = _bits(np.maximum(seq, 0), width)
             codes, at, j = [], 0, 0
             for d in docs:
                 if d is None:
                     codes.append(None)
                     continue
-                codes.append(packed[at * width : int(cut[j]) * width])
+                codes.append(np.packbits(bits[at : cut[j]].ravel(), bitorder="little").tobytes())
                 at, j = int(cut[j]) + 1, j + 1
             shard, n = f"{part:06d}-{k:05d}", len(docs)
             none = [None] * n
             rows = [
-                [shard] * (n + 1), [*ids, None], [*(None if d is None else len(d) for d in docs), None], [*(None if d is None else width for d in docs), None],
-                [*codes, None], [*none, rules.astype("<u4").tobytes()], [*none, lengths.astype("<u4").tobytes()],
+                [shard] * (n + 1), [*ids, None], [*(None if d is None else len(d) for d in docs), None], [*(None if d is None else width for d in docs), width],
+                [*codes, None], [*none, pack(rules.ravel(), width)], [*none, bytes([most := _length_bits(lengths)]) + pack(lengths, most)],
             ]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             k, ids, docs, size = k + 1, [], [], 0
@@ -446,7 +472,17 @@ def _encoded(vocabulary: str, shard_tokens: int, min_count: int | None):
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, min_count: int | None = None) -> DataFrame:
-    """``docs`` as rows of :data:`SCHEMA`. One pass over the input partitions, no shuffle."""
+    """``docs`` as rows of :data:`SCHEMA`. One pass over the input partitions, no shuffle.
+
+    :param vocabulary: file of the driver, or of a file system that Spark reads; its content is sent to the tasks
+    """
+    spark = docs.sparkSession
+    if os.path.exists(vocabulary):
+        with open(vocabulary, "rb") as f:
+            content = f.read()
+    else:
+        content = bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0])
+    vocabulary = spark.sparkContext.broadcast(content)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encoded(vocabulary, shard_tokens, min_count), SCHEMA)
 

@@ -126,7 +126,7 @@ def test_round_trip_and_random_access(spark, docs, frame):
     texts = dict(zip(frame.doc_id, frame.text))
     assert any(len(r.rules) for r in rules.values())
     for r in (r for r in rows if r.rules is None):
-        pairs, lengths = np.frombuffer(rules[r.shard].rules, "<u4").reshape(-1, 2), np.frombuffer(rules[r.shard].lengths, "<u4")
+        pairs, lengths = tokens.unpack_rules(rules[r.shard].rules, r.width), tokens.unpack_lengths(rules[r.shard].lengths)
         codes = tokens.unpack(r.codes, r.width)
         ids = tokens.decode_ids(codes, pairs, lengths, enc.n_vocab)
         assert ids.tolist() == enc.encode(texts[r.doc_id], disallowed_special=())

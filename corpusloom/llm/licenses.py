@@ -7,6 +7,9 @@ block must agree, and the words that tell licenses apart (versions, nc, nd, sa,
 the same. A confirmed template's wording is cut out, and what is left of the block is ranked again, so that each
 license of a block is a row, with a span of its own where there are several. A block that no template is confirmed for is reported as ``unknown`` with its nearest template.
 
+Whole license texts, of thousands of words, are looked for first: a stretch that shares many runs of ``GRAM`` words with them is a block by itself, ranked
+and confirmed in the same way, and what it takes up is one row, however many sections it has.
+
 Defined results: null and empty texts have no blocks. A null doc_id is reported as null. Repeated rows are
 reported each. Equal reductions rank by the template's name. Spans are [start, end) in characters.
 """
@@ -17,18 +20,24 @@ import difflib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib.resources import files
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_table
-from corpusloom.llm.words import as_texts
+from corpusloom.llm.words import WORD, as_texts, grams, words
 
 SCHEMA = "doc_id bigint, start int, end int, license string, template string, reduction double, agreement double, added array<string>, missing array<string>"
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
+_LIABLE = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_LIABLE = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_LIABLE = "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_ZLIB_REST = "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
@@ -89,12 +98,18 @@ def _templates() -> dict[str, dict[str, str]]:
                 "line": f"Licensed under CC BY{short} {v}.",
                 "named": f"This work is licensed under a Creative Commons Attribution{long} {v} {'International' if v == '4.0' else 'Unported'} License.",
             }
+    for name, rest in (("MIT", _LIABLE), ("ISC", _ISC_LIABLE), ("BSD-2-Clause", _BSD_LIABLE), ("BSD-3-Clause", _BSD_LIABLE), ("Zlib", _ZLIB_REST)):
+        t[name]["full"] = f"{t[name]['text']} {rest}"
     for name, forms in t.items():
         forms["spdx"] = f"SPDX-License-Identifier: {name}"
     return t
 
 
 TEMPLATES = _templates()
+#: Whole texts of licenses by their files' names.
+FULL = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+#: Words of the runs by which whole texts are found, how many of them must be there, and words between two that part stretches.
+GRAM, RUNS, APART = 6, 30, 200
 #: Words that tell one license from another: they must be the same in a block and its template.
 _TELLING = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike lesser affero cc0 zero mit isc bsd apache mozilla mpl boost zlib unlicense gpl lgpl agpl".split())
 _CLUE = r"(?i)licen[cs]|copyright|spdx|creative commons|\bcc[ -]by|\bcc0|warrant|\b[al]?gpl|redistribut|public domain|rights reserved|permission"
@@ -128,6 +143,69 @@ def _prepared():
     return out, alone, vocabulary
 
 
+def full_texts() -> dict[str, str]:
+    folder = files("corpusloom.llm") / "license_texts"
+    return {name: (folder / f"{f}.txt").read_text("utf-8") for name, f in FULL.items()}
+
+
+@lru_cache(1)
+def _full():
+    """(license, words, compressor, compressed size) of the whole texts; a compressor without dictionary; the hashes of their runs in order."""
+    import zstandard
+
+    level = zstandard.ZstdCompressionParameters.from_level(12, source_size=1 << 17, dict_size=1 << 16, write_content_size=0, min_match=3)
+    alone = zstandard.ZstdCompressor(compression_params=level)
+    out, runs = [], []
+    for name, text in sorted(full_texts().items()):
+        ws = word_list(text)
+        data = " ".join(ws).encode()
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.append((name, ws, zstandard.ZstdCompressor(dict_data=d, compression_params=level), len(alone.compress(data))))
+        runs.append(grams(words(pa.array([text])), GRAM)[0])
+    return out, alone, np.unique(np.concatenate(runs))
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Spans that share many runs of words with whole license texts."""
+    runs = _full()[2]
+    g, _ = grams(words(pa.array([text])), GRAM)
+    at = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, g), len(runs) - 1)] == g)
+    if len(at) < RUNS:
+        return []
+    spans = [m.span() for m in WORD.finditer(text.lower())]
+    if len(spans) < len(g) + GRAM - 1 or len(text.lower()) != len(text):
+        return []
+    parts = np.split(at, np.flatnonzero(np.diff(at) > APART) + 1)
+    # a header or a title may stand before the first run
+    return [(spans[max(0, int(p[0]) - 2)][0], spans[min(len(spans), int(p[-1]) + GRAM + 2) - 1][1]) for p in parts if len(p) >= RUNS]
+
+
+def _whole_licenses(text: str) -> list[tuple]:
+    """Rows as of :func:`findings` for whole license texts."""
+    out = []
+    prepared, alone, _ = _full()
+    todo = stretches(text)
+    while todo:
+        a, b = todo.pop()
+        spans = [m.span() for m in _PART.finditer(text, a, b)]
+        ws = [_SAME.get(w, w) for w in (text[x:y].lower() for x, y in spans)]
+        data = " ".join(ws).encode()
+        size = len(alone.compress(data))
+        saved = sorted(((size - len(c.compress(data)), name, tws, own) for name, tws, c, own in prepared), key=lambda r: (-r[0], r[1]))
+        starts = frozenset(k for k in range(1, len(spans)) if _START.search(text, spans[k - 1][1], spans[k][0]))
+        for gain, name, tws, own in saved:
+            if gain < 0.3 * own:  # too little of the license's wording is in it
+                break
+            ok, agreement, added, missing, taken = confirmed(ws, tws, starts)
+            if not ok or agreement < 0.6:
+                continue
+            lo, hi = taken[0][0], taken[-1][1]
+            out.append((spans[lo][0], spans[hi - 1][1], name, f"{name}/whole", round(gain / size, 4), agreement, added, missing))
+            todo += [(spans[x][0], spans[y - 1][1]) for x, y in ((0, lo), (hi, len(ws))) if y - x >= RUNS]
+            break
+    return sorted(out, key=lambda f: f[:2])
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans of successive segments most words of which occur in templates, with a clue among them."""
     vocabulary = _prepared()[2]
@@ -157,8 +235,21 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return trimmed
 
 
+#: What stands before a number of a license's name; other numbers are those of a list.
+_NUMBERED = frozenset("version bsd mpl gpl lgpl agpl apache by nc sa nd cc bsl zlib attribution noncommercial sharealike noderivatives noderivs mozilla".split())
+
+
 def _telling(ws: list[str], at: int, count: int) -> set[str]:
-    return {w for w in ws[at : at + count] if w in _TELLING or w.isdigit() and len(w) <= 2}
+    out = set()
+    for k in range(at, min(at + count, len(ws))):
+        w = ws[k]
+        if w in _TELLING:
+            out.add(w)
+        elif w.isdigit() and len(w) <= 2:
+            lead = k - 1 if k and ws[k - 1].isdigit() else k  # 2.0 is two numbers
+            if lead and ws[lead - 1] in _NUMBERED or ws[k + 1 : k + 2] in (["clause"], ["universal"]):
+                out.add(w)
+    return out
 
 
 def ranked(ws: list[str]) -> list[tuple[float, str, str, list[str]]]:
@@ -234,40 +325,52 @@ def findings(text: str) -> list[tuple]:
 
     What a confirmed template takes up is cut out, and the pieces left are ranked again until none is confirmed.
     """
-    out = []
+    out = _whole_licenses(text)
+    whole = [f[:2] for f in out]
     for a, b in blocks(text):
-        spans = [m.span() for m in _PART.finditer(text, a, b)]
-        ws = [_SAME.get(w, w) for w in (text[x:y].lower() for x, y in spans)]
-        order = ranked(ws)
-        if order[0][0] < 0.2:  # no template's wording is in it
-            continue
-        starts = {k for k in range(1, len(spans)) if _START.search(text, spans[k - 1][1], spans[k][0])}
-        found: dict[str, tuple] = {}
-        pieces = [(0, len(ws), order)]
-        while pieces:
-            lo, hi, order = pieces.pop()
-            part = ws[lo:hi]
-            order = ranked(part) if order is None else order
-            for reduction, key, name, tws in order:
-                if reduction < max(0.2, 0.3 * order[0][0]):  # what compresses so much worse isn't worded like the piece
-                    break
-                ok, *wording, taken = confirmed(part, tws, frozenset(k - lo for k in starts))
-                if not ok:
-                    continue
-                if name not in found:
-                    found[name] = (spans[lo + taken[0][0]][0], spans[lo + taken[-1][1] - 1][1], name, key, reduction, *wording)
-                ends = [0, *(x for t in taken for x in t), len(part)]
-                for x, y in zip(ends[::2], ends[1::2]):
-                    if y - x >= 3 and _CLUE_PY.search(text, spans[lo + x][0], spans[lo + y - 1][1]):
-                        pieces.append((lo + x, lo + y, None))
+        if any(x < b and a < y for x, y in whole):
+            rest = [a, *(min(max(e, a), b) for f in whole for e in f), b]
+            left = [(x, y) for x, y in zip(rest[::2], rest[1::2]) if y > x and _CLUE_PY.search(text, x, y) and len(word_list(text[x:y])) >= 3]
+        else:
+            left = [(a, b)]
+        for x, y in left:
+            out += _block(text, x, y)
+    return sorted(out, key=lambda f: f[:2])
+
+
+def _block(text: str, a: int, b: int) -> list[tuple]:
+    """The rows of one block."""
+    spans = [m.span() for m in _PART.finditer(text, a, b)]
+    ws = [_SAME.get(w, w) for w in (text[x:y].lower() for x, y in spans)]
+    order = ranked(ws)
+    if order[0][0] < 0.2:  # no template's wording is in it
+        return []
+    starts = {k for k in range(1, len(spans)) if _START.search(text, spans[k - 1][1], spans[k][0])}
+    found: dict[str, tuple] = {}
+    pieces = [(0, len(ws), order)]
+    while pieces:
+        lo, hi, order = pieces.pop()
+        part = ws[lo:hi]
+        order = ranked(part) if order is None else order
+        for reduction, key, name, tws in order:
+            if reduction < max(0.2, 0.3 * order[0][0]):  # what compresses so much worse isn't worded like the piece
                 break
-        if not found:
-            reduction, key, _, tws = ranked(ws)[0]
-            found["unknown"] = (a, b, "unknown", key, reduction, *confirmed(ws, tws, frozenset(starts))[1:4])
-        if len(found) == 1:
-            found = {k: (a, b, *f[2:]) for k, f in found.items()}
-        out += sorted(found.values())
-    return out
+            ok, *wording, taken = confirmed(part, tws, frozenset(k - lo for k in starts))
+            if not ok:
+                continue
+            if name not in found:
+                found[name] = (spans[lo + taken[0][0]][0], spans[lo + taken[-1][1] - 1][1], name, key, reduction, *wording)
+            ends = [0, *(x for t in taken for x in t), len(part)]
+            for x, y in zip(ends[::2], ends[1::2]):
+                if y - x >= 3 and _CLUE_PY.search(text, spans[lo + x][0], spans[lo + y - 1][1]):
+                    pieces.append((lo + x, lo + y, None))
+            break
+    if not found:
+        reduction, key, _, tws = ranked(ws)[0]
+        found["unknown"] = (a, b, "unknown", key, reduction, *confirmed(ws, tws, frozenset(starts))[1:4])
+    if len(found) == 1:
+        found = {k: (a, b, *f[2:]) for k, f in found.items()}
+    return sorted(found.values())
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

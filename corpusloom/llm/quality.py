@@ -10,7 +10,8 @@ slash; a source with neither is the host, and the language is its path.
 
 Defined results: a null text, or one without words, has evidence 0, is rejected, and tells nothing about its
 site. A null source or lang is a site of its own. Without labels of both classes every text with words gets
-the share of positive labels (1 where there are none). Repeated rows are scored alike.
+the share of positive labels (1 where there are none). Repeated rows are scored alike; of a labelled id's texts the first
+in order is learned from.
 """
 
 from __future__ import annotations
@@ -81,6 +82,8 @@ def _features(texts: pa.Array) -> np.ndarray:
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
     pair = np.zeros(len(doc), np.uint64)
     pair[1:] = mix(w.hash[1:] ^ (w.hash[:-1] * np.uint64(3)))
+    begin = w.first[:-1][count > 0]
+    pair[begin] = mix(w.hash[begin])  # a text's first word has none before it, whatever text comes before
     total = np.bincount(doc, length, n)
     out = np.stack(
         [
@@ -154,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     )
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = text.where("text IS NOT NULL").join(F.broadcast(sample), F.col("doc_id") == F.col("__loom_id"))
+    text = text.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))  # one row an id, so that their number is bounded
     rows = text.select("y", "text").mapInArrow(_training, "y int, f array<double>").toPandas()
     x = np.array(rows["f"].tolist(), np.float64).reshape(-1, FEATURES)
     order = np.lexsort(np.nan_to_num(x, nan=-1.0).T)  # the result doesn't depend on the order of tasks

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import LOCAL_EDGES, components, dropped, union_find  # noqa: F401
+from corpusloom.sources.shared import written  # noqa: F401
 
 #: Id lists up to this many rows are sent to every executor (8 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -16,25 +14,6 @@ BROADCAST_IDS = 2_000_000
 BATCH = "8m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset on a local master (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds what Python workers hold at once: Arrow batches of ``BATCH`` bytes, unless the session has its own bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -9,7 +9,8 @@ that is less work. All pairs of a bucket are verified by Hamming distance, and g
 
 Defined results: a null text or a null doc_id takes no part (the row stays, in no group). A text without
 words, empty ones included, is fingerprinted by its exact characters, so only exact copies of it match.
-Rows repeated under one doc_id count as one document. The representative is the group's least doc_id.
+Rows repeated under one doc_id count as one document, which is near whatever one of its texts is near. The representative is the
+group's least doc_id. :func:`keep_one` decides by row instead.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, quoted, read_table, union_find, without, written
+from corpusloom.llm.common import BROADCAST_IDS, components, quoted, read_table, union_find, without, written
 from corpusloom.llm.words import as_texts, chunks, mix, text_hash, words
 
 WORDS = 4
@@ -269,18 +270,33 @@ def near_duplicates(docs: DataFrame, threshold: int = 40, tables: int = 24, cap:
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all columns as they were.
 
-    Rows repeated under one doc_id are reduced to the one with the least text; rows without doc_id or text stay.
+    Rows without doc_id or text stay. Rows of one doc_id with equal texts are one document, of which the least row stays; rows
+    with different texts are documents of their own, so that no text goes for another's sake.
     """
-    gone = written(near_duplicates(docs, **params).select("doc_id").distinct())
-    out = without(docs, gone)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
-        return out
-    rest = without(out, again)
-    side = again.select(F.col("doc_id").alias("__loom_key"))
-    twice = out.join(side, out["doc_id"] == side["__loom_key"], "left_semi")
-    first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*quoted(twice.columns)), F.coalesce("text", F.lit(""))).alias("__loom_row"))
-    return rest.unionByName(first.select("__loom_row.*"))
+        return without(docs, written(near_duplicates(docs, **params).select("doc_id").distinct()))
+    side = F.broadcast(again) if again.count() <= BROADCAST_IDS else again.hint("shuffle_hash")
+    side = side.select(F.col("doc_id").alias("__loom_key"))
+    text = F.col("text").cast("string")
+    twice = docs.join(side, docs["doc_id"] == side["__loom_key"], "left_semi").withColumn("__loom_md5", F.md5(text))
+    # a large number for each text of such an id, so that other ids are the representatives; drawn anew should any be taken already
+    units = twice.where("__loom_md5 IS NOT NULL").select("doc_id", "__loom_md5").distinct()
+    once = without(docs, again)
+    salt = 0
+    while True:
+        named = written(units.withColumn("__loom_unit", F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id", "__loom_md5"), 2) + F.lit(1 << 62)))
+        taken = named.join(once.select(F.col("doc_id").cast("bigint").alias("__loom_unit")), "__loom_unit", "left_semi")
+        if taken.isEmpty() and named.select("__loom_unit").distinct().count() == named.count():
+            break
+        salt += 1
+    rows = twice.groupBy("doc_id", "__loom_md5").agg(F.min_by(F.struct(*quoted(docs.columns)), F.xxhash64(*quoted([c for c, t in docs.dtypes if not t.startswith("map")]))).alias("__loom_row"))
+    rows = written(rows.join(named.select(F.col("doc_id").alias("__loom_id"), F.col("__loom_md5").alias("__loom_m"), "__loom_unit"), (F.col("doc_id") == F.col("__loom_id")) & (F.col("__loom_md5") == F.col("__loom_m")), "left").select("__loom_unit", "__loom_row"))
+    every = once.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    every = every.unionByName(rows.where("__loom_unit IS NOT NULL").select(F.col("__loom_unit").alias("doc_id"), F.col("__loom_row.text").cast("string").alias("text")))
+    gone = written(near_duplicates(every, **params).select("doc_id").distinct())
+    kept = without(rows, gone.select(F.col("doc_id").alias("__loom_unit")), "__loom_unit").select("__loom_row.*")
+    return without(once, gone).unionByName(kept)
 
 
 def op3_simhash_near_dedup(spark, sf_dir):

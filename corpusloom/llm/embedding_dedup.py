@@ -2,13 +2,14 @@
 
 Equal vectors collapse first. Centroids are refined over all vectors; each vector has a home cell and also
 visits the cells whose border is near enough for a neighbour to lie beyond it. Two vectors within the
-threshold differ by at most ``delta = sqrt(2 - 2 * threshold)``; a vector visits cell c when its margin to c,
-``x . (home - c) / |home - c|``, is at most ``slack * delta / sqrt(d)``. With slack = sqrt(d) no pair can be
+threshold differ by at most ``delta = sqrt(2 - 2 * threshold)``. Where a border parts them their margins to it,
+``x . (home - c) / |home - c|``, sum up to the part of that difference that is across the border, so one of the two is within half of it and
+visits the other's cell: a vector visits cell c when its margin is at most ``slack * delta / sqrt(d) / 2``. With slack = sqrt(d) no pair can be
 missed; the default of 3 covers three standard deviations of a difference without preferred direction.
 Cells are compared in blocks, so a cell's size bounds no task, and groups are connected components.
 
 Defined results: a null or empty vector, one with a null, NaN or infinite entry, of zero length, or a null
-id takes no part. Vectors of another than the most frequent dimension (the larger of ties) take no part.
+id takes no part. Vectors are compared with those of their own dimension.
 Rows repeated under one id count as the least of its vectors. The representative is the group's least id.
 """
 
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, read_table, union_find, written
+from corpusloom.llm.common import BROADCAST_IDS, components, read_table, union_find, written
 
 #: Vectors a cell holds on average, and the most cells there are (their centroids are sent to every task).
 CELL = 2048
@@ -35,21 +37,28 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, d) if len(col) else np.zeros((0, d), np.float32)
 
 
+def _rows_of(x: np.ndarray) -> pa.Array:
+    """The rows of a float32 matrix as binary, in one buffer."""
+    off = np.arange(len(x) + 1, dtype=np.int32) * np.int32(4 * (x.shape[1] if len(x) else 0))
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
 def _normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, vecs, dims = [], [], []
-        for i, v in zip(b["vec_id"].to_pylist(), b["embedding"].to_numpy(zero_copy_only=False)):
-            if v is None or len(v) == 0:
-                continue
-            v = np.asarray(v, np.float64)
-            top = np.abs(v).max()
-            if not np.isfinite(v).all() or top == 0:
-                continue
-            v = v / top
-            ids.append(i)
-            vecs.append((v / np.sqrt(v @ v)).astype(np.float32).tobytes())
-            dims.append(len(v))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "v", "d"])
+        vecs, ids = b["embedding"], b["vec_id"]
+        off = vecs.offsets.to_numpy()
+        flat = vecs.values.to_numpy(zero_copy_only=False)
+        size = np.diff(off)
+        for d in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == d)
+            for k in range(0, len(at), step := max(1, (1 << 20) // d)):
+                i = at[k : k + step]
+                x = flat[off[i][:, None] + np.arange(d)].astype(np.float64)
+                top = np.abs(x).max(axis=1)
+                ok = np.isfinite(top) & (top > 0)
+                i, x = i[ok], x[ok] / top[ok][:, None]
+                x = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), _rows_of(x), pa.array(np.full(len(i), d, np.int32))], ["vec_id", "v", "d"])
 
 
 def _assigned(x: np.ndarray, cells: np.ndarray, step: int = 4096) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,9 +75,10 @@ def _partial(cells: np.ndarray, d: int):
         for b in batches:
             x = _matrix(b["v"], d)
             for a, _, home in _assigned(x, cells):
-                for c in np.unique(home):
-                    s = x[a : a + len(home)][home == c].sum(axis=0, dtype=np.float64)
-                    sums[int(c)] = sums[int(c)] + s if int(c) in sums else s
+                order = np.argsort(home, kind="stable")
+                at = np.flatnonzero(np.r_[True, np.diff(home[order]) > 0])
+                for c, s in zip(home[order[at]].tolist(), np.add.reduceat(x[a + order].astype(np.float64), at, axis=0)):
+                    sums[c] = sums[c] + s if c in sums else s
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["cell", "s"])
 
     return run
@@ -103,8 +113,7 @@ def _placed(cells: np.ndarray, d: int, reach: float):
             for a, g, home in _assigned(x, cells):
                 apart = gap[home] if gap is not None else np.sqrt(np.maximum(0, 2 - 2 * np.clip(cells[home] @ cells.T, -1, 1)))
                 best = g[np.arange(len(home)), home]
-                # of two homes only the one with the lower number visits the other
-                visit = (best[:, None] - g <= reach * apart + 1e-6) & (np.arange(len(cells)) >= home[:, None])
+                visit = best[:, None] - g <= reach * apart + 1e-6
                 visit[np.arange(len(home)), home] = True
                 row, cell = np.nonzero(visit)
                 at = pa.array(row + a)
@@ -115,11 +124,11 @@ def _placed(cells: np.ndarray, d: int, reach: float):
     return run
 
 
-def _compared(d: int, threshold: float, step: int = 1024):
+def _compared(threshold: float, step: int = 1024):
     def run(t: pa.Table) -> pa.Table:
         ids, home, part = t["vec_id"].to_numpy(), t["home"].to_numpy(), t["part"].to_numpy()
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        x = _matrix(t["v"].combine_chunks(), d)
+        x = _matrix(t["v"].combine_chunks(), t["d"][0].as_py())
         one, two = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         left, right = [], []
         for a in range(0, len(one), step):
@@ -146,21 +155,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, slack: float =
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     unit = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, e -> e IS NULL)")
     unit = written(unit.mapInArrow(_normalized, "vec_id bigint, v binary, d int").groupBy("vec_id").agg(F.min(F.struct("v", "d")).alias("x")).select("vec_id", "x.v", "x.d"))
-    dims = unit.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    if dims is None:
-        return unit.select(F.col("vec_id").alias("rep_id"), "vec_id")
-    d = dims["d"]
-    unit = unit.where(F.col("d") == d)
-    reps = written(unit.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
+    reps = written(unit.groupBy("d", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
     same = unit.join(reps.where("n > 1").select("v", F.col("vec_id").alias("b")), "v").where("vec_id <> b").select(F.col("vec_id").alias("a"), "b")
-    cells = kmeans(reps.select("vec_id", "v"), reps.count(), d, rounds, cell)
-    reach = min(1.0, slack / math.sqrt(d)) * math.sqrt(max(0.0, 2 - 2 * threshold))
-    placed = written(reps.select("vec_id", "v").mapInArrow(_placed(cells, d, reach), "cell int, vec_id bigint, v binary, home boolean"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # at most MAX_CELLS rows
-    parted = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    # few vectors of a dimension are a cell; the others are parted into cells by dimension
+    dims = {r["d"]: r["n"] for r in reps.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") > cell).collect()}
+    placed = [reps.where(~F.col("d").isin(*dims)).select("d", F.lit(0).alias("cell"), "vec_id", "v", F.lit(True).alias("home"))]
+    for d, n in sorted(dims.items()):
+        own = reps.where(F.col("d") == d).select("vec_id", "v")
+        cells = kmeans(own, n, d, rounds, cell)
+        reach = min(1.0, slack / math.sqrt(d)) * math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+        got = own.mapInArrow(_placed(cells, d, reach), "cell int, vec_id bigint, v binary, home boolean")
+        placed.append(got.select(F.lit(d).alias("d"), "cell", "vec_id", "v", "home"))
+    placed = written(reduce(DataFrame.unionByName, placed))
+    sizes = written(placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    side = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    parted = placed.join(side, ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     paired = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    near = paired.select("cell", "lo", "hi", "part", "vec_id", "v", "home").groupBy("cell", "lo", "hi").applyInArrow(_compared(d, threshold), "a bigint, b bigint")
+    near = paired.select("d", "cell", "lo", "hi", "part", "vec_id", "v", "home").groupBy("d", "cell", "lo", "hi").applyInArrow(_compared(threshold), "a bigint, b bigint")
     return components(same.union(near)).where("node <> comp").select(F.col("comp").alias("rep_id"), F.col("node").alias("vec_id"))
 
 

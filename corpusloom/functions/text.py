@@ -69,6 +69,18 @@ def merged_symbols(symbols: Column, left: Column, right: Column) -> Column:
     return F.aggregate(symbols, empty, step)
 
 
+def merged_pairs(symbols: Column, pairs: list[tuple[str, str]]) -> Column:
+    """``symbols`` with all ``pairs`` joined, from the left, without overlaps; no two pairs have a symbol in common."""
+    before = F.create_map(*[F.lit(x) for left, right in pairs for x in (right, left)])
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.when(F.size(done) > 0, F.element_at(done, -1))
+        joins = F.coalesce(F.try_element_at(before, s) == last, F.lit(False))
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, s)))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(symbols, F.slice(symbols, 1, 0), step)
+
+
 def normalize_for_roundtrip(text: Column) -> Column:
     """What encoding and decoding keep of a text: each run of white space as one blank, none at the end."""
     return F.rtrim(F.regexp_replace(text, rf"(?U)[{ANY_SPACE}]+", " "))
@@ -129,13 +141,6 @@ def absolutize(url: Column, lang: Column) -> Column:
     )
 
 
-def native_clean(text: Column) -> Column:
-    """Those cleaning steps that built-in functions express, in their order."""
-    for step in (strip_comments, strip_refs, external_links, wiki_formatting, strip_tags, clean_whitespace):
-        text = step(text)
-    return text
-
-
 def clean_text(text: Column) -> Column:
     """The whole cleaning. The two Python islands see only the texts that need them; other rows pass as nulls."""
     from corpusloom.functions import markup

@@ -1,17 +1,18 @@
 """Byte-pair encoding over characters: learning merges, encoding, decoding, evaluation.
 
 Merges are learned from distinct words with their counts. Up to ``LOCAL_WORDS`` of them (counted) go to one task,
-which keeps pair counts as it merges; a larger table is merged by one aggregation and one projection a merge, its
-symbols written to the shared folder as the lineage grows. Both give the same merges.
+which keeps pair counts and places in arrays as it merges. A larger table stays where it is: each round aggregates its pairs and merges, in one projection,
+all of the most frequent ones that don't touch each other, as many as would come up one after the other anyway. Both give the same merges.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import counts
+from corpusloom.operators.components import dropped
 from corpusloom.sources.shared import written
 
 LOCAL_WORDS = 2_000_000
+#: Pairs that a round looks at, at most.
+ROUND = 1000
 SILENT = ("<pad>", "<bos>", "<eos>")
 
 
@@ -42,49 +46,89 @@ def learn(words: Iterable[tuple[str, int]], merges: int, at_least: int = 2, know
 
     With ``known`` tokens, ``merges`` counts the new tokens: a result that is known, or was made of another pair, isn't new.
     """
-    table = [(list(w), n) for w, n in sorted(words)]
-    count: Counter = Counter()
-    where: dict = defaultdict(set)
-    for i, (s, n) in enumerate(table):
-        for p in zip(s, s[1:]):
-            count[p] += n
-            where[p].add(i)
-    heap = [(-n, p) for p, n in count.items()]
+    table = [x for x in sorted(words) if x[0]]
+    if not table:
+        return []
+    size = np.fromiter((len(w) for w, _ in table), np.int64, len(table))
+    letters = np.frombuffer("".join(w for w, _ in table).encode("utf-32-le"), np.uint32)
+    alphabet, letters = np.unique(letters, return_inverse=True)
+    names = [chr(c) for c in alphabet.tolist()]
+    number = {t: i for i, t in enumerate(names)}
+    # every word lies between two places that hold no symbol
+    place = np.arange(len(letters)) + np.repeat(np.arange(1, len(table) + 1), size)
+    total = len(letters) + len(table) + 1
+    symbol, freq = np.full(total, -1, np.int64), np.zeros(total, np.int64)
+    symbol[place] = letters
+    freq[place] = np.repeat(np.fromiter((n for _, n in table), np.int64, len(table)), size)
+    after, before, live = np.arange(1, total + 1), np.arange(-1, total - 1), np.ones(total, bool)
+
+    def keyed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``at`` where a pair begins, and its key."""
+        at = at[symbol[at] >= 0]
+        right = symbol[after[at]]
+        at, right = at[right >= 0], right[right >= 0]
+        return at, symbol[at] << 32 | right
+
+    def parted(at: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+        return zip(key[cut].tolist(), np.split(at, cut[1:])) if len(key) else iter(())
+
+    where: dict = defaultdict(list)
+    count: dict[int, int] = {}
+    for k, at in parted(*keyed(np.arange(total))):
+        where[k].append(at)
+        count[k] = int(freq[at].sum())
+    queued = lambda k: (-count[k], names[k >> 32], names[k & 0xFFFFFFFF], k)
+    heap = [queued(k) for k in count]
     heapq.heapify(heap)
     out: list[tuple[str, str]] = []
     made, new_tokens = set(known or ()), 0
     while heap and new_tokens < merges:
-        n, pair = heapq.heappop(heap)
+        n, left, right, pair = heapq.heappop(heap)
         now = count.get(pair, 0)
         if now != -n:  # changed since it was queued: what has become less is queued here, what has become more below
             if 0 < now < -n:
-                heapq.heappush(heap, (-now, pair))
+                heapq.heappush(heap, queued(pair))
             continue
         if now < at_least:
             break
-        out.append(pair)
-        if known is None or pair[0] + pair[1] not in made:
+        out.append((left, right))
+        if known is None or left + right not in made:
             new_tokens += 1
-            made.add(pair[0] + pair[1])
-        more: dict = defaultdict(int)
-        for i in where.pop(pair, ()):
-            s, n = table[i]
-            new = merged(s, *pair)
-            if len(new) == len(s):
-                continue
-            for p in zip(s, s[1:]):
-                more[p] -= n
-            for p in zip(new, new[1:]):
-                more[p] += n
-                where[p].add(i)
-            table[i] = (new, n)
-        for p, d in more.items():
-            count[p] += d
-            if count[p] <= 0:
-                del count[p]
-                where.pop(p, None)
-            elif d > 0:
-                heapq.heappush(heap, (-count[p], p))
+            made.add(left + right)
+        result = number.setdefault(left + right, len(names))
+        if result == len(names):
+            names.append(left + right)
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        at = np.unique(np.concatenate(where.pop(pair)))
+        at = at[live[at] & (symbol[at] == a)]
+        at = at[symbol[after[at]] == b]
+        if a == b:  # of a run every other one, from the left
+            start = np.r_[True, after[at[:-1]] != at[1:]]
+            k = np.arange(len(at))
+            at = at[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0]
+        gone = after[at]
+        old, old_key = keyed(np.unique(np.concatenate([before[at], at, gone])))
+        old_freq = freq[old]
+        beyond = after[gone]
+        symbol[at], live[gone] = result, False
+        after[at], before[beyond] = beyond, at
+        new, new_key = keyed(np.unique(np.concatenate([before[at], at])))
+        keys, which = np.unique(np.concatenate([old_key, new_key]), return_inverse=True)
+        change = np.zeros(len(keys), np.int64)
+        np.add.at(change, which, np.concatenate([-old_freq, freq[new]]))
+        for k, d in zip(keys.tolist(), change.tolist()):
+            if d:
+                count[k] = c = count.get(k, 0) + d
+                if c <= 0:
+                    del count[k]
+                elif d > 0:
+                    heapq.heappush(heap, queued(k))
+        mine = (new_key >> 32 == result) | (new_key & 0xFFFFFFFF == result)
+        for k, at in parted(new[mine], new_key[mine]):
+            where[k].append(at)
     return out
 
 
@@ -105,23 +149,52 @@ def train(words: DataFrame, merges: int, at_least: int = 2, local_words: int = L
     words = written(words.select("word", F.col("freq").cast("bigint").alias("freq")).where("word IS NOT NULL AND freq > 0"))
     if words.count() <= local_words:
         return words.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_one_task(merges, at_least, known), MERGES)
-    symbols, found = words.select("freq", tx.codepoints(F.col("word")).alias("s")).where("size(s) > 1"), []
-    made, new_tokens = set(known or ()), 0
+    symbols, found, last = words.select("freq", tx.codepoints(F.col("word")).alias("s")).where("size(s) > 1"), [], None
+    made, new_tokens, rounds = set(known or ()), 0, 0
     while new_tokens < merges:
         pairs = symbols.select("freq", F.explode(tx.adjacent_pairs(F.col("s"))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
-        best = counts.best_pairs(pairs.where(F.col("n") >= at_least), 1).first()
-        if best is None:
+        best = [(r["left"], r["right"], r["n"]) for r in counts.best_pairs(pairs.where(F.col("n") >= at_least), ROUND).collect()]
+        taken = []
+        for left, right, _ in successive(best):
+            if new_tokens >= merges:
+                break
+            taken.append((left, right))
+            found.append((len(found), left, right, left + right))
+            if known is None or left + right not in made:
+                new_tokens += 1
+                made.add(left + right)
+        if not taken:
             break
-        found.append((len(found), best["left"], best["right"], best["left"] + best["right"]))
-        if known is None or found[-1][3] not in made:
-            new_tokens += 1
-            made.add(found[-1][3])
-        symbols = symbols.select("freq", tx.merged_symbols(F.col("s"), F.lit(best["left"]), F.lit(best["right"])).alias("s")).where("size(s) > 1")
-        if len(found) % write_every == 0:
+        symbols = symbols.select("freq", tx.merged_pairs(F.col("s"), taken).alias("s")).where("size(s) > 1")
+        rounds += 1
+        if rounds % write_every == 0:
             symbols = written(symbols)
+            if last is not None:
+                dropped(last)
+            last = symbols
     return words.sparkSession.createDataFrame(found, MERGES)
 
 
+def successive(best: list[tuple[str, str, int]], most: int | None = None) -> list[tuple[str, str, int]]:
+    """Of pairs in their order, those that would be merged one after the other before any other pair comes up.
+
+    Pairs without a common symbol don't change each other's counts. A merge makes pairs of the neighbours of its symbols, none more frequent than the
+    pair it comes from, which shares a symbol with the merge; so every pair above the first such one is safe. A pair of one symbol with itself may make a more frequent one
+    and ends the round; so does the end of the list.
+    """
+    most = ROUND if most is None else most
+    taken, used = [], set()
+    for left, right, n in best:
+        if used & {left, right}:
+            break
+        taken.append((left, right, n))
+        used |= {left, right}
+        if left == right:
+            break
+    touched = next((n for left, right, n in best[len(taken) :] if used & {left, right}), best[-1][2] if len(best) >= most else 0)
+    return [t for i, t in enumerate(taken) if i == 0 or t[2] > touched]
+
+
 @dataclass
 class Tokenizer:
     """Merges and ids, small enough for every task (a vocabulary's size)."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import minhash
+from corpusloom.operators import minhash, ranks
 from corpusloom.operators.components import components
 from corpusloom.sources.shared import written
 from corpusloom.sources.tables import table
@@ -122,21 +122,21 @@ def minhash_candidates(shingled: DataFrame, bands: int = 16, rows: int = 3, thre
 
 
 def benchmark_overlap(spark, sf_dir):
-    """Documents that share a run of 13 words with a benchmark item."""
-    run = lambda df, key: df.select(key, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where("size(w) >= 13").select(
-        key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 12), lambda i: F.array_join(F.slice("w", i, 13), " "))).alias("g")
-    )
-    items = run(table(spark, sf_dir, "benchmark"), "item_id").select("g").distinct()
-    return run(_docs(spark, sf_dir), "doc_id").join(items, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("runs"))
+    """Documents that share a run of 13 words with a benchmark item; runs go as hashes of 64 bits, those of the benchmark to every task while their number allows."""
+    words = lambda df, key: df.select(key, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where("size(w) >= 13")
+    runs = lambda df, key: words(df, key).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 12), lambda i: F.xxhash64(F.slice("w", i, 13)))).alias("g"))
+    items = written(runs(table(spark, sf_dir, "benchmark"), "item_id").select("g").distinct())
+    return runs(_docs(spark, sf_dir), "doc_id").join(ranks.sided(items), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("runs"))
 
 
 def quality_features(spark, sf_dir):
     """Surface features, and the mean negative log likelihood of a document's words under the corpus' unigrams."""
     docs = _docs(spark, sf_dir)
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    words = written(docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n")))
     model = words.groupBy("w").agg(F.sum("n").alias("c"))
-    model = model.crossJoin(F.broadcast(model.agg(F.sum("c").alias("total")))).select("w", (-F.log(F.col("c") / F.col("total"))).alias("nll"))
-    scored = words.join(model, "w").groupBy("doc_id").agg(F.round(F.sum(F.col("n") * F.col("nll")) / F.sum("n"), 6).alias("nll"), F.sum("n").alias("words"), F.count("*").alias("distinct_words"))
+    total = words.agg(F.sum("n")).first()[0] or 1
+    model = model.select("w", "c", (-F.log(F.col("c") / F.lit(total))).alias("nll"))
+    scored = ranks.joined_by_frequency(words, model, "w", "c").groupBy("doc_id").agg(F.round(F.sum(F.col("n") * F.col("nll")) / F.sum("n"), 6).alias("nll"), F.sum("n").alias("words"), F.count("*").alias("distinct_words"))
     t = F.col("text")
     surface = docs.select(
         "doc_id", F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]")).cast("bigint").alias("symbols"), F.regexp_count(t, F.lit(r"[A-Z]")).cast("bigint").alias("capitals"),
@@ -158,19 +158,114 @@ def redacted(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tx.redact(F.col("text"))).alias("md5"), *(F.regexp_count("text", F.lit(p)).cast("bigint").alias(k) for k, p in tx.PII))
 
 
+def _draw(key: str):
+    """A number in [0, 1) that depends on the id alone."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def rebalanced(spark, sf_dir):
     """Documents kept so that every source has equal characters in expectation, by a hash of the id."""
     docs = _docs(spark, sf_dir).select("doc_id", "source", "n_chars")
     of = docs.groupBy("source").agg(F.sum("n_chars").alias("c"))
-    of = of.crossJoin(F.broadcast(of.agg(F.min("c").alias("least")))).select("source", (F.col("least") / F.col("c")).alias("rate"))
-    draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return docs.join(F.broadcast(of), "source").where(draw < F.col("rate")).select("doc_id", "source")
+    of = written(of.crossJoin(F.broadcast(of.agg(F.min("c").alias("least")))).select("source", (F.col("least") / F.col("c")).alias("rate")))
+    return docs.join(ranks.sided(of), "source").where(_draw("doc_id") < F.col("rate")).select("doc_id", "source")
+
+
+#: Shares of characters that languages are brought to.
+TARGET_MIX = {"en": 40, "de": 30, "fr": 20, "es": 10}
+
+
+def target_mix(spark, sf_dir):
+    """Documents kept so that languages have their target shares of characters in expectation, as many as that allows; others go."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    goal = F.element_at(F.create_map(*[F.lit(x) for k, v in TARGET_MIX.items() for x in (k, float(v))]), F.col("lang"))
+    of = docs.where(F.col("lang").isin(*TARGET_MIX)).groupBy("lang").agg(F.sum("n_chars").alias("c")).withColumn("room", F.col("c") / goal)
+    of = of.crossJoin(F.broadcast(of.agg(F.min("room").alias("least")))).select("lang", (F.col("least") / F.col("room")).alias("rate"))  # a row for each target
+    return docs.join(F.broadcast(of), "lang").where(_draw("doc_id") < F.col("rate")).select("doc_id", "lang")
 
 
 def curriculum(spark, sf_dir):
     """Each source's documents in ten steps from short to long."""
-    w = Window.partitionBy("source").orderBy("n_chars", "doc_id")
-    return _docs(spark, sf_dir).select("doc_id", "source", "n_chars").withColumn("step", F.ntile(10).over(w)).drop("n_chars")
+    ranked = ranks.positions(_docs(spark, sf_dir).select("doc_id", "source", "n_chars"), "source", ["n_chars", "doc_id"])
+    return ranked.select("doc_id", "source", ranks.ntile(F.col("position"), F.col("size"), 10).alias("step"))
+
+
+SCRIPTS = {"latin": "Latin", "devanagari": "Devanagari", "telugu": "Telugu", "tamil": "Tamil", "cyrillic": "Cyrillic", "greek": "Greek", "han": "Han"}
+
+
+def script_id(spark, sf_dir):
+    """The script most of a text's letters are in (the first of ties), its share, and whether another has a fifth of them."""
+    t = F.col("text")
+    found = _docs(spark, sf_dir).select("doc_id", *(F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).cast("bigint").alias(k) for k, s in SCRIPTS.items()))
+    every = sum((F.col(k) for k in SCRIPTS), F.lit(0))
+    rank = F.sort_array(F.array(*SCRIPTS), asc=False)
+    found = found.withColumn("letters", every).withColumn("r", rank)
+    name = F.coalesce(*[F.when(F.col(k) == F.col("r")[0], F.lit(k)) for k in SCRIPTS])
+    share = lambda k: F.col("r")[k] / F.col("letters")
+    some = F.col("letters") > 0
+    return found.select("doc_id", "letters", F.when(some, name).alias("script"), F.round(F.when(some, share(0)).otherwise(0.0), 6).alias("share"), F.when(some, share(1) >= 0.2).otherwise(False).alias("mixed"))
+
+
+ALLOWED = ("MIT", "Apache", "BSD", "ISC", "CC0", "CC BY")
+_NAMED = r"(?i)(?:licensed under|released under|SPDX-License-Identifier:?)\s+(?:the\s+)?(MIT|Apache|BSD|ISC|CC0|CC BY-NC|CC BY-SA|CC BY-ND|CC BY|GNU|GPL|LGPL|AGPL|Mozilla|MPL)"
+
+
+def license_gate(spark, sf_dir):
+    """The license a text names, and whether it may be used: named and allowed, named and not allowed, or not named."""
+    name = F.regexp_extract("text", _NAMED, 1)
+    state = F.when(name == "", "none").when(name.isin(*ALLOWED), "allowed").otherwise("denied")
+    return _docs(spark, sf_dir).select("doc_id", F.nullif(name, F.lit("")).alias("license"), state.alias("state"))
+
+
+def code_gates(spark, sf_dir):
+    """What a reader of source files would be asked first: line lengths, share of letters, balance of brackets, marks of generated or test code."""
+    t = F.col("text")
+    n = lambda p: F.regexp_count(t, F.lit(p)).cast("bigint")
+    lines = F.split(t, "\n")
+    longest = F.array_max(F.transform(lines, lambda x: F.length(x))).cast("bigint")
+    got = _docs(spark, sf_dir).select(
+        "doc_id", F.size(lines).cast("bigint").alias("lines"), longest.alias("longest"), F.round(F.coalesce(F.try_divide(n(r"[A-Za-z]").cast("double"), F.length(t)), F.lit(0.0)), 6).alias("letters"),
+        (n(r"[({\[]") == n(r"[)}\]]")).alias("balanced"), t.rlike(r"(?i)auto-?generated|do not edit").alias("generated"), t.rlike(r"\bassert\b|def test_|@Test|unittest").alias("tested"), n(r"[{};]").alias("marks"),
+    )
+    return got.withColumn("passed", (F.col("longest") <= 1000) & (F.col("letters") >= 0.25) & F.col("balanced") & ~F.col("generated"))
+
+
+QUOTES = ("‘’‚“”„«»‹›", "\'\'\'\"\"\"\"\"\'\'")
+DIGITS = ("०१२३४५६७८९౦౧౨౩౪౫౬౭౮౯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 3)
+
+
+def plain_marks(spark, sf_dir):
+    """Quotation marks and Indic digits as ASCII's, each run of blanks as one; joiners stay."""
+    plain = F.translate(F.translate("text", *QUOTES), *DIGITS)
+    return _docs(spark, sf_dir).select("doc_id", F.md5(F.regexp_replace(plain, "[ \t]+", " ")).alias("md5"), F.length(plain).cast("bigint").alias("chars"))
+
+
+def floored_documents(spark, sf_dir):
+    """Documents that reach their language's threshold; where fewer than half would, as many of the longest as make half."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    limit = good.groupBy("lang").agg(F.percentile("n_chars", 0.1).alias("threshold"))
+    half = docs.groupBy("lang").agg(F.percentile("n_chars", 0.5).alias("half"))
+    both = written(half.join(limit, "lang").select("lang", F.least("threshold", "half").alias("least")))
+    return docs.join(ranks.sided(both), "lang").where(F.col("n_chars") >= F.col("least")).select("doc_id", "lang")
+
+
+def held_out(spark, sf_dir):
+    """Contents of the training ids that the held-out ids (every fifth) hold, too, and how many each side has: they should be none."""
+    docs = _docs(spark, sf_dir).select((F.col("doc_id") % 5 == 0).alias("held"), F.md5("text").alias("md5"))
+    train, held = (docs.where(c).select("md5") for c in ("NOT held", "held"))
+    shared = train.intersect(held)
+    only = lambda a, b, name: a.exceptAll(b).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    return shared.agg(F.count("*").alias("n")).select(F.lit("shared").alias("what"), "n").unionByName(only(train, held, "train")).unionByName(only(held, train, "held"))
+
+
+def paragraphs(spark, sf_dir):
+    """Texts cut where blank lines part them, and long paragraphs into windows of 200 words: chunks keep to the structure."""
+    parts = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n\s*")).alias("paragraph", "p"))
+    words = parts.select("doc_id", "paragraph", F.regexp_extract_all("p", F.lit(r"[^ \t\n\r\f]+"), F.lit(0)).alias("w")).where("size(w) > 0")
+    cut = words.select("doc_id", "paragraph", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / CHUNK).cast("int") - 1)).alias("chunk"))
+    part = F.slice("w", F.col("chunk") * CHUNK + 1, CHUNK)
+    return cut.select("doc_id", "paragraph", "chunk", F.size(part).cast("bigint").alias("words"), F.md5(F.array_join(part, " ")).alias("md5"))
 
 
 def conversation_checks(spark, sf_dir):
@@ -205,7 +300,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_hashes, provenance, language_id, exact_dedup, known_bad_removed, split_overlap, line_dedup, minhash_pairs, benchmark_overlap, quality_features,
-        calibrated_thresholds, redacted, rebalanced, curriculum, conversation_checks, chunks, benchmark_gates,
+        calibrated_thresholds, redacted, rebalanced, target_mix, curriculum, script_id, license_gate, code_gates, plain_marks, floored_documents, held_out,
+        paragraphs, conversation_checks, chunks, benchmark_gates,
     )
 }
 
@@ -238,6 +334,21 @@ SELECT lang, threshold, good, kept, docs, kept * 2 >= docs AS floor_met FROM t J
     "redacted": f"SELECT doc_id, md5({_RED}) AS md5, {', '.join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in tx.PII)} FROM documents",
     "rebalanced": """SELECT doc_id, source FROM documents JOIN (SELECT source, min(sum(n_chars)) OVER () / sum(n_chars) AS rate FROM documents GROUP BY source) USING (source)
 WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < rate""",
+    "target_mix": f"""SELECT doc_id, lang FROM documents JOIN (SELECT lang, min(sum(n_chars) / any_value(goal)) OVER () / (sum(n_chars) / any_value(goal)) AS rate FROM documents
+JOIN (VALUES {", ".join(f"('{k}', {v}.0::DOUBLE)" for k, v in TARGET_MIX.items())}) g(lang, goal) USING (lang) GROUP BY lang) USING (lang) WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < rate""",
+    "script_id": f"""SELECT doc_id, letters, CASE WHEN letters > 0 THEN CASE r[1] {" ".join(f"WHEN {k} THEN '{k}'" for k in SCRIPTS)} END END AS script, round(CASE WHEN letters > 0 THEN r[1] / letters ELSE 0 END, 6) AS share, letters > 0 AND r[2] / letters >= 0.2 AS mixed
+FROM (SELECT *, {" + ".join(SCRIPTS)} AS letters, list_reverse_sort([{", ".join(SCRIPTS)}]) AS r FROM (SELECT doc_id, {", ".join(rf"len(regexp_extract_all(text, '\p{{{v}}}')) AS {k}" for k, v in SCRIPTS.items())} FROM documents))""",
+    "license_gate": f"SELECT doc_id, nullif(l, '') AS license, CASE WHEN l = '' THEN 'none' WHEN l IN {ALLOWED} THEN 'allowed' ELSE 'denied' END AS state FROM (SELECT doc_id, regexp_extract(text, '{_NAMED}', 1) AS l FROM documents)",
+    "code_gates": r"""SELECT *, longest <= 1000 AND letters >= 0.25 AND balanced AND NOT generated AS passed FROM (SELECT doc_id, len(string_split(text, E'\n')) AS lines, list_max(list_transform(string_split(text, E'\n'), lambda x: length(x))) AS longest,
+round(coalesce(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(length(text), 0), 0)::DOUBLE, 6) AS letters, len(regexp_extract_all(text, '[({\[]')) = len(regexp_extract_all(text, '[)}\]]')) AS balanced,
+regexp_matches(text, '(?i)auto-?generated|do not edit') AS generated, regexp_matches(text, '\bassert\b|def test_|@Test|unittest') AS tested, len(regexp_extract_all(text, '[{};]')) AS marks FROM documents)""",
+    "plain_marks": f"""SELECT doc_id, md5(regexp_replace(t, '[ \t]+', ' ', 'g')) AS md5, length(t) AS chars FROM (SELECT doc_id, translate(translate(text, '{QUOTES[0]}', '{QUOTES[1].replace("'", "''")}'), '{DIGITS[0]}', '{DIGITS[1]}') AS t FROM documents)""",
+    "floored_documents": """WITH t AS (SELECT lang, quantile_cont(n_chars, 0.1) AS threshold FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY lang), h AS (SELECT lang, quantile_cont(n_chars, 0.5) AS half FROM documents GROUP BY lang)
+SELECT doc_id, lang FROM documents JOIN t USING (lang) JOIN h USING (lang) WHERE n_chars >= least(threshold, half)""",
+    "held_out": """WITH t AS (SELECT md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), e AS (SELECT md5(text) AS h FROM documents WHERE doc_id % 5 = 0)
+SELECT 'shared' AS what, count(*) AS n FROM (SELECT h FROM t INTERSECT SELECT h FROM e) UNION ALL SELECT 'train', count(*) FROM (SELECT h FROM t EXCEPT ALL SELECT h FROM e) UNION ALL SELECT 'held', count(*) FROM (SELECT h FROM e EXCEPT ALL SELECT h FROM t)""",
+    "paragraphs": rf"""SELECT doc_id, paragraph::INT AS paragraph, chunk::INT AS chunk, len(w[chunk * {CHUNK} + 1 : chunk * {CHUNK} + {CHUNK}]) AS words, md5(array_to_string(w[chunk * {CHUNK} + 1 : chunk * {CHUNK} + {CHUNK}], ' ')) AS md5 FROM (SELECT doc_id, paragraph, w, unnest(range(ceil(len(w) / {CHUNK})::BIGINT)) AS chunk
+FROM (SELECT doc_id, unnest(range(len(a))) AS paragraph, regexp_extract_all(unnest(a), '[^ \t\n\r\f]+') AS w FROM (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n\s*') AS a FROM documents)) WHERE len(w) > 0)""",
     "curriculum": "SELECT doc_id, source, ntile(10) OVER (PARTITION BY source ORDER BY n_chars, doc_id)::INT AS step FROM documents",
     "conversation_checks": r"""WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations WHERE role <> 'system')
 SELECT conv_id, turns, coalesce(alternates, true) AS alternates, md5 FROM (SELECT conv_id, count(*) AS turns, md5(string_agg(role || ': ' || text, E'\n' ORDER BY turn, role, text)) AS md5 FROM conversations GROUP BY conv_id)

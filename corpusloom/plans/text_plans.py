@@ -56,9 +56,9 @@ def weighted_frequencies(spark, sf_dir):
 
 
 def language_stats(spark, sf_dir):
-    """Documents, words and weight of each language asked for; one without documents stays, with zeros."""
+    """Documents, words and weight of every language of the table and of those asked for; one without documents stays, with zeros."""
     docs = _docs(spark, sf_dir)
-    asked = spark.createDataFrame([("en",), ("de",), ("hi",)], "lang string")
+    asked = spark.createDataFrame([("en",), ("hi",), ("te",), ("ta",)], "lang string").unionByName(docs.select("lang")).distinct()
     number = docs.groupBy("lang").agg(F.count("*").alias("num_documents"))
     weights = counts.language_weights(counts.language_words(docs))
     out = asked.join(number, "lang", "left").join(weights, "lang", "left")
@@ -144,8 +144,8 @@ def hapax_buckets(spark, sf_dir):
 
 def next_tokens(spark, sf_dir):
     """Successive pretokens of a document that occur together at least twice."""
-    pairs = tx.adjacent_pairs(tx.pretokens(F.col("text")))
-    return _docs(spark, sf_dir).select(F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("n")).where("n >= 2")
+    tokens = _docs(spark, sf_dir).select(tx.pretokens(F.col("text")).alias("t"))  # by themselves, or each use would tokenize again
+    return tokens.select(F.explode(tx.adjacent_pairs(F.col("t"))).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 def valid_requests(spark, sf_dir):
@@ -173,7 +173,7 @@ JOIN (SELECT lang, sum({_SQL["units"]})::BIGINT AS units FROM documents GROUP BY
     "word_frequencies": _FREQ,
     "language_weights": f"SELECT lang, words, round(weight, 8) AS weight FROM ({_SQL['weights']})",
     "weighted_frequencies": _SQL["weighted"],
-    "language_stats": f"""SELECT a.lang AS language, coalesce(n, 0) AS num_documents, coalesce(words, 0) AS raw_word_count, round(coalesce(weight, 0), 8) AS weight FROM (VALUES ('en'), ('de'), ('hi')) a(lang)
+    "language_stats": f"""SELECT a.lang AS language, coalesce(n, 0) AS num_documents, coalesce(words, 0) AS raw_word_count, round(coalesce(weight, 0), 8) AS weight FROM (SELECT * FROM (VALUES ('en'), ('hi'), ('te'), ('ta')) v(lang) UNION SELECT lang FROM documents) a
 LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang) LEFT JOIN ({_SQL["weights"]}) USING (lang)""",
     "base_vocabulary": f"""SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT '<bos>', 1 UNION ALL SELECT '<eos>', 2 UNION ALL SELECT '<unk>', 3 UNION ALL
 SELECT token, CAST(3 + row_number() OVER (ORDER BY encode(token)) AS INT) FROM (SELECT DISTINCT unnest(string_split(word, '')) AS token FROM ({_FREQ}))""",

@@ -139,7 +139,6 @@ def to_markdown(page: str, lang: str = "en") -> str:
 
 _decoded = _mapped(lambda t: html.unescape(unicodedata.normalize("NFC", t)))
 _nfc = _mapped(lambda t: unicodedata.normalize("NFC", t))
-_unescaped = _mapped(html.unescape)
 _unwrapped = _mapped(lambda t: wiki_links(without_spans(without_spans(t, "{{", "}}"), "{|", "|}")))
 _slug = _mapped(slugify)
 _markdown = _mapped(to_markdown)
@@ -154,10 +153,6 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
-def unescaped(text: Column) -> Column:
-    return F.coalesce(_unescaped(F.when(text.contains("&"), text)), text)
-
-
 def unwrapped(text: Column) -> Column:
     """Templates and tables removed, wiki links shown."""
     return _unwrapped(text)

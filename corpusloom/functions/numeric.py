@@ -30,6 +30,11 @@ def between(u: Column, lo: float, hi: float) -> Column:
     return lo + (hi - lo) * u
 
 
+def between_int(u: Column, lo: int, hi: int) -> Column:
+    """A whole number from ``lo`` to ``hi``, both included."""
+    return F.floor(between(u, lo, hi + 1)).cast("int")
+
+
 def gaussian(u: Column, v: Column, mean: float = 0.0, deviation: float = 1.0) -> Column:
     """Box and Muller's cosine branch."""
     return mean + deviation * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
@@ -67,10 +72,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(1e-8))
-
-
 def one_hot(label: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == label).cast("int"))
 
@@ -91,3 +92,27 @@ def progress(done: Column, total: Column) -> Column:
 def blend(p: Column, low: int, high: int) -> Column:
     """One colour channel between two ends, rounded half up."""
     return F.floor(low * (1 - p) + high * p + 0.5).cast("int")
+
+
+def predicted(p: Column, strict: bool = False) -> Column:
+    """The class of a probability: 1 from a half on, or, ``strict``, above it."""
+    return (p > 0.5 if strict else p >= 0.5).cast("int")
+
+
+def fixed(v: Column, digits: int) -> Column:
+    """A number with so many digits after the point."""
+    return F.format_string(f"%.{digits}f", v.cast("double"))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n, 0)
+
+
+def short(v: Column, digits: int = 2) -> Column:
+    """At most so many digits after the point, without zeros at the end."""
+    return F.regexp_replace(F.regexp_replace(fixed(v, digits), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    return F.concat(fixed(share * 100, digits), F.lit("%"))

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import counts
@@ -256,9 +256,71 @@ def word_ids(tokenizer: Tokenizer):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: Tokenizer, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
     """``docs`` with ``ids``: one pass, no shuffle."""
-    return docs.withColumn("ids", word_ids(tokenizer)(tx.pretokens(F.col("text"))))
+    return docs.withColumn("ids", word_ids(tokenizer)(pretokenize(F.col("text"))))
+
+
+def word_pieces(tokenizer: Tokenizer):
+    """Arrow function: array of pretokens to the array of each one's pieces."""
+    memo: dict[str, list[str]] = {}
+
+    @F.arrow_udf(ArrayType(ArrayType(StringType())))
+    def run(words: pa.Array) -> pa.Array:
+        out = []
+        for ws in words.to_pylist():
+            for w in ws or ():
+                if w not in memo:
+                    if len(memo) > 500_000:
+                        memo.clear()
+                    memo[w] = tokenizer.pieces(w)
+            out.append(None if ws is None else [memo.get(w) or tokenizer.pieces(w) for w in ws])
+        return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    return run
+
+
+def tokenized(docs: DataFrame, tokenizer: Tokenizer, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
+    """``docs`` with ``pretokens``, ``pieces`` (those of each pretoken), ``tokens`` (all of them), ``ids`` and ``decoded``."""
+    rows = docs.withColumn("pretokens", pretokenize(F.col("text"))).withColumn("pieces", word_pieces(tokenizer)(F.col("pretokens")))
+    rows = rows.withColumn("tokens", F.flatten("pieces")).withColumn("ids", word_ids(tokenizer)(F.col("pretokens")))
+    return decoded(rows, tokenizer)
+
+
+def served_statistics(docs: DataFrame, tokenizer: Tokenizer, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """(language, total_tokens, total_words, ratio): tokens of each language over its faithful units; asked languages without text have zeros.
+
+    Fails where no language has any text.
+    """
+    units = docs.groupBy("lang").agg(F.sum(tx.faithful_units(F.col("text")).cast("bigint")).alias("total_words"))
+    sized = counts.language_words(docs).mapInArrow(_sized(tokenizer), "lang string, word string, freq bigint, ids array<int>")
+    tokens = sized.groupBy("lang").agg(F.sum(F.col("freq") * F.size("ids")).alias("total_tokens"))
+    got = written(units.join(tokens, "lang", "left").na.fill(0))
+    if got.where("total_words > 0").isEmpty():
+        raise ValueError("no language has any text to take statistics of")
+    if languages is not None:
+        got = got.sparkSession.createDataFrame([(x,) for x in languages], "lang string").join(got, "lang", "left").na.fill(0, ["total_words", "total_tokens"])
+    ratio = F.coalesce(F.try_divide(F.col("total_tokens").cast("double"), F.col("total_words").cast("double")), F.lit(0.0))
+    return got.select(F.col("lang").alias("language"), "total_tokens", "total_words", ratio.alias("ratio"))
+
+
+def full_report(ratios: DataFrame, vocab_size: int) -> DataFrame:
+    """One row: the languages with their totals and ratios, the largest and smallest ratio of those with words, their difference and the score."""
+    report = ratio_report(ratios, vocab_size, "total_words", "ratio")
+    listed = ratios.agg(F.array_sort(F.collect_list(F.struct("language", "total_tokens", "total_words", "ratio"))).alias("languages"))
+    return listed.crossJoin(F.broadcast(report)).select("vocab_size", "languages", "largest_ratio", "smallest_ratio", "difference", "assignment_score")
+
+
+def language_gate(reports: DataFrame, language: str = "en", most: float = 1.2) -> DataFrame:
+    """(language, fertility, most, met): whether the language's fertility is within the target; no row without words."""
+    return reports.where((F.col("language") == language) & (F.col("num_words") > 0)).select("language", "fertility", F.lit(most).alias("most"), (F.col("fertility") <= most).alias("met"))
+
+
+def summary(reports: DataFrame) -> DataFrame:
+    """A line of text for each language of a report."""
+    rate = lambda c: F.format_string("%.3f%%", F.col(c) * 100)
+    line = F.format_string("%-10s %6d %8d %10.3f %9s %12.3f %10s %10s", "language", "num_documents", "num_words", "fertility", rate("unk_rate"), "compression_ratio", F.when(F.col("roundtrip_ok"), "OK").otherwise("FAIL"), rate("vocab_utilization"))
+    return reports.select("language", line.alias("line"))
 
 
 def _joined(tokenizer: Tokenizer):

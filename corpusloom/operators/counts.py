@@ -47,11 +47,19 @@ def weighted_frequencies(docs: DataFrame, alpha: float = 0.5, boosts: dict[str,
     return words.join(weights, "lang").groupBy("word").agg(F.sum(scaled(F.col("freq"), F.col("weight"))).alias("freq"))
 
 
-def base_vocabulary(words: DataFrame) -> DataFrame:
+def replicated_frequencies(docs: DataFrame, copies: dict[str, int], pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
+    """(word, freq) as if each language's texts were there so many times; languages not named are left out. Counts are multiplied, no text is copied."""
+    n = F.element_at(F.create_map(*[F.lit(x) for k, v in copies.items() for x in (k, int(v))]), F.col("lang")) if copies else F.lit(None).cast("int")
+    words = language_words(docs, pretokenize).withColumn("n", n).where("n > 0")
+    return words.groupBy("word").agg(F.sum(F.col("freq") * F.col("n")).alias("freq"))
+
+
+def base_vocabulary(words: DataFrame, specials: dict[str, int] | None = None) -> DataFrame:
     """(token, id): the special tokens, then the distinct characters in their order; an alphabet fits one task."""
     chars = words.select(F.explode(tx.codepoints(F.col("word"))).alias("token")).distinct()
-    ids = chars.withColumn("id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token")) + len(SPECIALS) - 1).cast("int"))
-    return words.sparkSession.createDataFrame(list(SPECIALS.items()), "token string, id int").unionByName(ids)
+    specials = SPECIALS if specials is None else specials
+    ids = chars.withColumn("id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token")) + max(specials.values(), default=-1)).cast("int"))
+    return words.sparkSession.createDataFrame(list(specials.items()), "token string, id int").unionByName(ids)
 
 
 def pair_counts(words: DataFrame, at_least: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import numeric as nm
-from corpusloom.operators import learning, vectors
+from corpusloom.operators import learning, ranks, vectors
 from corpusloom.sources import static
 from corpusloom.sources.tables import table
 
@@ -55,11 +55,15 @@ def stage_list(spark, sf_dir):
     return static.stages(spark)
 
 
+def _drawn(spark, n: int):
+    """(pos, tokens) of n sentences drawn with replacement."""
+    drawn = spark.range(n).select(F.col("id").alias("pos"), F.floor(nm.mulberry(3, F.col("id")) * 24).cast("int").alias("sent_id"))
+    return drawn.join(F.broadcast(static.sentences(spark)), "sent_id").select("pos", "tokens")
+
+
 def sentence_pairs(spark, sf_dir):
     """Token pairs of sentences drawn with replacement, with the categories of both."""
-    n, draws = 24, 500
-    drawn = spark.range(draws).select(F.floor(nm.mulberry(3, F.col("id")) * n).cast("int").alias("sent_id"))
-    words = drawn.join(F.broadcast(static.sentences(spark)), "sent_id").select(F.explode(F.arrays_zip(F.slice("tokens", 1, 2).alias("a"), F.slice("tokens", 2, 2).alias("b"))).alias("p")).select("p.a", "p.b")
+    words = _drawn(spark, 500).select(F.explode(F.arrays_zip(F.slice("tokens", 1, 2).alias("a"), F.slice("tokens", 2, 2).alias("b"))).alias("p")).select("p.a", "p.b")
     kind = static.token_categories(spark)
     out = words.groupBy("a", "b").agg(F.count("*").alias("n"))
     out = out.join(F.broadcast(kind.select(F.col("token").alias("a"), F.col("category").alias("a_kind"))), "a")
@@ -68,7 +72,7 @@ def sentence_pairs(spark, sf_dir):
 
 def random_draws(spark, sf_dir):
     u = nm.mulberry(1, F.col("id"))
-    return spark.range(1000).select("id", F.round(u, 12).alias("u"), F.floor(nm.between(u, 0.0, 10.0)).cast("int").alias("digit"))
+    return spark.range(1000).select("id", F.round(u, 12).alias("u"), nm.between_int(u, 0, 9).alias("digit"))
 
 
 def interpolation(spark, sf_dir):
@@ -83,7 +87,7 @@ def interpolation(spark, sf_dir):
 
 
 def ring_points(spark, sf_dir):
-    return learning.rings(spark)
+    return learning.rings(spark).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "label", "pos")
 
 
 def grid(spark, sf_dir):
@@ -93,6 +97,20 @@ def grid(spark, sf_dir):
     return axis("col").crossJoin(axis("row")).select("col", "row", F.round(at("col"), 9).alias("x"), F.round(-at("row"), 9).alias("y"))
 
 
+def decision_grid(spark, sf_dir):
+    """What three nets trained on the rings make of every point of the grid, and the class of each."""
+    at = grid(spark, sf_dir)
+    got = learning.predictions(learning.rings(spark), at, ("linear", "relu", "deep_relu"))
+    return got.select("col", "row", *(F.round(m, 6).alias(m) for m in ("linear", "relu", "deep_relu")), nm.predicted(F.col("relu"), strict=True).alias("class"))
+
+
+def token_vectors(spark, sf_dir):
+    """The next-token net on drawn sentences: its losses by epoch, and the vectors of its tokens."""
+    drawn = _drawn(spark, 90).select("pos", F.posexplode(F.arrays_zip(F.slice("tokens", 1, 2).alias("a"), F.slice("tokens", 2, 2).alias("b"))).alias("k", "p"))
+    pairs = drawn.select((F.col("pos") * 2 + F.col("k")).alias("pos"), "p.a", "p.b")
+    return learning.next_token_net(pairs)
+
+
 def training_histories(spark, sf_dir):
     points = learning.rings(spark).withColumn("samples", F.lit(200).cast("bigint"))
     return learning.histories(points, ("linear", "relu", "deep_linear", "deep_relu"))
@@ -108,19 +126,19 @@ def generalization(spark, sf_dir):
 
 
 def label_accuracy(spark, sf_dir):
-    """Accuracy of 'long documents are good', split by position: the last fifth of the ids is the test."""
+    """Accuracy of 'long documents are good', split by position: the last fifth by id, one at least, is the test."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.percentile("doc_id", 0.8).alias("cut"))))
+    rows = ranks.positions(rows.withColumn("g", F.lit(0)), "g", ["doc_id", "quality", "n_chars"])
     right = (nm.sigmoid((F.col("n_chars") - 500) / 200) >= 0.5).cast("int") == F.col("quality")
-    part = F.when(F.col("doc_id") > F.col("cut"), "test").otherwise("train")
+    part = F.when(F.col("position") >= F.col("size") - F.greatest(F.lit(1), F.floor(F.col("size") / 5)), "test").otherwise("train")
     got = rows.groupBy(part.alias("part")).agg(F.round(F.avg(right.cast("int")), 8).alias("accuracy"), F.count("*").alias("n"))
     return got.withColumn("gap", F.round(F.max(F.when(F.col("part") == "train", F.col("accuracy"))).over(Window.partitionBy(F.lit(0))) - F.max(F.when(F.col("part") == "test", F.col("accuracy"))).over(Window.partitionBy(F.lit(0))), 8))
 
 
 def layer_product(spark, sf_dir):
-    """Three layers' weights multiplied: a layer's rows are the mean vectors of the ids it gets in turn."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("col", "v"))
-    place = [(F.col("vec_id") % 3).cast("int").alias("layer"), (F.floor(F.col("vec_id") / 3) % 8).cast("int").alias("row"), "col"]
+    """Three layers' weights multiplied: a layer's rows, as many as a vector has entries, are the mean vectors of the ids it gets in turn."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("d"), F.posexplode("embedding").alias("col", "v"))
+    place = [(F.col("vec_id") % 3).cast("int").alias("layer"), (F.floor(F.col("vec_id") / 3) % F.col("d")).cast("int").alias("row"), "col"]
     layers = e.groupBy(*place).agg(F.avg(F.col("v").cast("double")).alias("v"))
     return learning.chain_product(layers).select("row", "col", (F.round("v", 5) + F.lit(0.0)).alias("v"))
 
@@ -129,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nearest_vectors, projections, vocabulary_costs, recommended_vocabulary, fertility_ranking, mix_shares, benchmark_list, stage_list, sentence_pairs,
-        random_draws, interpolation, ring_points, grid, training_histories, generalization, label_accuracy, layer_product,
+        random_draws, interpolation, ring_points, grid, decision_grid, token_vectors, training_histories, generalization, label_accuracy, layer_product,
     )
 }
 
@@ -138,6 +156,18 @@ def _values(rows, names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + f") AS t({names})"
 
 
+def _draws(seed: int, n: int) -> str:
+    """(d, u): the first n numbers of the seed's sequence."""
+    m = 4294967296
+    product = lambda a, b: f"((({a})::HUGEINT * ({b})::HUGEINT) % {m})::BIGINT"
+    first = f"SELECT d, (({seed} + ((d + 1)::HUGEINT * 1831565813)) % {m})::BIGINT AS t FROM range({n}) r(d)"
+    second = f"SELECT d, {product('xor(t, t >> 15)', 't | 1')} AS t FROM ({first})"
+    third = f"SELECT d, xor(t, (t + {product('xor(t, t >> 7)', 't | 61')}) % {m}) AS t FROM ({second})"
+    return f"SELECT d, xor(t, t >> 14) / {m}.0::DOUBLE AS u FROM ({third})"
+
+
+_SENTENCES = _values([(i, *x) for i, x in enumerate((s, v, o) for v, ps in static.SENTENCES.items() for s, o in (p.split("-") for p in ps.split()))], "sent_id, s, v, o")
+_KINDS = _values([(t, c) for c, ts in static.CATEGORIES.items() for t in ts.split()], "token, category")
 _OPTIONS = _values([(f"{k}K", k * 1024, *v, str(True) if k == static.RECOMMENDED else None) for k, v in static.VOCABULARIES.items()], "label, vocab, fertility, train_cost, infer_cost, rec")
 _T = "greatest(0.0, least(1.0, (CAST(o_totalprice AS DOUBLE) - 1000.0) / 299000.0))"
 ORACLES: dict[str, str] = {
@@ -155,9 +185,17 @@ FROM {_values([(i, d, t, c) for i, ((c, d), t) in enumerate(static.TARGETS.items
     "stage_list": f"SELECT * FROM {_values([(kind, i, s) for kind, ids in (('data', static.PHASES), ('cleaning', static.CLEANING), ('training', static.TRAINING)) for i, s in enumerate(ids)], 'kind, ordinal, id')}",
     "interpolation": f"""SELECT o_orderkey, round(t, 6) AS t, round(-4.0 + 8.0 * t, 6) AS remapped, round(1 / (1 + exp(-(-4.0 + 8.0 * t))), 6) AS sigmoid, round(1 - pow(1 - t, 3), 6) AS eased, least(100, floor(CAST(o_totalprice AS DOUBLE) / 300000.0 * 100 + 0.5))::INT AS progress,
 floor(20 * (1 - t) + 220 * t + 0.5)::INT AS channel, round(sqrt(t * t + (1 - t) * (1 - t)), 6) AS distance, round(radians(t * 360), 6) AS radians, 0.0::DOUBLE AS guarded FROM (SELECT *, {_T} AS t FROM orders)""",
+    "random_draws": f"SELECT d AS id, round(u, 12) AS u, floor(u * 10)::INT AS digit FROM ({_draws(1, 1000)})",
+    "sentence_pairs": f"""WITH p AS (SELECT s, v, o FROM ({_draws(3, 500)}) JOIN (SELECT * FROM {_SENTENCES}) ON floor(u * 24)::INT = sent_id), q AS (SELECT s AS a, v AS b FROM p UNION ALL SELECT v, o FROM p), k AS (SELECT * FROM {_KINDS})
+SELECT a, b, count(*) AS n, any_value(ka.category) AS a_kind, any_value(kb.category) AS b_kind FROM q JOIN k ka ON ka.token = a JOIN k kb ON kb.token = b GROUP BY a, b""",
+    "ring_points": f"""WITH RECURSIVE d AS ({_draws(1, 800)}), f(i, a) AS (SELECT 199::BIGINT, range(200) UNION ALL
+SELECT i - 1, list_transform(a, lambda x, k: CASE WHEN k - 1 = i THEN a[floor((i + 1) * u)::BIGINT + 1] WHEN k - 1 = floor((i + 1) * u)::BIGINT THEN a[i + 1] ELSE x END) FROM f JOIN d ON d.d = 600 + 199 - i WHERE i > 0),
+o AS (SELECT unnest(a) AS id, unnest(range(200)) AS pos FROM f WHERE i = 0),
+r AS (SELECT id, (id >= 100)::INT AS label, CASE WHEN id >= 100 THEN 1.0 ELSE 0.5 END::DOUBLE + 0.08::DOUBLE * sqrt(-2 * ln(x.u)) * cos(2 * pi() * y.u) AS r, 2 * pi() * z.u AS t FROM range(200) g(id) JOIN d x ON x.d = 3 * id JOIN d y ON y.d = 3 * id + 1 JOIN d z ON z.d = 3 * id + 2)
+SELECT id, round(r * cos(t), 9) AS x, round(r * sin(t), 9) AS y, label, pos FROM r JOIN o USING (id)""",
     "grid": "SELECT c::INT AS col, r::INT AS row, round(-2.0 + 4.0 * (c / 179.0::DOUBLE), 9) AS x, round(-(-2.0 + 4.0 * (r / 179.0::DOUBLE)), 9) AS y FROM range(180) a(c), range(180) b(r)",
-    "label_accuracy": """SELECT part, accuracy, n, round(max(accuracy) FILTER (part = 'train') OVER () - max(accuracy) FILTER (part = 'test') OVER (), 8) AS gap FROM (SELECT CASE WHEN doc_id > cut THEN 'test' ELSE 'train' END AS part, round(avg(((n_chars >= 500)::INT = quality)::INT), 8) AS accuracy, count(*) AS n
-FROM (SELECT doc_id, quality, n_chars, quantile_cont(doc_id, 0.8) OVER () AS cut FROM labels JOIN documents USING (doc_id)) GROUP BY 1)""",
-    "layer_product": """WITH l AS (SELECT layer, r, c, avg(v) AS v FROM (SELECT vec_id % 3 AS layer, (vec_id // 3) % 8 AS r, unnest(range(8)) AS c, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings) GROUP BY ALL)
+    "label_accuracy": """SELECT part, accuracy, n, round(max(accuracy) FILTER (part = 'train') OVER () - max(accuracy) FILTER (part = 'test') OVER (), 8) AS gap FROM (SELECT CASE WHEN p >= size - greatest(1, size // 5) THEN 'test' ELSE 'train' END AS part, round(avg(((n_chars >= 500)::INT = quality)::INT), 8) AS accuracy, count(*) AS n
+FROM (SELECT quality, n_chars, row_number() OVER (ORDER BY doc_id, quality, n_chars) - 1 AS p, count(*) OVER () AS size FROM labels JOIN documents USING (doc_id)) GROUP BY 1)""",
+    "layer_product": """WITH l AS (SELECT layer, r, c, avg(v) AS v FROM (SELECT vec_id % 3 AS layer, (vec_id // 3) % len(embedding) AS r, unnest(range(len(embedding))) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL)
 SELECT a.r::INT AS "row", c.c::INT AS col, round(sum(a.v * b.v * c.v), 5) + 0.0 AS v FROM l a JOIN l b ON a.layer = 0 AND b.layer = 1 AND a.c = b.r JOIN l c ON c.layer = 2 AND b.c = c.r GROUP BY ALL""",
 }

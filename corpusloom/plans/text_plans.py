@@ -10,22 +10,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup
+from corpusloom.functions import numeric as nm
 from corpusloom.functions import text as tx
 from corpusloom.operators import counts
+from corpusloom.sources import static
 from corpusloom.sources.tables import table
 
 _W = r"\p{Z}\t\n\r\f\x0B"
 _J = r"\x{200C}\x{200D}"
 _TOKEN = rf"[{_W}]*(?:[\p{{L}}\p{{M}}{_J}]+|\p{{N}}+|[^\p{{L}}\p{{M}}\p{{N}}{_W}{_J}])"
-_SQL = {
+SQL = {
     "toks": f"SELECT doc_id, lang, unnest(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: regexp_replace(x, '^[{_W}]+', '▁'))) AS word FROM documents",
     "wordlike": rf"regexp_matches(word, '^▁?[\p{{L}}\p{{M}}\p{{N}}{_J}]')",
     "units": r"len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]'))",
 }
-_SQL["raw"] = f"SELECT lang, count(*) AS c FROM ({_SQL['toks']}) WHERE {_SQL['wordlike']} GROUP BY lang"
-_SQL["weights"] = f"SELECT lang, c AS words, (sqrt(c) / sum(sqrt(c)) OVER ()) / (c / sum(c) OVER ()) AS weight FROM ({_SQL['raw']})"
-_SQL["weighted"] = f"""SELECT word, sum(greatest(1, CAST(round_even(n * weight, 0) AS BIGINT)))::BIGINT AS freq
-FROM (SELECT lang, word, count(*) AS n FROM ({_SQL["toks"]}) GROUP BY lang, word) JOIN ({_SQL["weights"]}) USING (lang) GROUP BY word"""
+SQL["raw"] = f"SELECT lang, count(*) AS c FROM ({SQL['toks']}) WHERE {SQL['wordlike']} GROUP BY lang"
+SQL["weights"] = f"SELECT lang, c AS words, (sqrt(c) / sum(sqrt(c)) OVER ()) / (c / sum(c) OVER ()) AS weight FROM ({SQL['raw']})"
+SQL["weighted"] = f"""SELECT word, sum(greatest(1, CAST(round_even(n * weight, 0) AS BIGINT)))::BIGINT AS freq
+FROM (SELECT lang, word, count(*) AS n FROM ({SQL["toks"]}) GROUP BY lang, word) JOIN ({SQL["weights"]}) USING (lang) GROUP BY word"""
 
 
 def _docs(spark, sf_dir) -> DataFrame:
@@ -135,6 +137,28 @@ def served_units(spark, sf_dir):
     return got.withColumn("ratio", F.round(ratio, 6)).withColumn("largest", F.col("ratio") == F.max("ratio").over(every)).withColumn("smallest", F.col("ratio") == F.min("ratio").over(every))
 
 
+def language_table(spark, sf_dir):
+    """Languages as they are shown: names, numbers with commas, shares and ratios with fixed digits."""
+    docs = _docs(spark, sf_dir)
+    got = docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text").cast("bigint")).alias("chars"), F.sum(tx.faithful_units(F.col("text")).cast("bigint")).alias("units"))
+    share = F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(0)))
+    ratio = nm.safe_divide(F.col("chars"), F.col("units"))
+    return got.select(static.display_name(F.col("lang")).alias("language"), nm.thousands(F.col("docs")).alias("docs"), nm.thousands(F.col("units")).alias("units"), nm.percent(share).alias("share"), nm.fixed(ratio, 4).alias("ratio"), nm.short(F.lit(1000.0) / F.col("docs")).alias("score"))
+
+
+def corpus_totals(spark, sf_dir):
+    """All pretokens, and how many different ones there are."""
+    return counts.word_frequencies(_docs(spark, sf_dir)).agg(F.sum("freq").alias("total_words"), F.count("*").alias("distinct_words"))
+
+
+def size_deltas(spark, sf_dir):
+    """Characters of each language with one to six sixths of the documents, and what each sixth adds."""
+    docs = _docs(spark, sf_dir).where("doc_id IS NOT NULL").groupBy("lang", (F.pmod("doc_id", F.lit(6)) + 1).cast("int").alias("size")).agg(F.sum(F.length("text").cast("bigint")).alias("added"))
+    by = Window.partitionBy("lang").orderBy("size")
+    chars = F.sum("added").over(by)
+    return docs.withColumn("chars", chars).select("lang", "size", "chars", (F.col("chars") - F.lag("chars").over(by)).alias("delta"))
+
+
 def hapax_buckets(spark, sf_dir):
     n = F.col("freq")
     bucket = F.when(n == 1, "1").when(n < 5, "2-4").when(n < 20, "5-19").otherwise("20+")
@@ -159,22 +183,22 @@ QUERIES = {
     for f in (
         pretoken_stats, word_frequencies, language_weights, weighted_frequencies, language_stats, base_vocabulary, pair_counts, best_pair,
         char_kinds, normalized_texts, stripped_pages, cleaned_pages, page_markdown, page_links, page_slugs, served_units, hapax_buckets,
-        next_tokens, valid_requests,
+        next_tokens, valid_requests, language_table, corpus_totals, size_deltas,
     )
 }
 
-_FREQ = f"SELECT word, count(*) AS freq FROM ({_SQL['toks']}) GROUP BY word"
+_FREQ = f"SELECT word, count(*) AS freq FROM ({SQL['toks']}) GROUP BY word"
 _PAIRS = f"""SELECT l AS "left", r AS "right", sum(freq)::BIGINT AS n FROM (SELECT freq, unnest(list_transform(range(1, len(word)), lambda i: word[i])) AS l, unnest(list_transform(range(1, len(word)), lambda i: word[i + 1])) AS r
 FROM ({_FREQ})) GROUP BY ALL HAVING sum(freq) >= 2"""
 _SPACED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '\n{3,}', E'\n\n', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
 ORACLES: dict[str, str] = {
-    "pretoken_stats": f"""SELECT lang, words, distinct_words, units FROM (SELECT lang, count(*) AS words, count(DISTINCT word) AS distinct_words FROM ({_SQL["toks"]}) WHERE {_SQL["wordlike"]} GROUP BY lang)
-JOIN (SELECT lang, sum({_SQL["units"]})::BIGINT AS units FROM documents GROUP BY lang) USING (lang)""",
+    "pretoken_stats": f"""SELECT lang, words, distinct_words, units FROM (SELECT lang, count(*) AS words, count(DISTINCT word) AS distinct_words FROM ({SQL["toks"]}) WHERE {SQL["wordlike"]} GROUP BY lang)
+JOIN (SELECT lang, sum({SQL["units"]})::BIGINT AS units FROM documents GROUP BY lang) USING (lang)""",
     "word_frequencies": _FREQ,
-    "language_weights": f"SELECT lang, words, round(weight, 8) AS weight FROM ({_SQL['weights']})",
-    "weighted_frequencies": _SQL["weighted"],
+    "language_weights": f"SELECT lang, words, round(weight, 8) AS weight FROM ({SQL['weights']})",
+    "weighted_frequencies": SQL["weighted"],
     "language_stats": f"""SELECT a.lang AS language, coalesce(n, 0) AS num_documents, coalesce(words, 0) AS raw_word_count, round(coalesce(weight, 0), 8) AS weight FROM (SELECT * FROM (VALUES ('en'), ('hi'), ('te'), ('ta')) v(lang) UNION SELECT lang FROM documents) a
-LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang) LEFT JOIN ({_SQL["weights"]}) USING (lang)""",
+LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang) LEFT JOIN ({SQL["weights"]}) USING (lang)""",
     "base_vocabulary": f"""SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT '<bos>', 1 UNION ALL SELECT '<eos>', 2 UNION ALL SELECT '<unk>', 3 UNION ALL
 SELECT token, CAST(3 + row_number() OVER (ORDER BY encode(token)) AS INT) FROM (SELECT DISTINCT unnest(string_split(word, '')) AS token FROM ({_FREQ}))""",
     "pair_counts": _PAIRS,
@@ -190,10 +214,17 @@ md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
     "page_links": """SELECT page_id, CASE WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, './') THEN 'https://en.wikipedia.org/wiki/' || h[3:] WHEN starts_with(h, '/') THEN 'https://en.wikipedia.org' || h ELSE h END AS url,
 count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS h FROM pages) GROUP BY ALL""",
     "served_units": f"""SELECT *, ratio = max(ratio) OVER () AS largest, ratio = min(ratio) OVER () AS smallest FROM (SELECT lang, units, chars, round(chars / units, 6) AS ratio
-FROM (SELECT lang, sum({_SQL["units"]})::BIGINT AS units, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang))""",
+FROM (SELECT lang, sum({SQL["units"]})::BIGINT AS units, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang))""",
     "hapax_buckets": f"""SELECT bucket, types, tokens, round(types / sum(types) OVER (), 8) AS share FROM (SELECT CASE WHEN freq = 1 THEN '1' WHEN freq < 5 THEN '2-4' WHEN freq < 20 THEN '5-19' ELSE '20+' END AS bucket,
 count(*) AS types, sum(freq)::BIGINT AS tokens FROM ({_FREQ}) GROUP BY 1)""",
     "next_tokens": f"""SELECT a AS "left", b AS "right", count(*) AS n FROM (SELECT unnest(l[:-2]) AS a, unnest(l[2:]) AS b FROM (SELECT list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: regexp_replace(x, '^[{_W}]+', '▁')) AS l FROM documents) WHERE len(l) > 1)
 GROUP BY ALL HAVING count(*) >= 2""",
+    "language_table": f"""SELECT coalesce(name, lang) AS language, format('{{:,}}', docs) AS docs, format('{{:,}}', units) AS units, printf('%.1f', docs / sum(docs) OVER () * 100) || '%' AS share, printf('%.4f', chars / units) AS ratio,
+regexp_replace(regexp_replace(printf('%.2f', 1000.0 / docs), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') AS score FROM (SELECT lang, count(*) AS docs, sum(length(text)) AS chars, sum({SQL["units"]})::BIGINT AS units FROM documents GROUP BY lang)
+LEFT JOIN (VALUES {", ".join(str(x) for x in static.NAMES.items())}) n(lang, name) USING (lang)""",
+    "corpus_totals": f"SELECT sum(freq)::BIGINT AS total_words, count(*) AS distinct_words FROM ({_FREQ})",
+    "size_deltas": """SELECT *, chars - lag(chars) OVER (PARTITION BY lang ORDER BY size) AS delta FROM (SELECT lang, size, (sum(added) OVER (PARTITION BY lang ORDER BY size))::BIGINT AS chars
+FROM (SELECT lang, (doc_id % 6 + 1)::INT AS size, sum(length(text)) AS added FROM documents GROUP BY ALL))""",
+    "page_slugs": r"""SELECT page_id, coalesce(nullif(trim(lower(regexp_replace(strip_accents(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '[^A-Za-z0-9]+', '_', 'g')), '_'), ''), 'article') AS slug FROM pages""",
     "valid_requests": f"SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS pretokens FROM documents WHERE length(text) BETWEEN 1 AND 10000",
 }

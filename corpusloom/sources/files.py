@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +27,22 @@ def language_texts(spark: SparkSession, folder: str, lang: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, root: str, languages: list[str]) -> DataFrame:
-    """The texts of ``root/<lang>/*.txt``; at least one language must have some."""
-    parts = [language_texts(spark, f"{root}/{lang}", lang) for lang in languages]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if out.isEmpty():
+    """The texts of ``root/<lang>/*.txt``; at least one language must have some, and those that have none are warned of."""
+    out = reduce(DataFrame.unionByName, [language_texts(spark, f"{root}/{lang}", lang) for lang in languages])
+    found = {r["lang"] for r in out.select("lang").distinct().collect()}
+    if not found:
         raise ValueError(f"no text in any of {languages} under {root}")
+    if missing := [x for x in languages if x not in found]:
+        warnings.warn(f"no text under {root} for: {', '.join(missing)}", stacklevel=2)
     return out
 
 
+def document_counts(texts: DataFrame, languages: list[str]) -> DataFrame:
+    """(lang, num_documents) of every language asked for; one without texts has 0."""
+    asked = texts.sparkSession.createDataFrame([(x,) for x in languages], "lang string")
+    return asked.join(texts.groupBy("lang").agg(F.count("*").alias("num_documents")), "lang", "left").na.fill(0)
+
+
 def faithful_text(spark: SparkSession, root: str, lang: str) -> DataFrame:
     """The text of ``<lang>.faithful.txt``; no row where the file is missing."""
     path = f"{root}/{lang}.faithful.txt"
@@ -58,6 +68,51 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(special).groupBy("token").agg(F.max_by("id", "special").alias("id"))
 
 
+class Missing(FileNotFoundError):
+    """A file that training would have made isn't there."""
+
+
+_READ: dict[str, tuple[int, DataFrame]] = {}
+
+
+def artifact(spark: SparkSession, path: str) -> DataFrame:
+    """(content) of a file of an artifact set, read anew when its time has changed; says what is missing where it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise Missing(f"{path} is missing: train a tokenizer and write its artifacts first")
+    changed = fs.getFileStatus(p).getModificationTime()
+    if path not in _READ or _READ[path][0] != changed:
+        _READ[path] = changed, spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
+    return _READ[path][1]
+
+
+def health(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, present) of an artifact set."""
+    return spark.createDataFrame([(f, _exists(spark, f"{folder}/{f}")) for f in ARTIFACTS], "file string, present boolean")
+
+
+ARTIFACTS = ("vocab.json", "merges.json", "tokenizer_config.json", "eval_report.json", "tokenizer.json")
+
+
+def config(spark: SparkSession, folder: str) -> dict:
+    """The training config of an artifact set; empty where there is none."""
+    path = f"{folder}/tokenizer_config.json"
+    return json.loads(artifact(spark, path).first()[0]) if _exists(spark, path) else {}
+
+
+def page_extracts(payloads: DataFrame) -> DataFrame:
+    """``payloads(lang, title, body)`` with ``extract``: the first page's plain text of a stored answer, '' where it has none."""
+    page = F.map_values(F.from_json(F.get_json_object("body", "$.query.pages"), "map<string,string>"))[0]
+    return payloads.select("lang", "title", F.coalesce(F.get_json_object(page, "$.extract"), F.lit("")).alias("extract"))
+
+
+def linked_titles(titles: DataFrame, links: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(en_title, lang, title) for every one of ``titles(en_title)`` and language; null where ``links(en_title, lang, title)`` has none."""
+    asked = titles.crossJoin(F.broadcast(titles.sparkSession.createDataFrame([(x,) for x in languages], "lang string")))
+    return asked.join(links, ["en_title", "lang"], "left").select("en_title", "lang", F.nullif("title", F.lit("")).alias("title"))
+
+
 def language_links(payloads: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """(lang, title) of stored answers ``payloads(body)`` that list a page's links to other languages."""
     page = F.map_values(F.from_json(F.get_json_object("body", "$.query.pages"), "map<string,string>"))[0]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARES = {"web": 28, "code": 22, "books": 12, "scimath": 10, "gov": 5, "indic-lit": 5, "news": 5, "wiki": 5, "qa": 4, "synthetic": 4}
 #: thousands of entries: (fertility, training cost, inference cost)
@@ -29,6 +30,15 @@ SENTENCES = {
 CATEGORIES = {"Animals": "cat cow dog", "Fruits": "apple banana mango", "Verbs": "chase eat see"}
 
 
+#: Names of languages by their codes.
+NAMES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "hi": "Hindi", "te": "Telugu", "ta": "Tamil"}
+
+
+def display_name(code: Column) -> Column:
+    """A language's name, or its code where it has none here."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), code), code)
+
+
 def data_mix(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SHARES.items()), "id string, share int")
 

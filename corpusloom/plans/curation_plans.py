@@ -325,6 +325,14 @@ n = 0 OR best / n < 0.6 AS review FROM (SELECT *, greatest(en, de, fr, es) AS be
     "line_dedup": r"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS a FROM documents)),
 often AS (SELECT line FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT doc_id) > 5)
 SELECT doc_id, md5(string_agg(line, E'\n' ORDER BY pos)) AS md5, count(*) AS lines FROM l WHERE line NOT IN (SELECT line FROM often) GROUP BY doc_id""",
+    # all pairs by shared shingles: the bands must lose none of these tables'
+    "minhash_pairs": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+j AS (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE round(c / (na.n + nb.n - c), 6) >= 0.7),
+e AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT a, b, jaccard, comp FROM j JOIN (SELECT x, least(x, min(y)) AS comp FROM r GROUP BY x) ON x = a""",
     "benchmark_overlap": f"SELECT doc_id, count(*) AS runs FROM ({_RUNS % ('doc_id', 'doc_id', 'documents')}) WHERE g IN (SELECT g FROM ({_RUNS % ('item_id', 'item_id', 'benchmark')})) GROUP BY doc_id",
     "quality_features": rf"""WITH w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY ALL), m AS (SELECT w, -ln(sum(n) / (SELECT sum(n) FROM w)) AS nll FROM w GROUP BY w),
 s AS (SELECT doc_id, round(sum(n * nll) / sum(n), 6) AS nll, sum(n)::BIGINT AS words, count(*) AS distinct_words FROM w JOIN m USING (w) GROUP BY doc_id)

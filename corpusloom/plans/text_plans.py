@@ -191,7 +191,25 @@ _FREQ = f"SELECT word, count(*) AS freq FROM ({SQL['toks']}) GROUP BY word"
 _PAIRS = f"""SELECT l AS "left", r AS "right", sum(freq)::BIGINT AS n FROM (SELECT freq, unnest(list_transform(range(1, len(word)), lambda i: word[i])) AS l, unnest(list_transform(range(1, len(word)), lambda i: word[i + 1])) AS r
 FROM ({_FREQ})) GROUP BY ALL HAVING sum(freq) >= 2"""
 _SPACED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '\n{3,}', E'\n\n', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
+
+
+def _replaced(text: str, *steps: tuple[str, str, str]) -> str:
+    for pattern, by, flags in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, '{flags}')"
+    return text
+
+
+_CLEAN = _replaced("html", (r"<script\b[^>]*>.*?</script\s*>", "''", "gsi"), (r"<style\b[^>]*>.*?</style\s*>", "''", "gsi"), (r"<(?:meta|link)\b[^>]*>", "''", "gi"))
+for _entity, _char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):  # those that the pages have
+    _CLEAN = f"replace({_CLEAN}, '&{_entity};', '{_char}')"
+_CLEAN = _replaced(
+    f"nfc_normalize({_CLEAN})",
+    ("<!--.*?-->", "''", "gs"), (r"<ref\b[^>]*>.*?</ref\s*>", "''", "gsi"), (r"<ref\b[^>]*/>", "''", "gi"), (r"\[https?://[^\s\]]+(?:\s+([^\]]*?)\s*)?\]", r"'\1'", "g"),
+    ("''{5}(.*?)''{5}", r"'\1'", "g"), ("''{3}(.*?)''{3}", r"'\1'", "g"), ("''{2}(.*?)''{2}", r"'\1'", "g"), (r"(?m)^={2,6}\s*(.*?)\s*={2,6}[ \t]*$", r"'\1'", "g"),
+    (r"(?m)^-{4,}[ \t]*$", "''", "g"), (r"(?m)^[ \t]*[*#;:]+[ \t]*", "''", "g"), ("<[^>]+>", "''", "g"), (r"[ \t]+", "' '", "g"), (r"[ \t\r\f\v\x{a0}]+(\n|$)", r"'\1'", "g"), (r"\n{3,}", "E'\\n\\n'", "g"), (r"^[ \t\n]+|[ \t\n]+$", "''", "g"),
+)
 ORACLES: dict[str, str] = {
+    "cleaned_pages": f"SELECT * FROM (SELECT page_id, {_CLEAN} AS text FROM pages) WHERE text <> ''",
     "pretoken_stats": f"""SELECT lang, words, distinct_words, units FROM (SELECT lang, count(*) AS words, count(DISTINCT word) AS distinct_words FROM ({SQL["toks"]}) WHERE {SQL["wordlike"]} GROUP BY lang)
 JOIN (SELECT lang, sum({SQL["units"]})::BIGINT AS units FROM documents GROUP BY lang) USING (lang)""",
     "word_frequencies": _FREQ,

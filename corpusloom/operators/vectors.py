@@ -1,10 +1,10 @@
-"""Exact nearest neighbours: every vector is a query, compared in blocks by matrix products."""
+"""Exact nearest neighbours: queries against all vectors, compared in blocks by matrix products."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,19 +34,21 @@ def _best(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, s): the k most similar other vectors of each of ``vectors(vec_id, embedding)``.
+def top_k(vectors: DataFrame, k: int = 3, block: int = 4096, queries: Column | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, s): the k most similar other vectors of each of ``vectors(vec_id, embedding)``, or of those that ``queries`` says.
 
-    Rows with a null id or vector, or a null entry, take no part. Both sides are cut into blocks by a hash of the id;
-    a task compares one block with another and hands on k candidates a query. The work grows with the square of the
-    rows: the answer is exact.
+    Rows with a null id or vector, or a null entry, take no part; neither do ids of another dimension for each other. Queries and vectors are cut into blocks by a hash of the id;
+    a task compares one block with another and hands on k candidates a query. The answer is exact, and the work is that of
+    all queries against all rows; what is sent is the queries times the blocks of rows, and the rows times the blocks of queries.
     """
-    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, e -> e IS NULL)").select("vec_id", "embedding")
-    parts = max(1, -(-rows.count() // block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sides = own.select(F.col("own").alias("q"), F.col("other").alias("c"), F.lit(True).alias("query"), "vec_id", "embedding").unionByName(
-        own.select(F.col("other").alias("q"), F.col("own").alias("c"), F.lit(False).alias("query"), "vec_id", "embedding")
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, e -> e IS NULL)").select("vec_id", "embedding", F.size("embedding").alias("d"))
+    asked = rows if queries is None else rows.where(queries)
+    every, some = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = asked.select("d", part(some).alias("q"), each(every).alias("c"), F.lit(True).alias("query"), "vec_id", "embedding").unionByName(
+        rows.select("d", each(some).alias("q"), part(every).alias("c"), F.lit(False).alias("query"), "vec_id", "embedding")
     )
-    best = sides.groupBy("q", "c").applyInArrow(_best(k), "query_id bigint, vec_id bigint, s double")
+    best = sides.groupBy("d", "q", "c").applyInArrow(_best(k), "query_id bigint, vec_id bigint, s double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "s")

@@ -186,3 +186,19 @@ def test_nets_tell_rings_and_tokens(spark):
     assert len(losses) == 60 and losses[-1] < 0.2 < losses[0] and [r.accuracy for r in rows if r.epoch][-1] == 1
     assert {r.token: len(r.vector) for r in rows if r.token} == {"a": 4, "b": 4, "c": 4}
     assert tx.MARK == "▁"
+
+
+def test_queries_against_all_vectors(spark):
+    from corpusloom.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 6))
+    x[40] = x[10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 6), (200, None), (201, [1.0, None]), (300, [1.0, 2.0])], "vec_id bigint, embedding array<double>")
+    s = np.round(x @ x.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1) + 1e-8), 9)
+    np.fill_diagonal(s, -9)
+    want = {(i, r + 1, int(j)) for i in range(90) for r, j in enumerate(np.lexsort((np.arange(90), -s[i]))[:3])}
+    for block in (7, 4096):
+        assert {(r.query_id, r.rank, r.vec_id) for r in vectors.top_k(df, block=block).collect()} == want
+        some = {(r.query_id, r.rank, r.vec_id) for r in vectors.top_k(df, block=block, queries=F.col("vec_id") % 50 == 0).collect()}
+        assert some == {x for x in want if x[0] % 50 == 0}

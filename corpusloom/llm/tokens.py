@@ -249,79 +249,84 @@ class Encoder:
 def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sequence in codes, the rules (n, 2) and the expansion lengths. Negative ids part documents.
 
-    Each round counts hashed pairs, takes the exact counts of those in frequent buckets, and replaces every
-    frequent pair; of overlapping occurrences in a run every other one is taken. After a round only pairs with
-    a new symbol can have become frequent; when none is left, all are counted once more. What is frequent goes
-    from ``FIRST_COUNT`` down to ``min_count`` by halves. There are ``most`` rules at most.
+    Each round takes the exact counts of pairs and replaces every frequent one; of overlapping occurrences the more frequent pair's is
+    replaced, and of one pair's every other one. After a round only pairs with a new symbol can have become frequent, so only
+    they are counted, along the links between the symbols that are left; when none is frequent any more, what is frequent goes down by halves from
+    ``FIRST_COUNT`` to ``min_count`` and all pairs are counted once more, in hashed buckets first. There are ``most`` rules at most.
     """
     now = max(min_count, FIRST_COUNT)
     rules: list[np.ndarray] = []
-    n_rules, fresh = 0, 0  # pairs without a symbol from ``fresh`` on were counted before
+    n_rules, new = 0, None  # places of the symbols that the last round made
     seq = seq.astype(np.int32)
-    while len(seq) > 1 and n_rules < most:
-        a, b = seq[:-1], seq[1:]
-        if fresh:
-            new = seq >= fresh
-            at = np.flatnonzero((new[:-1] | new[1:]) & (np.minimum(a, b) >= 0))
+    live = None
+    while n_rules < most:
+        if new is None:
+            if live is not None:
+                seq = seq[live]
+            n = len(seq)
+            if n < 2:
+                break
+            live = np.ones(n, bool)
+            after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+            a, b = seq[:-1], seq[1:]
+            slot = a.astype(np.uint32) * np.uint32(0x9E3779B1)
+            slot ^= b.astype(np.uint32) * np.uint32(0x85EBCA77)
+            slot ^= slot >> np.uint32(15)
+            slot = (slot & np.uint32(buckets - 1)).astype(np.int64)
+            at = np.flatnonzero((np.bincount(slot, minlength=buckets) >= now)[slot])
             a, b = a[at], b[at]
-        slot = a.astype(np.uint32) * np.uint32(0x9E3779B1)
-        slot ^= b.astype(np.uint32) * np.uint32(0x85EBCA77)
-        slot ^= slot >> np.uint32(15)
-        slot = (slot & np.uint32(buckets - 1)).astype(np.int64)
-        hot = np.flatnonzero((np.bincount(slot, minlength=buckets) >= now)[slot])
-        a, b = a[hot], b[hot]
-        at = at[hot] if fresh else hot
-        if not fresh:
-            within = np.minimum(a, b) >= 0
-            at, a, b = at[within], a[within], b[within]
+        else:
+            left = before[new]
+            left = left[left >= 0]
+            at = np.empty(len(left) + len(new), np.int64)
+            at[: len(left)], at[len(left) :] = left, new
+            at.sort(kind="stable")
+            at = at[np.r_[True, at[1:] != at[:-1]] & (after[at] < n)]
+            a, b = seq[at], seq[after[at]]
+        within = np.minimum(a, b) >= 0
+        at, a, b = at[within], a[within], b[within]
         pair, which, count = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True, return_counts=True)
         use = count >= now
         if use.any():
             keep = use[which]
             at, which = at[keep], which[keep]
-            # of overlapping occurrences the more frequent pair's is taken, of one pair's every other one
-            start = np.r_[True, np.diff(at) > 1]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            near = after[at[:-1]] == at[1:]
+            start = np.r_[True, ~near]
+            place = np.arange(len(at))
+            even = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
             weight = count[which] << 24 | which & 0xFFFFFF
-            alone = np.zeros(len(at), bool)
             ahead, behind = np.full(len(at), -1), np.full(len(at), -1)
-            near = ~start[1:]
             ahead[:-1][near], behind[1:][near] = weight[1:][near], weight[:-1][near]
-            alone = (weight > ahead) & (weight > behind)
-            even = (at - at[first]) % 2 == 0
-            same = (weight == ahead) | (weight == behind)
-            take = alone | (same & even & (weight >= ahead) & (weight >= behind))
-            taken = take.copy()
-            taken[1:] &= ~(take[:-1] & near)  # a pair's run may end beside a taken one
-            at, which = at[taken], which[taken]
+            take = (weight >= ahead) & (weight >= behind) & (even | (weight != ahead) & (weight != behind))
+            take[1:] &= ~(take[:-1] & near)  # a pair's run may end beside a taken one
+            at, which = at[take], which[take]
             done = np.bincount(which, minlength=len(pair))
             use &= done >= min(now, max(2, min_count))
         if not use.any():
-            if not fresh:
-                if now == min_count:
-                    break
+            if now == min_count and new is None:
+                break
+            if new is None or now > min_count:
                 now = max(min_count, now // 2)
-                continue
-            fresh = 0  # overlaps may have left old pairs frequent: all are counted again
+            new = None
             continue
         order = np.flatnonzero(use)
         order = order[np.lexsort((pair[order], -done[order]))][: most - n_rules]
         use[:] = False
         use[order] = True
         name = np.zeros(len(pair), np.int32)
-        fresh = base + n_rules
-        name[order] = fresh + np.arange(len(order), dtype=np.int32)
+        name[order] = base + n_rules + np.arange(len(order), dtype=np.int32)
         keep = use[which]
-        at, which = at[keep], which[keep]
-        seq = seq.copy()
-        seq[at] = name[which]
-        live = np.ones(len(seq), bool)
-        live[at + 1] = False
-        seq = seq[live]
+        new, which = at[keep], which[keep]
+        right = after[new]
+        live[right] = False
+        beyond = after[right]
+        seq[new], after[new] = name[which], beyond
+        inside = beyond < n
+        before[beyond[inside]] = new[inside]
         rules.append(np.stack([pair[order] >> 32, pair[order] & 0xFFFFFFFF], axis=1).astype(np.uint32))
         n_rules += len(order)
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return seq, all_rules, expansion_lengths(rules, base)
+    return seq if live is None else seq[live], all_rules, expansion_lengths(rules, base)
 
 
 def expansion_lengths(rounds: list[np.ndarray], base: int) -> np.ndarray:

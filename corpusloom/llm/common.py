@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.components import LOCAL_EDGES, components, dropped, union_find  # noqa: F401
 from corpusloom.sources.shared import written  # noqa: F401
+from corpusloom.sources.tables import table
 
 #: Id lists up to this many rows are sent to every executor (8 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -26,9 +27,20 @@ def quoted(columns: list[str]) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has columns of these names already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
@@ -40,6 +52,7 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows
     n = ids.count()
     if n == 0:
         return docs
-    side = ids.select(F.col(key).alias("__loom_key"))
+    (other,) = fresh(docs, "__loom_key")
+    side = ids.select(F.col(key).alias(other))
     side = F.broadcast(side) if n <= broadcast_rows else side.hint("shuffle_hash")
-    return docs.join(side, docs[key] == side["__loom_key"], "left_anti")
+    return docs.join(side, docs[key] == side[other], "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_IDS, read_table, written
+from corpusloom.llm.common import BROADCAST_IDS, fresh, read_table, written
 from corpusloom.llm.words import as_texts, chunks, grams, mix, words
 
 K = 8
@@ -294,9 +294,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDO
     text = F.col("text").cast("string")
     if ix is None:
         gone = written(_joined_spans(docs.select(text.alias("text")).where("text IS NOT NULL"), benchmark, k, window, short).select("key").distinct())
-        side = gone.select(F.col("key").alias("__loom_key"))
+        (key,) = fresh(docs, "__loom_key")
+        side = gone.select(F.col("key").alias(key))
         side = F.broadcast(side) if gone.count() <= BROADCAST_IDS else side.hint("shuffle_hash")
-        return docs.join(side, F.md5(text) == F.col("__loom_key"), "left_anti")
+        return docs.join(side, F.md5(text) == F.col(key), "left_anti")
 
     @F.arrow_udf("boolean")
     def hit(text: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import quoted, read_table, written
+from corpusloom.llm.common import fresh, quoted, read_table, written
 from corpusloom.llm.words import as_texts, chunks, mix, text_buffer, words
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hash of their id.
@@ -261,12 +261,13 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_r
     where = site(F.col("source"), F.col("lang"))
     rows = docs.select(where.alias("site"), z.alias("z")).select("site.host", "site.path", "z")
     sites, mu = site_posteriors(rows)
-    side = _sided(sites.select(F.col("host").alias("__loom_host"), F.col("path").alias("__loom_path"), F.col("path_post").alias("__loom_post")), broadcast_sites)
-    out = docs.withColumn("__loom_site", where).withColumn("__loom_z", z).where("__loom_z IS NOT NULL")
-    out = out.join(side, (F.col("__loom_site.host") == F.col("__loom_host")) & (F.col("__loom_site.path") == F.col("__loom_path")), "left")
-    shift = F.coalesce(F.log(F.col("__loom_post") / (1 - F.col("__loom_post"))), F.lit(0.0)) - float(np.log(mu / (1 - mu)))
+    own, odds, host, path, post = fresh(docs, "__loom_site", "__loom_z", "__loom_host", "__loom_path", "__loom_post")
+    side = _sided(sites.select(F.col("host").alias(host), F.col("path").alias(path), F.col("path_post").alias(post)), broadcast_sites)
+    out = docs.withColumn(own, where).withColumn(odds, z).where(F.col(odds).isNotNull())
+    out = out.join(side, (F.col(own)["host"] == F.col(host)) & (F.col(own)["path"] == F.col(path)), "left")
+    shift = F.coalesce(F.log(F.col(post) / (1 - F.col(post))), F.lit(0.0)) - float(np.log(mu / (1 - mu)))
     need = float(np.log(threshold / (1 - threshold)))
-    return out.where(F.col("__loom_z") + shift >= need).select(*quoted(docs.columns))
+    return out.where(F.col(odds) + shift >= need).select(*quoted(docs.columns))
 
 
 def op5_quality_classifier(spark, sf_dir):

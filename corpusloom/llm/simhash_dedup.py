@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_IDS, components, quoted, read_table, union_find, without, written
+from corpusloom.llm.common import BROADCAST_IDS, components, fresh, quoted, read_table, union_find, without, written
 from corpusloom.llm.words import as_texts, chunks, mix, text_hash, words
 
 WORDS = 4
@@ -276,26 +276,28 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return without(docs, written(near_duplicates(docs, **params).select("doc_id").distinct()))
+    key, md5, unit, row, id_, m = fresh(docs, "__loom_key", "__loom_md5", "__loom_unit", "__loom_row", "__loom_id", "__loom_m")
     side = F.broadcast(again) if again.count() <= BROADCAST_IDS else again.hint("shuffle_hash")
-    side = side.select(F.col("doc_id").alias("__loom_key"))
+    side = side.select(F.col("doc_id").alias(key))
     text = F.col("text").cast("string")
-    twice = docs.join(side, docs["doc_id"] == side["__loom_key"], "left_semi").withColumn("__loom_md5", F.md5(text))
+    twice = docs.join(side, docs["doc_id"] == side[key], "left_semi").withColumn(md5, F.md5(text))
     # a large number for each text of such an id, so that other ids are the representatives; drawn anew should any be taken already
-    units = twice.where("__loom_md5 IS NOT NULL").select("doc_id", "__loom_md5").distinct()
+    units = twice.where(F.col(md5).isNotNull()).select(F.col("doc_id").cast("bigint").alias(id_), F.col(md5).alias(m)).distinct()
     once = without(docs, again)
     salt = 0
     while True:
-        named = written(units.withColumn("__loom_unit", F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id", "__loom_md5"), 2) + F.lit(1 << 62)))
-        taken = named.join(once.select(F.col("doc_id").cast("bigint").alias("__loom_unit")), "__loom_unit", "left_semi")
-        if taken.isEmpty() and named.select("__loom_unit").distinct().count() == named.count():
+        named = written(units.withColumn(unit, F.shiftrightunsigned(F.xxhash64(F.lit(salt), id_, m), 2) + F.lit(1 << 62)))
+        taken = named.join(once.select(F.col("doc_id").cast("bigint").alias(unit)), unit, "left_semi")
+        if taken.isEmpty() and named.select(unit).distinct().count() == named.count():
             break
         salt += 1
-    rows = twice.groupBy("doc_id", "__loom_md5").agg(F.min_by(F.struct(*quoted(docs.columns)), F.xxhash64(*quoted([c for c, t in docs.dtypes if not t.startswith("map")]))).alias("__loom_row"))
-    rows = written(rows.join(named.select(F.col("doc_id").alias("__loom_id"), F.col("__loom_md5").alias("__loom_m"), "__loom_unit"), (F.col("doc_id") == F.col("__loom_id")) & (F.col("__loom_md5") == F.col("__loom_m")), "left").select("__loom_unit", "__loom_row"))
+    least = F.xxhash64(*quoted([c for c, t in docs.dtypes if not t.startswith("map")]))
+    rows = twice.groupBy("doc_id", md5).agg(F.min_by(F.struct(*quoted(docs.columns)), least).alias(row))
+    rows = written(rows.join(named, (F.col("doc_id") == F.col(id_)) & (F.col(md5) == F.col(m)), "left").select(unit, row))
     every = once.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    every = every.unionByName(rows.where("__loom_unit IS NOT NULL").select(F.col("__loom_unit").alias("doc_id"), F.col("__loom_row.text").cast("string").alias("text")))
+    every = every.unionByName(rows.where(F.col(unit).isNotNull()).select(F.col(unit).alias("doc_id"), F.col(row)["text"].cast("string").alias("text")))
     gone = written(near_duplicates(every, **params).select("doc_id").distinct())
-    kept = without(rows, gone.select(F.col("doc_id").alias("__loom_unit")), "__loom_unit").select("__loom_row.*")
+    kept = without(rows, gone.select(F.col("doc_id").alias(unit)), unit).select(f"{row}.*")
     return without(once, gone).unionByName(kept)
 
 

@@ -76,10 +76,16 @@ def line_dedup(spark, sf_dir):
 
 
 def minhash_pairs(spark, sf_dir):
-    """Near-duplicate pairs by MinHash bands, verified by the Jaccard index of their shingles of five words, with their components."""
-    docs = _docs(spark, sf_dir)
-    shingled = near_shingles(docs)
-    return minhash_candidates(shingled)
+    """Near-duplicate pairs of different contents by MinHash bands, verified by the Jaccard index of their shingles of five words.
+
+    Documents of equal shingles are one content, named by the least of their ids, so that copies make no pairs; with the pairs' components.
+    """
+    return minhash_links(near_shingles(_docs(spark, sf_dir)))[0]
+
+
+def minhash_groups(spark, sf_dir):
+    """One row for each document that has words: its content, how many documents share that, how many contents are near it, and its group."""
+    return minhash_links(near_shingles(_docs(spark, sf_dir)))[1]
 
 
 def near_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -89,15 +95,14 @@ def near_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("doc_id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))).alias("s"))
 
 
-def minhash_candidates(shingled: DataFrame, bands: int = 16, rows: int = 3, threshold: float = 0.7, block: int = 1000) -> DataFrame:
-    """(a, b, jaccard, comp): all pairs that share a band's bucket and reach the threshold, with the least id of their component.
+def minhash_links(shingled: DataFrame, bands: int = 16, rows: int = 3, threshold: float = 0.7, block: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(a, b, jaccard, comp) and (doc_id, content, copies, links, comp): the pairs of contents that share a band's bucket and reach the threshold, and the documents.
 
-    Equal shingle sets are compared once, as one, and their documents' pairs are put back at the end. A bucket is
-    joined with itself in blocks of about ``block`` sets, so that none is one task's work.
+    Equal shingle sets are one content, with the least id of their documents as its name. A bucket is
+    joined with itself in blocks of about ``block`` contents, so that none is one task's work. ``comp`` is the least id of the component.
     """
     signed = written(shingled.where("doc_id IS NOT NULL").select("doc_id", "s", minhash.signed(bands, rows)(F.col("s")).alias("k")).select("doc_id", "s", "k.keys", "k.content"))
-    members = signed.select("content", "doc_id").distinct()
-    sets = written(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("s").alias("s"), F.first("keys").alias("keys")))
+    sets = written(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.first("s").alias("s"), F.first("keys").alias("keys")))
     banded = sets.select("content", F.size("s").alias("n"), F.explode("keys").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / block).alias("parts"))
     cells = banded.join(full, "key").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
@@ -106,19 +111,19 @@ def minhash_candidates(shingled: DataFrame, bands: int = 16, rows: int = 3, thre
     # an index is at most the smaller set over the larger one; the rounding below is allowed for
     may = (F.least("n", "n2") >= (threshold - 1e-6) * F.greatest("n", "n2")) & (F.col("content") < F.col("y")) & ((F.col("part") != F.col("part2")) | (F.col("lo") == F.col("hi")))
     pairs = cells.join(right, ["key", "lo", "hi"]).where(may).select(F.col("content").alias("x"), "y").distinct()
-    side = lambda c: sets.select(F.col("content").alias(c), F.col("s").alias(f"s{c}"))
+    side = lambda c: sets.select(F.col("content").alias(c), F.col("s").alias(f"s{c}"), F.col("id").alias(f"i{c}"))
     same = F.size(F.array_intersect("sx", "sy"))
-    near = written(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", F.round(same / (F.size("sx") + F.size("sy") - same), 6).alias("jaccard")).where(F.col("jaccard") >= threshold))
-    of = lambda c, k: members.select(F.col("content").alias(c), F.col("doc_id").alias(k))
-    between = near.join(of("x", "p"), "x").join(of("y", "q"), "y").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
-    copies = of("x", "a").join(of("x", "b"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    # a document of several rows may have more than one index with another
-    found = between.unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    least = sets.select("content", "id")
-    stars = least.join(members, "content").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    links = near.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y").select("a", "b")
-    comps = components(links.unionByName(stars))
-    return found.join(comps.select(F.col("node").alias("a"), "comp"), "a").select("a", "b", "jaccard", "comp")
+    near = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "ix", "iy", F.round(same / (F.size("sx") + F.size("sy") - same), 6).alias("jaccard"))
+    near = written(near.where(F.col("jaccard") >= threshold))
+    # one id may have several contents, which it then joins
+    links = near.select(F.col("ix").alias("a"), F.col("iy").alias("b")).unionByName(signed.join(sets.select("content", "id"), "content").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
+    comps = written(components(links))
+    comp_of = lambda c: comps.select(F.col("node").alias(c), "comp")
+    found = near.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), "jaccard").where("a <> b").join(comp_of("a"), "a").select("a", "b", "jaccard", "comp")
+    degree = near.select(F.col("x").alias("content")).unionByName(near.select(F.col("y").alias("content"))).groupBy("content").agg(F.count("*").alias("links"))
+    of = sets.select("content", "id", "copies").join(degree, "content", "left")
+    docs = signed.select("doc_id", "content").distinct().join(of, "content").join(comp_of("doc_id"), "doc_id", "left")
+    return found, docs.select("doc_id", F.col("id").alias("content"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("comp", "doc_id").alias("comp"))
 
 
 def benchmark_overlap(spark, sf_dir):
@@ -299,7 +304,7 @@ def benchmark_gates(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        content_hashes, provenance, language_id, exact_dedup, known_bad_removed, split_overlap, line_dedup, minhash_pairs, benchmark_overlap, quality_features,
+        content_hashes, provenance, language_id, exact_dedup, known_bad_removed, split_overlap, line_dedup, minhash_pairs, minhash_groups, benchmark_overlap, quality_features,
         calibrated_thresholds, redacted, rebalanced, target_mix, curriculum, script_id, license_gate, code_gates, plain_marks, floored_documents, held_out,
         paragraphs, conversation_checks, chunks, benchmark_gates,
     )
@@ -314,6 +319,15 @@ for _k, _p in tx.PII:
     _RED = f"regexp_replace({_RED}, '{_p}', '<{_k}>', 'g')"
 _TOKENS = r"list_transform(regexp_extract_all(lower(text), '[\p{L}\p{M}\x{200C}\x{200D}]+|\p{N}+|[^\p{L}\p{M}\p{N}\p{Z}\s]'), lambda x: x)"
 _STOPS = ", ".join(f"len(list_filter(w, lambda x: list_contains({list(ws)}, x))) AS {c}" for c, ws in STOP.items())
+#: All pairs by shared shingles: the bands must lose none of these tables'.
+_NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM w WHERE len(w) > 0),
+h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS content, count(*) OVER (PARTITION BY g) AS copies FROM g),
+s AS (SELECT doc_id, unnest(g) AS g FROM g JOIN h USING (doc_id) WHERE doc_id = content), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+j AS (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE round(c / (na.n + nb.n - c), 6) >= 0.7),
+e AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+k AS (SELECT h.doc_id, coalesce(least(content, m), content) AS comp FROM h LEFT JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) ON x = content)"""
 ORACLES: dict[str, str] = {
     "content_hashes": f"SELECT doc_id, md5(text) AS md5, {_LIC} AS licensed, {_SEC} AS secret FROM documents",
     "provenance": f"SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum({_LIC}::INT)::BIGINT AS licensed, sum({_SEC}::INT)::BIGINT AS secrets FROM documents GROUP BY source",
@@ -326,13 +340,9 @@ n = 0 OR best / n < 0.6 AS review FROM (SELECT *, greatest(en, de, fr, es) AS be
 often AS (SELECT line FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT doc_id) > 5)
 SELECT doc_id, md5(string_agg(line, E'\n' ORDER BY pos)) AS md5, count(*) AS lines FROM l WHERE line NOT IN (SELECT line FROM often) GROUP BY doc_id""",
     # all pairs by shared shingles: the bands must lose none of these tables'
-    "minhash_pairs": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
-j AS (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE round(c / (na.n + nb.n - c), 6) >= 0.7),
-e AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
-SELECT a, b, jaccard, comp FROM j JOIN (SELECT x, least(x, min(y)) AS comp FROM r GROUP BY x) ON x = a""",
+    "minhash_pairs": f"{_NEAR} SELECT a, b, jaccard, comp FROM j JOIN k ON k.doc_id = a",
+    "minhash_groups": f"""{_NEAR} SELECT h.doc_id, content, copies, coalesce(l.links, 0) AS links, k.comp FROM h JOIN k USING (doc_id)
+LEFT JOIN (SELECT x AS content, count(*) AS links FROM (SELECT a AS x FROM j UNION ALL SELECT b FROM j) GROUP BY x) l USING (content)""",
     "benchmark_overlap": f"SELECT doc_id, count(*) AS runs FROM ({_RUNS % ('doc_id', 'doc_id', 'documents')}) WHERE g IN (SELECT g FROM ({_RUNS % ('item_id', 'item_id', 'benchmark')})) GROUP BY doc_id",
     "quality_features": rf"""WITH w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY ALL), m AS (SELECT w, -ln(sum(n) / (SELECT sum(n) FROM w)) AS nll FROM w GROUP BY w),
 s AS (SELECT doc_id, round(sum(n * nll) / sum(n), 6) AS nll, sum(n)::BIGINT AS words, count(*) AS distinct_words FROM w JOIN m USING (w) GROUP BY doc_id)

@@ -1,19 +1,35 @@
-"""MinHash pairs against all pairs."""
+"""MinHash links between contents against all pairs."""
 
 from itertools import combinations
 
+from corpusloom.operators.components import union_find
 from corpusloom.plans import curation_plans
 
 
-def test_pairs_are_those_of_brute_force(spark):
+def test_links_are_those_of_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(5).selectExpr("doc_id + 1000000", "* EXCEPT (doc_id)"))
     shingled = curation_plans.near_shingles(docs)
-    s = {r.doc_id: set(r.s) for r in shingled.collect()}
-    index = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a, b in combinations(sorted(s), 2)}
-    want = {p: round(j, 6) for p, j in index.items() if round(j, 6) >= 0.7}
+    s = {r.doc_id: frozenset(r.s) for r in shingled.collect()}
+    name = {}
+    for i in sorted(s):
+        name.setdefault(s[i], i)
+    index = {(a, b): round(len(s[a] & s[b]) / len(s[a] | s[b]), 6) for a, b in combinations(sorted(name.values()), 2)}
+    want = {p: j for p, j in index.items() if j >= 0.7}
+    import numpy as np
+
+    edges = [*want, *((name[x], i) for i, x in s.items() if name[x] != i)]
+    node, comp = union_find(*(np.array(c) for c in zip(*edges)))
+    group = dict(zip(node.tolist(), comp.tolist()))
     for block in (1000, 1):
-        got = {(r.a, r.b): r.jaccard for r in curation_plans.minhash_candidates(shingled, block=block).collect()}
+        pairs, rows = curation_plans.minhash_links(shingled, block=block)
+        got = {(r.a, r.b): r.jaccard for r in pairs.collect()}
         assert got.items() <= want.items() and len(got) >= 0.97 * len(want)
+        rows = {r.doc_id: r for r in rows.collect()}
+        assert rows.keys() == s.keys()
+        if len(got) == len(want):
+            for i, r in rows.items():
+                links = sum(name[s[i]] in p for p in want)
+                assert (r.content, r.copies, r.links, r.comp) == (name[s[i]], sum(x == s[i] for x in s.values()), links, group.get(i, i))
 
 
 def test_every_pair_of_a_bucket_is_compared(spark):
@@ -21,6 +37,11 @@ def test_every_pair_of_a_bucket_is_compared(spark):
     rows = [(1, [5, *range(100, 109)])] + [(i, [*range(1, 40), 1000 + i]) for i in range(2, 7)] + [(7, [1006, *range(39, 0, -1)])]
     df = spark.createDataFrame(rows, "doc_id bigint, s array<bigint>")
     for block in (1000, 2):
-        got = curation_plans.minhash_candidates(df, bands=64, rows=1, block=block).collect()
-        assert sorted((r.a, r.b) for r in got) == list(combinations(range(2, 8), 2))
-        assert {r.comp for r in got} == {2}
+        pairs, docs = curation_plans.minhash_links(df, bands=64, rows=1, block=block)
+        assert sorted((r.a, r.b, r.comp) for r in pairs.collect()) == [(a, b, 2) for a, b in combinations(range(2, 7), 2)]
+        assert sorted(tuple(r) for r in docs.collect()) == [(1, 1, 1, 0, 1), *((i, i, 1, 4, 2) for i in range(2, 6)), (6, 6, 2, 4, 2), (7, 6, 2, 4, 2)]
+
+
+def test_no_documents(spark):
+    for df in curation_plans.minhash_links(spark.createDataFrame([], "doc_id bigint, s array<bigint>")):
+        assert df.count() == 0

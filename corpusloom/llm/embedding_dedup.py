@@ -6,6 +6,8 @@ threshold differ by at most ``delta = sqrt(2 - 2 * threshold)``. Where a border
 ``x . (home - c) / |home - c|``, sum up to the part of that difference that is across the border, so one of the two is within half of it and
 visits the other's cell: a vector visits cell c when its margin is at most ``slack * delta / sqrt(d) / 2``. With slack = sqrt(d) no pair can be
 missed; the default of 3 covers three standard deviations of a difference without preferred direction.
+A cell of more than ``SPLIT`` times its meant size is parted again, around vectors of its own, in the same way; so the number of centroids that
+go to every task is bounded, and the work still doesn't grow with the square of the vectors.
 Cells are compared in blocks, so a cell's size bounds no task, and groups are connected components.
 
 Defined results: a null or empty vector, one with a null, NaN or infinite entry, of zero length, or a null
@@ -31,6 +33,8 @@ CELL = 2048
 MAX_CELLS = 32_768
 BLOCK = 4096
 ROUNDS = 3
+#: Times its meant size that a cell has before it is parted again, and vectors of a task that does so.
+SPLIT, CHUNK = 64, 65_536
 
 
 def _matrix(col: pa.Array, d: int) -> np.ndarray:
@@ -89,9 +93,9 @@ def _summed(t: pa.Table) -> pa.Table:
     return pa.table({"cell": t["cell"][:1], "s": pa.array([s.tobytes()], pa.binary())})
 
 
-def kmeans(vectors: DataFrame, n: int, d: int, rounds: int = ROUNDS, cell: int = CELL) -> np.ndarray:
+def kmeans(vectors: DataFrame, n: int, d: int, rounds: int = ROUNDS, cell: int = CELL, max_cells: int = MAX_CELLS) -> np.ndarray:
     """Centroids of ``vectors(vec_id, v)``, begun from the vectors whose ids have the least hashes."""
-    k = min(MAX_CELLS, max(1, math.ceil(n / cell)))
+    k = min(max_cells, max(1, math.ceil(n / cell)))
     first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(k).select("v").toArrow()
     cells = _matrix(first["v"].combine_chunks() if first.num_rows else first["v"], d).copy()
     for _ in range(rounds if k > 1 else 0):
@@ -104,26 +108,78 @@ def kmeans(vectors: DataFrame, n: int, d: int, rounds: int = ROUNDS, cell: int =
     return cells
 
 
+def _visits(x: np.ndarray, cells: np.ndarray, reach: float, gap: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, cell, whether it is the row's home) in steps that bound memory."""
+    for a, g, home in _assigned(x, cells):
+        apart = gap[home] if gap is not None else np.sqrt(np.maximum(0, 2 - 2 * np.clip(cells[home] @ cells.T, -1, 1)))
+        best = g[np.arange(len(home)), home]
+        visit = best[:, None] - g <= reach * apart + 1e-6
+        visit[np.arange(len(home)), home] = True
+        row, cell = np.nonzero(visit)
+        yield row + a, cell, cell == home[row]
+
+
+def _gap(cells: np.ndarray) -> np.ndarray | None:
+    return np.sqrt(np.maximum(0, 2 - 2 * np.clip(cells @ cells.T, -1, 1))) if len(cells) <= 4096 else None
+
+
 def _placed(cells: np.ndarray, d: int, reach: float):
-    gap = np.sqrt(np.maximum(0, 2 - 2 * np.clip(cells @ cells.T, -1, 1))) if len(cells) <= 4096 else None
+    gap = _gap(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b["v"], d)
-            for a, g, home in _assigned(x, cells):
-                apart = gap[home] if gap is not None else np.sqrt(np.maximum(0, 2 - 2 * np.clip(cells[home] @ cells.T, -1, 1)))
-                best = g[np.arange(len(home)), home]
-                visit = best[:, None] - g <= reach * apart + 1e-6
-                visit[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(visit)
-                at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), b["vec_id"].take(at), b["v"].take(at), pa.array(cell == home[row])], ["cell", "vec_id", "v", "home"]
-                )
+            for row, cell, home in _visits(_matrix(b["v"], d), cells, reach, gap):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b["vec_id"].take(at), b["v"].take(at), pa.array(home)], ["cell", "vec_id", "v", "home"])
 
     return run
 
 
+def _reach(d: int, threshold: float, slack: float) -> float:
+    return min(1.0, slack / math.sqrt(d)) * math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+
+
+_PLACED = "d int, cell int, sub int, vec_id bigint, v binary, home boolean"
+
+
+def _parted(threshold: float, slack: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["d", "cell", "sub", "vec_id", "v", "home"]
+        left = left.append_column("sub", pa.array(np.zeros(len(left), np.int32))).select(names)
+        if not len(left) or not len(right):
+            return left
+        d = left["d"][0].as_py()
+        right = right.take(pa.array(np.argsort(right["seed_vec_id"].to_numpy())))
+        cells = _matrix(right["seed_v"].combine_chunks(), d)
+        parts = list(_visits(_matrix(left["v"].combine_chunks(), d), cells, _reach(d, threshold, slack), _gap(cells)))
+        row, sub = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        return left.take(pa.array(row)).set_column(2, "sub", pa.array(sub, pa.int32()))
+
+    return run
+
+
+def _divided(placed: DataFrame, threshold: float, slack: float, cell: int, split: int) -> DataFrame:
+    """``placed`` with ``sub``: the part of a cell above ``split * cell`` vectors that a row is in or visits; 0 in others.
+
+    Such a cell's vectors gather around every ``cell``-th of its own, by a hash of the id; they are dealt out to tasks of about ``CHUNK``, each with all of those.
+    """
+    big = written(placed.groupBy("d", "cell").agg(F.count("*").alias("n")).where(F.col("n") > split * cell))
+    if big.isEmpty():
+        return placed.withColumn("sub", F.lit(0))
+    side = F.broadcast(big) if big.count() <= BROADCAST_IDS else big
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    rows = placed.join(side, ["d", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(9)), chunks).cast("int"))
+    of = side.toDF("seed_d", "seed_cell", "n")
+    seeds = placed.toDF(*(f"seed_{c}" for c in placed.columns)).join(of, ["seed_d", "seed_cell"])
+    seeds = seeds.where(F.col("seed_home") & (F.pmod(F.xxhash64("seed_vec_id", F.lit(5)), F.lit(cell)) == 0))
+    seeds = seeds.select("seed_d", "seed_cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("seed_chunk"), "seed_vec_id", "seed_v")
+    keys = ["d", "cell", "chunk"]
+    parted = rows.select(*keys, "vec_id", "v", "home").groupBy(*keys).cogroup(seeds.groupBy(*(f"seed_{c}" for c in keys))).applyInArrow(_parted(threshold, slack), _PLACED)
+    names = ["d", "cell", "sub", "vec_id", "v", "home"]
+    whole = placed.join(side.select("d", "cell"), ["d", "cell"], "left_anti").withColumn("sub", F.lit(0))
+    return written(whole.select(names).unionByName(parted.select(names)))
+
+
 def _compared(threshold: float, step: int = 1024):
     def run(t: pa.Table) -> pa.Table:
         ids, home, part = t["vec_id"].to_numpy(), t["home"].to_numpy(), t["part"].to_numpy()
@@ -147,7 +203,7 @@ def _compared(threshold: float, step: int = 1024):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, slack: float = 3.0, cell: int = CELL, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, slack: float = 3.0, cell: int = CELL, block: int = BLOCK, rounds: int = ROUNDS, max_cells: int = MAX_CELLS, split: int = SPLIT) -> DataFrame:
     """(rep_id, vec_id): every vector of a near-duplicate group other than its representative.
 
     :param threshold: the least cosine of a pair
@@ -162,17 +218,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, slack: float =
     placed = [reps.where(~F.col("d").isin(*dims)).select("d", F.lit(0).alias("cell"), "vec_id", "v", F.lit(True).alias("home"))]
     for d, n in sorted(dims.items()):
         own = reps.where(F.col("d") == d).select("vec_id", "v")
-        cells = kmeans(own, n, d, rounds, cell)
-        reach = min(1.0, slack / math.sqrt(d)) * math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
-        got = own.mapInArrow(_placed(cells, d, reach), "cell int, vec_id bigint, v binary, home boolean")
+        cells = kmeans(own, n, d, rounds, cell, max_cells)
+        got = own.mapInArrow(_placed(cells, d, _reach(d, threshold, slack)), "cell int, vec_id bigint, v binary, home boolean")
         placed.append(got.select(F.lit(d).alias("d"), "cell", "vec_id", "v", "home"))
-    placed = written(reduce(DataFrame.unionByName, placed))
-    sizes = written(placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    placed = _divided(written(reduce(DataFrame.unionByName, placed)), threshold, slack, cell, split)
+    sizes = written(placed.groupBy("d", "cell", "sub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
     side = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
-    parted = placed.join(side, ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    parted = placed.join(side, ["d", "cell", "sub"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     paired = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    near = paired.select("d", "cell", "lo", "hi", "part", "vec_id", "v", "home").groupBy("d", "cell", "lo", "hi").applyInArrow(_compared(threshold), "a bigint, b bigint")
+    near = paired.select("d", "cell", "sub", "lo", "hi", "part", "vec_id", "v", "home").groupBy("d", "cell", "sub", "lo", "hi").applyInArrow(_compared(threshold), "a bigint, b bigint")
     return components(same.union(near)).where("node <> comp").select(F.col("comp").alias("rep_id"), F.col("node").alias("vec_id"))
 
 

@@ -19,7 +19,7 @@ def test_every_dimension_against_all_pairs(spark):
         node, comp = common.union_find(ids[a], ids[b]) if len(a) else ([], [])
         want |= {(int(c), int(k)) for k, c in zip(node, comp) if k != c}
     df = spark.createDataFrame([*rows, rows[0], rows[5], (None, [1.0] * 24), (99_999, [0.0] * 7)], "vec_id bigint, embedding array<double>")
-    for params in ({}, {"cell": 20, "block": 16}, {"cell": 20, "slack": 100.0, "block": 8}):
+    for params in ({}, {"cell": 20, "block": 16}, {"cell": 20, "slack": 100.0, "block": 8}, {"cell": 10, "max_cells": 2, "split": 2}, {"cell": 10, "max_cells": 2, "split": 2, "slack": 100.0}):
         got = {(r.rep_id, r.vec_id) for r in embedding_dedup.near_duplicates(df, **params).collect()}
         assert got == want if params.get("cell") is None or "slack" in params else got <= want and len(got) >= 0.9 * len(want)
 

@@ -1,7 +1,7 @@
 """Toxic terms by Levenshtein automata intersected with the lexicon's trie, scored in their context.
 
 Each distinct word's automaton is walked along the trie of all terms, for many words at once, so a word costs as much as there are
-nodes near it, whatever the lexicon's size. Edits are insertions, deletions, substitutions
+nodes near it, and nothing is built of all terms' automata beforehand. Edits are insertions, deletions, substitutions
 and swaps of neighbours; short terms allow none, middle ones one, long ones two, and the first letter must be
 right. A hit's score is the term's weight, less for misspellings, less again where the words around it report
 or quote it, more where they address someone. A document is toxic from the score ``threshold`` of one hit, or
@@ -98,7 +98,7 @@ class Trie:
 
     A node's entry for a word is the state of that word's automaton after the node's letters: the distances of the letters to the
     word's prefixes within ``_BAND``. A word goes no further down where all distances exceed what the terms below allow, so
-    its cost is the number of nodes near it and not that of the terms; no automaton is built beforehand.
+    its cost is the number of nodes near it; no automaton is built beforehand.
     """
 
     def __init__(self, weights: dict[str, float]):

@@ -104,6 +104,23 @@ def decision_grid(spark, sf_dir):
     return got.select("col", "row", *(F.round(m, 6).alias(m) for m in ("linear", "relu", "deep_relu")), nm.predicted(F.col("relu"), strict=True).alias("class"))
 
 
+WIDE, HIGH, REACH, NODES = 1280, 720, 150, 400
+
+
+def near_nodes(spark, sf_dir):
+    """Pairs of nodes of a drawing within a distance of each other: a node is compared with those of its own and the neighbouring squares only."""
+    u = learning.draws(5, 2 * NODES).reshape(NODES, 2)
+    nodes = spark.createDataFrame([(i, float(x * WIDE), float(y * HIGH)) for i, (x, y) in enumerate(u)], "id bigint, x double, y double")
+    square = lambda c: F.floor(F.col(c) / REACH)
+    own = nodes.select("id", "x", "y", square("x").alias("sx"), square("y").alias("sy"))
+    step = F.sequence(F.lit(-1), F.lit(1))
+    other = own.select(F.col("id").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.transform(step, lambda d: F.col("sx") + d)).alias("sx"), "sy")
+    other = other.select("j", "u", "v", "sx", F.explode(F.transform(step, lambda d: F.col("sy") + d)).alias("sy"))
+    d = nm.distance(F.col("x"), F.col("y"), F.col("u"), F.col("v"))
+    pairs = own.join(other, ["sx", "sy"]).where(F.col("id") < F.col("j")).withColumn("d", d).where(F.col("d") < REACH)
+    return pairs.select(F.col("id").alias("i"), "j", F.round("d", 6).alias("distance"))
+
+
 def token_vectors(spark, sf_dir):
     """The next-token net on drawn sentences: its losses by epoch, and the vectors of its tokens."""
     drawn = _drawn(spark, 90).select("pos", F.posexplode(F.arrays_zip(F.slice("tokens", 1, 2).alias("a"), F.slice("tokens", 2, 2).alias("b"))).alias("k", "p"))
@@ -147,7 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nearest_vectors, projections, vocabulary_costs, recommended_vocabulary, fertility_ranking, mix_shares, benchmark_list, stage_list, sentence_pairs,
-        random_draws, interpolation, ring_points, grid, decision_grid, token_vectors, training_histories, generalization, label_accuracy, layer_product,
+        random_draws, interpolation, ring_points, grid, decision_grid, near_nodes, token_vectors, training_histories, generalization, label_accuracy, layer_product,
     )
 }
 
@@ -188,6 +205,8 @@ floor(20 * (1 - t) + 220 * t + 0.5)::INT AS channel, round(sqrt(t * t + (1 - t)
     "random_draws": f"SELECT d AS id, round(u, 12) AS u, floor(u * 10)::INT AS digit FROM ({_draws(1, 1000)})",
     "sentence_pairs": f"""WITH p AS (SELECT s, v, o FROM ({_draws(3, 500)}) JOIN (SELECT * FROM {_SENTENCES}) ON floor(u * 24)::INT = sent_id), q AS (SELECT s AS a, v AS b FROM p UNION ALL SELECT v, o FROM p), k AS (SELECT * FROM {_KINDS})
 SELECT a, b, count(*) AS n, any_value(ka.category) AS a_kind, any_value(kb.category) AS b_kind FROM q JOIN k ka ON ka.token = a JOIN k kb ON kb.token = b GROUP BY a, b""",
+    "near_nodes": f"""WITH d AS ({_draws(5, 2 * NODES)}), n AS (SELECT a.d // 2 AS id, a.u * {WIDE} AS x, b.u * {HIGH} AS y FROM d a JOIN d b ON b.d = a.d + 1 WHERE a.d % 2 = 0)
+SELECT a.id AS i, b.id AS j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM n a JOIN n b ON a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < {REACH}""",
     "ring_points": f"""WITH RECURSIVE d AS ({_draws(1, 800)}), f(i, a) AS (SELECT 199::BIGINT, range(200) UNION ALL
 SELECT i - 1, list_transform(a, lambda x, k: CASE WHEN k - 1 = i THEN a[floor((i + 1) * u)::BIGINT + 1] WHEN k - 1 = floor((i + 1) * u)::BIGINT THEN a[i + 1] ELSE x END) FROM f JOIN d ON d.d = 600 + 199 - i WHERE i > 0),
 o AS (SELECT unnest(a) AS id, unnest(range(200)) AS pos FROM f WHERE i = 0),

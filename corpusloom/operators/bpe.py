@@ -1,20 +1,26 @@
 """Byte-pair encoding over characters: learning merges, encoding, decoding, evaluation.
 
 Merges are learned from distinct words with their counts. Up to ``LOCAL_WORDS`` of them (counted) go to one task,
-which keeps pair counts and places in arrays as it merges. A larger table stays where it is: each round aggregates its pairs and merges, in one projection,
-all of the most frequent ones that don't touch each other, as many as would come up one after the other anyway. Both give the same merges.
+which keeps the symbols in arrays as it merges. More are dealt out to all tasks that can run at once, ``LOCAL_WORDS`` to each at most: these tell each other how pair counts change, and what is merged next.
+An even larger table stays where it is: each round aggregates its pairs and merges, in one projection,
+all of the most frequent ones that don't touch each other, as many as would come up one after the other anyway. All give the same merges.
 """
 
 from __future__ import annotations
 
+import contextlib
 import heapq
-from collections import defaultdict
+import hmac
+import secrets
+import socket
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -41,95 +47,208 @@ def merged(symbols: list[str], left: str, right: str) -> list[str]:
     return out
 
 
-def learn(words: Iterable[tuple[str, int]], merges: int, at_least: int = 2, known: Iterable[str] | None = None) -> list[tuple[str, str]]:
-    """The pairs merged one after the other: each time the most frequent, the first of ties; none below ``at_least``.
-
-    With ``known`` tokens, ``merges`` counts the new tokens: a result that is known, or was made of another pair, isn't new.
-    """
-    table = [x for x in sorted(words) if x[0]]
-    if not table:
-        return []
-    size = np.fromiter((len(w) for w, _ in table), np.int64, len(table))
-    letters = np.frombuffer("".join(w for w, _ in table).encode("utf-32-le"), np.uint32)
-    alphabet, letters = np.unique(letters, return_inverse=True)
-    names = [chr(c) for c in alphabet.tolist()]
-    number = {t: i for i, t in enumerate(names)}
-    # every word lies between two places that hold no symbol
-    place = np.arange(len(letters)) + np.repeat(np.arange(1, len(table) + 1), size)
-    total = len(letters) + len(table) + 1
-    symbol, freq = np.full(total, -1, np.int64), np.zeros(total, np.int64)
-    symbol[place] = letters
-    freq[place] = np.repeat(np.fromiter((n for _, n in table), np.int64, len(table)), size)
-    after, before, live = np.arange(1, total + 1), np.arange(-1, total - 1), np.ones(total, bool)
-
-    def keyed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Places:
+    """The symbols of words with their counts, in arrays: words lie one after the other, with a place between two that holds no symbol."""
+
+    def __init__(self, words: pa.Array, freq: np.ndarray, alphabet: np.ndarray):
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        total = len(letters) + len(size) + 1
+        place = np.arange(len(letters)) + np.repeat(np.arange(1, len(size) + 1), size)
+        kind = np.int32 if total < 1 << 31 else np.int64
+        self.symbol = np.full(total, -1, np.int32)
+        self.symbol[place] = np.searchsorted(alphabet, letters)
+        self.freq = np.zeros(total, np.int32 if freq.max(initial=0) < 1 << 31 else np.int64)
+        self.freq[place] = np.repeat(freq, size)
+        self.after, self.before = np.arange(1, total + 1, dtype=kind), np.arange(-1, total - 1, dtype=kind)
+        self.mark = np.zeros(total, bool)  # for a moment: places that a merge has seen to
+        order = np.argsort(self.symbol, kind="stable").astype(kind)[len(size) + 1 :]
+        cut = np.searchsorted(self.symbol[order], np.arange(len(alphabet) + 1))
+        self.where = {k: order[cut[k] : cut[k + 1]] for k in range(len(alphabet))}
+
+    def keyed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of ``at`` where a pair begins, and its key."""
-        at = at[symbol[at] >= 0]
-        right = symbol[after[at]]
+        at = at[self.symbol[at] >= 0]
+        right = self.symbol[self.after[at]]
         at, right = at[right >= 0], right[right >= 0]
-        return at, symbol[at] << 32 | right
-
-    def parted(at: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-        return zip(key[cut].tolist(), np.split(at, cut[1:])) if len(key) else iter(())
-
-    where: dict = defaultdict(list)
-    count: dict[int, int] = {}
-    for k, at in parted(*keyed(np.arange(total))):
-        where[k].append(at)
-        count[k] = int(freq[at].sum())
-    queued = lambda k: (-count[k], names[k >> 32], names[k & 0xFFFFFFFF], k)
-    heap = [queued(k) for k in count]
-    heapq.heapify(heap)
-    out: list[tuple[str, str]] = []
-    made, new_tokens = set(known or ()), 0
-    while heap and new_tokens < merges:
-        n, left, right, pair = heapq.heappop(heap)
-        now = count.get(pair, 0)
-        if now != -n:  # changed since it was queued: what has become less is queued here, what has become more below
-            if 0 < now < -n:
-                heapq.heappush(heap, queued(pair))
-            continue
-        if now < at_least:
-            break
-        out.append((left, right))
-        if known is None or left + right not in made:
-            new_tokens += 1
-            made.add(left + right)
-        result = number.setdefault(left + right, len(names))
-        if result == len(names):
-            names.append(left + right)
-        a, b = pair >> 32, pair & 0xFFFFFFFF
-        at = np.unique(np.concatenate(where.pop(pair)))
-        at = at[live[at] & (symbol[at] == a)]
-        at = at[symbol[after[at]] == b]
+        return at, self.symbol[at].astype(np.int64) << 32 | right
+
+    def pairs(self, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of all pairs."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(0, len(self.symbol), step):
+            at, key = self.keyed(np.arange(i, min(i + step, len(self.symbol))))
+            found.append(summed(key, self.freq[at]))
+        return summed(*map(np.concatenate, zip(*found)))
+
+    def of(self, symbol: int) -> np.ndarray:
+        at = self.where.get(symbol)
+        if at is None:
+            return np.zeros(0, self.after.dtype)
+        at = self.where[symbol] = at[self.symbol[at] == symbol]  # some have been merged since
+        return at
+
+    def merge(self, a: int, b: int, result: int) -> tuple[np.ndarray, np.ndarray]:
+        """Makes ``result`` of ``a`` and ``b`` wherever they meet; keys whose counts change, and by what."""
+        few = min(a, b, key=lambda x: len(self.where.get(x, ())))
+        at = self.of(few) if few == a else self.before[self.of(b)]
+        at = at[(self.symbol[at] == a) & (self.symbol[self.after[at]] == b)]
         if a == b:  # of a run every other one, from the left
-            start = np.r_[True, after[at[:-1]] != at[1:]]
+            at = np.sort(at)
+            start = np.r_[True, self.after[at[:-1]] != at[1:]] if len(at) else np.zeros(0, bool)
             k = np.arange(len(at))
             at = at[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0]
-        gone = after[at]
-        old, old_key = keyed(np.unique(np.concatenate([before[at], at, gone])))
-        old_freq = freq[old]
-        beyond = after[gone]
-        symbol[at], live[gone] = result, False
-        after[at], before[beyond] = beyond, at
-        new, new_key = keyed(np.unique(np.concatenate([before[at], at])))
-        keys, which = np.unique(np.concatenate([old_key, new_key]), return_inverse=True)
-        change = np.zeros(len(keys), np.int64)
-        np.add.at(change, which, np.concatenate([-old_freq, freq[new]]))
-        for k, d in zip(keys.tolist(), change.tolist()):
-            if d:
-                count[k] = c = count.get(k, 0) + d
-                if c <= 0:
-                    del count[k]
-                elif d > 0:
-                    heapq.heappush(heap, queued(k))
-        mine = (new_key >> 32 == result) | (new_key & 0xFFFFFFFF == result)
-        for k, at in parted(new[mine], new_key[mine]):
-            where[k].append(at)
-    return out
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gone = self.after[at]
+        self.mark[gone] = True
+        ahead = self.before[at]
+        old, old_key = self.keyed(np.concatenate([ahead[~self.mark[ahead]], at, gone]))
+        old_freq = self.freq[old].astype(np.int64)
+        beyond = self.after[gone]
+        self.mark[gone] = False
+        self.symbol[at], self.symbol[gone] = result, -2
+        self.after[at], self.before[beyond] = beyond, at
+        self.mark[at] = True
+        ahead = self.before[at]
+        new, new_key = self.keyed(np.concatenate([ahead[~self.mark[ahead]], at]))
+        self.mark[at] = False
+        self.where[result] = np.concatenate([self.where[result], at]) if result in self.where else at
+        return summed(np.concatenate([old_key, new_key]), np.concatenate([-old_freq, self.freq[new].astype(np.int64)]))
+
+
+def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its numbers; sums of nothing go."""
+    keys, which = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, which, numbers.astype(np.int64))
+    return keys[total != 0], total[total != 0]
+
+
+class Choice:
+    """Counts of all pairs, and which are merged next.
+
+    A round has all pairs that would be merged one after the other whatever these merges change, as in :func:`successive`. Only pairs of ``least``
+    occurrences or more are queued; that bound falls when none is left.
+    """
+
+    def __init__(self, names: list[str], merges: int, at_least: int, known: Iterable[str] | None):
+        self.names, self.number = names, {t: i for i, t in enumerate(names)}
+        self.left, self.at_least, self.known = merges, at_least, known is not None
+        self.made, self.count, self.heap, self.least = set(known or ()), {}, [], None
+
+    def queued(self, k: int) -> tuple:
+        return -self.count[k], self.names[k >> 32], self.names[k & 0xFFFFFFFF], k
+
+    def add(self, keys: np.ndarray, changes: np.ndarray) -> None:
+        count = self.count
+        for k, d in zip(keys.tolist(), changes.tolist()):
+            count[k] = c = count.get(k, 0) + d
+            if c <= 0:
+                del count[k]
+            elif d > 0 and self.least is not None and c >= self.least:
+                heapq.heappush(self.heap, self.queued(k))
+
+    def top(self) -> tuple | None:
+        """The first pair of the queue, taken from it; what has become less since it was queued is queued anew."""
+        while True:
+            while self.heap:
+                entry = heapq.heappop(self.heap)
+                now = self.count.get(entry[3], 0)
+                if now == -entry[0]:
+                    while self.heap and self.heap[0] == entry:  # queued twice
+                        heapq.heappop(self.heap)
+                    return entry
+                if self.least <= now < -entry[0]:
+                    heapq.heappush(self.heap, self.queued(entry[3]))
+            if not self.count or self.least is not None and self.least <= self.at_least:
+                return None
+            most = max(self.count.values())
+            self.least = max(self.at_least, min(most, self.least or most) // 8)
+            self.heap = [self.queued(k) for k, n in self.count.items() if n >= self.least]
+            heapq.heapify(self.heap)
+
+    def round(self) -> list[tuple[int, int, int]]:
+        """The next merges: left, right, result."""
+        taken, back, used, touched, out = [], [], set(), 0, []
+        while self.left > 0 and (entry := self.top()):
+            a, b = entry[3] >> 32, entry[3] & 0xFFFFFFFF
+            if a in used or b in used:
+                back.append(entry)
+                touched = -entry[0]
+                break
+            taken.append(entry)
+            used |= {a, b}
+            # these may bring up pairs that are more frequent: one of a symbol with itself, and one whose result is there already
+            name = entry[1] + entry[2]
+            if a == b or name in self.number or any(name == x[1] + x[2] for x in taken[:-1]) or len(taken) == self.left:
+                if following := self.top():
+                    back.append(following)
+                    touched = -following[0]
+                break
+        for i, entry in enumerate(taken):
+            if i and -entry[0] <= touched or self.left <= 0:
+                back.append(entry)
+                continue
+            name = entry[1] + entry[2]
+            result = self.number.setdefault(name, len(self.names))
+            if result == len(self.names):
+                self.names.append(name)
+            if not self.known or name not in self.made:
+                self.left -= 1
+                self.made.add(name)
+            out.append((entry[3] >> 32, entry[3] & 0xFFFFFFFF, result))
+        for entry in back:
+            heapq.heappush(self.heap, entry)
+        return out
+
+
+def learn(words: Iterable[tuple[str, int]], merges: int, at_least: int = 2, known: Iterable[str] | None = None) -> list[tuple[str, str]]:
+    """The pairs merged one after the other: each time the most frequent, the first of ties; none below ``at_least``.
+
+    With ``known`` tokens, ``merges`` counts the new tokens: a result that is known, or was made of another pair, isn't new.
+    """
+    table = [x for x in words if x[0]]
+    words = pa.array([w for w, _ in table], pa.string())
+    return learned(words, np.array([n for _, n in table], np.int64), merges, at_least, known)
+
+
+def learned(words: pa.Array, freq: np.ndarray, merges: int, at_least: int, known: Iterable[str] | None, meeting: Alone | Meeting | None = None) -> list[tuple[str, str]]:
+    """As :func:`learn`. In a ``meeting``, ``words`` are one of several parts, and each part gets the same merges.
+
+    Part 0 collects how the counts change, and tells the others what is merged next.
+    """
+    meeting = meeting or Alone()
+    mine = np.unique(np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)).tobytes()
+    all_letters = meeting.collect(mine)
+    names = sorted(set(meeting.tell(b"".join(all_letters or ())).decode("utf-32-le")))
+    places = Places(words, freq, np.array([ord(c) for c in names], np.uint32))
+    choice = Choice(list(names), merges, at_least, known) if meeting.part == 0 else None
+    change, out = places.pairs(), []
+    while True:
+        said, chosen = meeting.collect(packed(*change)), b""
+        if choice is not None:
+            choice.add(*summed(*map(np.concatenate, zip(*map(unpacked, said)))))
+            chosen = np.array(choice.round(), np.int64).tobytes()
+        chosen = np.frombuffer(meeting.tell(chosen), np.int64).reshape(-1, 3).tolist()
+        if not chosen:
+            return out
+        changes = []
+        for a, b, result in chosen:
+            out.append((names[a], names[b]))
+            if result == len(names):
+                names.append(names[a] + names[b])
+            changes.append(places.merge(a, b, result))
+        change = changes[0] if len(changes) == 1 else summed(*map(np.concatenate, zip(*changes)))
+
+
+def packed(keys: np.ndarray, changes: np.ndarray) -> bytes:
+    return np.stack([keys, changes]).tobytes()
+
+
+def unpacked(said: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys, changes = np.frombuffer(said, np.int64).reshape(2, -1)
+    return keys, changes
 
 
 MERGES = "rank int, left string, right string, result string"
@@ -137,20 +256,131 @@ MERGES = "rank int, left string, right string, result string"
 
 def _one_task(merges: int, at_least: int, known: tuple[str, ...] | None):
     def run(t: pa.Table) -> pa.Table:
-        found = learn(zip(t["word"].to_pylist(), t["freq"].to_pylist()), merges, at_least, known)
-        left, right = ([p[k] for p in found] for k in (0, 1))
-        return pa.table({"rank": pa.array(range(len(found)), pa.int32()), "left": pa.array(left, pa.string()), "right": pa.array(right, pa.string()), "result": pa.array([a + b for a, b in found], pa.string())})
+        return _merges(learned(pa.chunked_array(t["word"]).combine_chunks(), t["freq"].to_numpy(), merges, at_least, known))
+
+    return run
+
+
+def _merges(found: list[tuple[str, str]]) -> pa.Table:
+    left, right = ([p[k] for p in found] for k in (0, 1))
+    return pa.table({"rank": pa.array(range(len(found)), pa.int32()), "left": pa.array(left, pa.string()), "right": pa.array(right, pa.string()), "result": pa.array([a + b for a, b in found], pa.string())})
+
+
+def _barrier_parts(spark: SparkSession) -> int:
+    """Tasks that can run at once and wait for each other; 0 where that can't be counted on."""
+    sc = spark.sparkContext
+    if (sc.getConf().get("spark.dynamicAllocation.enabled") or "false").lower() == "true":
+        return 0
+    jsc = sc._jsc.sc()
+    return jsc.maxNumConcurrentTasks(jsc.resourceProfileManager().defaultResourceProfile())
+
+
+class Alone:
+    """A part that has all words."""
+
+    part = 0
+
+    def collect(self, said: bytes) -> list[bytes] | None:
+        return [said]
+
+    def tell(self, said: bytes) -> bytes:
+        return said
+
+
+class Meeting:
+    """The tasks of a barrier stage, each joined with the first one by a socket: a barrier's own messages take a second each.
+
+    ``collect`` brings what each task says to the first one, ``tell`` what that one says to each. A task that fails closes its socket, which ends the others.
+    """
+
+    def __init__(self):
+        context = BarrierTaskContext.get()
+        self.part, others = context.partitionId(), len(context.getTaskInfos()) - 1
+        server = socket.create_server(("", 0), backlog=others + 1) if self.part == 0 else None
+        host = context.getTaskInfos()[0].address.rpartition(":")[0].strip("[]")
+        where = context.allGather(f"{host} {server.getsockname()[1]} {secrets.token_hex(16)}" if server else "")[0]
+        host, port, secret = where.split(" ")
+        if server:
+            server.settimeout(300)
+            with server:
+                self.peers = []
+                while len(self.peers) < others:
+                    peer = server.accept()[0]
+                    peer.settimeout(60)
+                    if hmac.compare_digest(self._read(peer, len(secret)), secret.encode()):
+                        self._ready(peer)
+                        self.peers.append(peer)
+                    else:
+                        peer.close()
+        else:
+            peer = socket.create_connection((host, int(port)), 300)
+            peer.sendall(secret.encode())
+            self._ready(peer)
+            self.peers = [peer]
+
+    @staticmethod
+    def _ready(peer: socket.socket) -> None:
+        peer.settimeout(None)
+        peer.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        peer.setsockopt(socket.SOL_SOCKET, socket.SO_KEEPALIVE, 1)
+
+    @staticmethod
+    def _read(peer: socket.socket, n: int) -> bytes:
+        got = bytearray()
+        while len(got) < n:
+            some = peer.recv(min(n - len(got), 1 << 20))
+            if not some:
+                raise ConnectionError("another task has ended")
+            got += some
+        return bytes(got)
+
+    def _heard(self, peer: socket.socket) -> bytes:
+        return self._read(peer, int.from_bytes(self._read(peer, 8)))
+
+    def _say(self, peer: socket.socket, said: bytes) -> None:
+        peer.sendall(len(said).to_bytes(8) + said)
+
+    def collect(self, said: bytes) -> list[bytes] | None:
+        if self.part == 0:
+            return [said, *map(self._heard, self.peers)]
+        self._say(self.peers[0], said)
+        return None
+
+    def tell(self, said: bytes) -> bytes:
+        if self.part:
+            return self._heard(self.peers[0])
+        for peer in self.peers:
+            self._say(peer, said)
+        return said
+
+    def close(self) -> None:
+        for peer in self.peers:
+            peer.close()
+
+
+def _together(merges: int, at_least: int, known: tuple[str, ...] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, pa.schema([("word", pa.string()), ("freq", pa.int64())]))
+        words, freq = t["word"].combine_chunks(), t["freq"].to_numpy()
+        del t
+        with contextlib.closing(Meeting()) as meeting:
+            found = learned(words, freq, merges, at_least, known, meeting)
+        if meeting.part == 0:
+            yield from _merges(found).to_batches()
 
     return run
 
 
 def train(words: DataFrame, merges: int, at_least: int = 2, local_words: int = LOCAL_WORDS, write_every: int = 20, known: tuple[str, ...] | None = None) -> DataFrame:
     """Merges (rank, left, right, result) learned from ``words(word, freq)``; ``known`` as in :func:`learn`."""
-    words = written(words.select("word", F.col("freq").cast("bigint").alias("freq")).where("word IS NOT NULL AND freq > 0"))
-    if words.count() <= local_words:
+    words = written(words.select("word", F.col("freq").cast("bigint").alias("freq")).where("word <> '' AND freq > 0"))
+    number, parts = words.count(), _barrier_parts(words.sparkSession)
+    if number <= local_words:
         return words.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_one_task(merges, at_least, known), MERGES)
+    if number <= local_words * parts:
+        return words.repartition(parts).mapInArrow(_together(merges, at_least, known), MERGES, barrier=True)
     symbols, found, last = words.select("freq", tx.codepoints(F.col("word")).alias("s")).where("size(s) > 1"), [], None
-    made, new_tokens, rounds = set(known or ()), 0, 0
+    made, new_tokens, rounds, there = set(known or ()), 0, 0, set()
     while new_tokens < merges:
         pairs = symbols.select("freq", F.explode(tx.adjacent_pairs(F.col("s"))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
         best = [(r["left"], r["right"], r["n"]) for r in counts.best_pairs(pairs.where(F.col("n") >= at_least), ROUND).collect()]
@@ -163,6 +393,9 @@ def train(words: DataFrame, merges: int, at_least: int = 2, local_words: int = L
             if known is None or left + right not in made:
                 new_tokens += 1
                 made.add(left + right)
+            if left + right in there:  # its pairs may become more frequent than those that follow
+                break
+            there.add(left + right)
         if not taken:
             break
         symbols = symbols.select("freq", tx.merged_pairs(F.col("s"), taken).alias("s")).where("size(s) > 1")

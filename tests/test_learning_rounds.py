@@ -45,3 +45,21 @@ def test_both_ways_on_a_table(spark):
     one = [tuple(r) for r in bpe.train(df, 40, known=known).orderBy("rank").collect()]
     two = [tuple(r) for r in bpe.train(df, 40, known=known, local_words=0, write_every=3).orderBy("rank").collect()]
     assert one == two and len({r[3] for r in one}) == 40
+
+
+def test_tasks_together_on_a_table(spark):
+    rng = random.Random(9)
+    table = words(rng, "abcdefgh", 600, 10)
+    df = spark.createDataFrame(list(table.items()), "word string, freq bigint")
+    known = tuple(counts.SPECIALS)
+    one = [tuple(r) for r in bpe.train(df, 200, known=known).orderBy("rank").collect()]
+    # too many words for one task, few enough for four
+    many = bpe.train(df, 200, known=known, local_words=len(table) // 2)
+    assert spark.sparkContext.defaultParallelism == 4 and "MapInArrow" in many._jdf.queryExecution().toString()
+    assert [tuple(r) for r in many.orderBy("rank").collect()] == one and len(one) > 190
+
+
+def test_empty_parts_take_part(spark):
+    df = spark.createDataFrame([("abab", 3), ("abc", 2)], "word string, freq bigint")
+    got = bpe.train(df, 5, local_words=1)
+    assert [(r.left, r.right) for r in got.orderBy("rank").collect()] == [("a", "b"), ("ab", "ab"), ("ab", "c")]

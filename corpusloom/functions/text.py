@@ -13,20 +13,27 @@ MARK = "▁"
 #: White space of the pretokenizer: Unicode separators and five ASCII controls.
 WS = r"\p{Z}\t\n\r\f\x0B"
 JOINERS = "‌‍"
-PRETOKEN = rf"[{WS}]*(?:[\p{{L}}\p{{M}}{JOINERS}]+|\p{{N}}+|[^\p{{L}}\p{{M}}\p{{N}}{WS}{JOINERS}])"
+PRETOKEN = rf" ?(?:[a-zA-Z\p{{L}}\p{{M}}{JOINERS}]++|\p{{N}}++|[^\p{{L}}\p{{M}}\p{{N}}{WS}{JOINERS}])"
 WORD_LIKE = rf"^{MARK}?[\p{{L}}\p{{M}}\p{{N}}{JOINERS}]"
 UNIT = r"(?U)[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
 #: White space as Python's str.isspace has it.
 ANY_SPACE = r"\s\x1c-\x1f"
 
 
+def raw_pretokens(text: Column) -> Column:
+    """Pretokens with at most one blank before each, where the mark will be. Nothing is done to each token by a regular expression."""
+    single = F.regexp_replace(text, rf"[{WS}&&[^ ]][{WS}]*+| [{WS}]++", " ")
+    return F.regexp_extract_all(single, F.lit(PRETOKEN), F.lit(0))
+
+
+def marked(token: Column) -> Column:
+    """A raw pretoken with its mark: no pretoken has a blank elsewhere."""
+    return F.replace(token, F.lit(" "), F.lit(MARK))
+
+
 def pretokens(text: Column) -> Column:
     """Word runs, digit runs and single punctuation; a mark replaces the white space before a token."""
-    found = F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
-    return F.transform(
-        found,
-        lambda t: F.when(t.rlike(rf"^[{WS}]"), F.concat(F.lit(MARK), F.regexp_replace(t, rf"^[{WS}]+", ""))).otherwise(t),
-    )
+    return F.transform(raw_pretokens(text), marked)
 
 
 def char_kind(ch: Column) -> Column:

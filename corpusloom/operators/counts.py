@@ -8,18 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators.ranks import sided
+from corpusloom.sources.shared import written
 
 SPECIALS = {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3}
 
 
+def exploded(docs: DataFrame, pretokenize: Callable[[Column], Column], *keys: str) -> DataFrame:
+    """(*keys, word): a row for each pretoken. The usual ones are marked row by row, which is compiled, unlike a function of arrays."""
+    if pretokenize is tx.pretokens:
+        return docs.select(*keys, F.explode(tx.raw_pretokens(F.col("text"))).alias("word")).withColumn("word", tx.marked(F.col("word")))
+    return docs.select(*keys, F.explode(pretokenize(F.col("text"))).alias("word"))
+
+
 def language_words(docs: DataFrame, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
     """(lang, word, freq) of ``docs(lang, text)``; null texts count nothing."""
-    words = docs.select("lang", F.explode(pretokenize(F.col("text"))).alias("word"))
+    words = exploded(docs, pretokenize, "lang")
     return words.groupBy("lang", "word").agg(F.count("*").alias("freq"))
 
 
 def word_frequencies(docs: DataFrame, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
-    return docs.select(F.explode(pretokenize(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    return exploded(docs, pretokenize).groupBy("word").agg(F.count("*").alias("freq"))
 
 
 def language_weights(words: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -39,12 +48,13 @@ def scaled(freq: Column, weight: Column) -> Column:
 
 def weighted_frequencies(docs: DataFrame, alpha: float = 0.5, boosts: dict[str, float] | None = None, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
     """(word, freq) summed over languages after each one's counts are scaled by its weight and boost."""
-    words = language_words(docs, pretokenize)
+    words = written(language_words(docs, pretokenize))  # counted once, for the weights and for what is weighted
     weights = language_weights(words, alpha).select("lang", "weight")
     if boosts:
         boost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("lang")), F.lit(1.0))
         weights = weights.withColumn("weight", F.col("weight") * boost)
-    return words.join(weights, "lang").groupBy("word").agg(F.sum(scaled(F.col("freq"), F.col("weight"))).alias("freq"))
+    # a row for each language: no language's words are moved to one task
+    return words.join(sided(written(weights)), "lang").groupBy("word").agg(F.sum(scaled(F.col("freq"), F.col("weight"))).alias("freq"))
 
 
 def replicated_frequencies(docs: DataFrame, copies: dict[str, int], pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:

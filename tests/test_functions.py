@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, numeric
 from corpusloom.functions import text as tx
+from corpusloom.operators import counts
 
 
 def one(spark, value, fn):
@@ -59,3 +60,13 @@ def test_markdown():
 def test_draws(spark):
     got = [r[0] for r in spark.range(5).select(numeric.mulberry(1, F.col("id"))).collect()]
     assert got == pytest.approx([0.6270739405881613, 0.002735721180215478, 0.5274470399599522, 0.9810509674716741, 0.9683778982143849])
+
+
+def test_pretokens_keep_one_mark_for_any_white_space(spark):
+    text = "  a \tb ▁c\n\n1２x —  é́ \r\n"
+    got = spark.createDataFrame([(text,), (None,), ("",), (" \n",)], "text string")
+    rows = [r.t for r in got.select(tx.pretokens(F.col("text")).alias("t")).collect()]
+    assert rows == [["▁a", "▁b", "▁▁", "c", "▁1２", "x", "▁—", "▁é́"], None, [], []]
+    # no function of arrays is run on each token where words are counted
+    plan = counts.language_words(got.withColumn("lang", F.lit("en")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan

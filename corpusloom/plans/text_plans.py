@@ -168,8 +168,10 @@ def hapax_buckets(spark, sf_dir):
 
 def next_tokens(spark, sf_dir):
     """Successive pretokens of a document that occur together at least twice."""
-    tokens = _docs(spark, sf_dir).select(tx.pretokens(F.col("text")).alias("t"))  # by themselves, or each use would tokenize again
-    return tokens.select(F.explode(tx.adjacent_pairs(F.col("t"))).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("n")).where("n >= 2")
+    tokens = _docs(spark, sf_dir).select(tx.raw_pretokens(F.col("text")).alias("t")).where("size(t) > 1")  # by themselves, or each use would tokenize again
+    n = F.size("t") - 1
+    pairs = tokens.select(F.inline(F.arrays_zip(F.slice("t", F.lit(1), n).alias("left"), F.slice("t", F.lit(2), n).alias("right"))))
+    return pairs.select(tx.marked(F.col("left")).alias("left"), tx.marked(F.col("right")).alias("right")).groupBy("left", "right").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 def valid_requests(spark, sf_dir):

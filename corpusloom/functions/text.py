@@ -54,6 +54,11 @@ def faithful_units(text: Column) -> Column:
     return F.regexp_count(text, F.lit(UNIT))
 
 
+def left_of(text: Column, others: str) -> Column:
+    """How many characters are left without those of the class ``others``: no list of matches is made, as ``regexp_count`` makes."""
+    return F.length(F.regexp_replace(text, f"{others}++", "")).cast("bigint")
+
+
 def codepoints(word: Column) -> Column:
     return F.split(word, "")
 

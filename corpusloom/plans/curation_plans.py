@@ -144,8 +144,7 @@ def quality_features(spark, sf_dir):
     scored = ranks.joined_by_frequency(words, model, "w", "c").groupBy("doc_id").agg(F.round(F.sum(F.col("n") * F.col("nll")) / F.sum("n"), 6).alias("nll"), F.sum("n").alias("words"), F.count("*").alias("distinct_words"))
     t = F.col("text")
     surface = docs.select(
-        "doc_id", F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]")).cast("bigint").alias("symbols"), F.regexp_count(t, F.lit(r"[A-Z]")).cast("bigint").alias("capitals"),
-        F.size(F.split(t, "\n")).cast("bigint").alias("lines"),
+        "doc_id", tx.left_of(t, r"[a-zA-Z\p{L}\p{N}\s]").alias("symbols"), tx.left_of(t, "[^A-Z]").alias("capitals"), (tx.left_of(t, r"[^\n]") + 1).alias("lines"),
     )
     return surface.join(scored, "doc_id", "left")
 
@@ -201,7 +200,10 @@ SCRIPTS = {"latin": "Latin", "devanagari": "Devanagari", "telugu": "Telugu", "ta
 def script_id(spark, sf_dir):
     """The script most of a text's letters are in (the first of ties), its share, and whether another has a fifth of them."""
     t = F.col("text")
-    found = _docs(spark, sf_dir).select("doc_id", *(F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).cast("bigint").alias(k) for k, s in SCRIPTS.items()))
+    # ASCII's letters are Latin; the rest, mostly short, is looked at for each script. Counts are lengths of what is left, not of lists of matches
+    docs = _docs(spark, sf_dir).select("doc_id", tx.left_of(t, "[^A-Za-z]").alias("ascii"), F.regexp_replace(t, r"[\x00-\x7F]+", "").alias("rest"))
+    n = {k: tx.left_of(F.col("rest"), rf"\P{{Is{s}}}") + (F.col("ascii") if k == "latin" else 0) for k, s in SCRIPTS.items()}
+    found = docs.select("doc_id", *(c.alias(k) for k, c in n.items()))
     every = sum((F.col(k) for k in SCRIPTS), F.lit(0))
     rank = F.sort_array(F.array(*SCRIPTS), asc=False)
     found = found.withColumn("letters", every).withColumn("r", rank)

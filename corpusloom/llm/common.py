@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.components import LOCAL_EDGES, components, dropped, union_find  # noqa: F401
 from corpusloom.sources.shared import written  # noqa: F401
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import BATCH, bounded_batches, table  # noqa: F401
 
 #: Id lists up to this many rows are sent to every executor (8 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Bytes of an Arrow batch.
-BATCH = "8m"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold at once: Arrow batches of ``BATCH`` bytes, unless the session has its own bound."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) == "67108864b":  # the default
-        spark.conf.set(key, BATCH)
 
 
 def quoted(columns: list[str]) -> list[str]:

@@ -70,3 +70,27 @@ def test_pretokens_keep_one_mark_for_any_white_space(spark):
     # no function of arrays is run on each token where words are counted
     plan = counts.language_words(got.withColumn("lang", F.lit("en")))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan
+
+
+def test_counts_make_no_lists_of_matches(spark):
+    from corpusloom.plans import curation_plans
+
+    d = "/root/testdata/sf0.001"
+    assert [r.n for r in spark.createDataFrame([("aÉ1β𝒳",), ("",), (None,)], "t string").select(tx.left_of(F.col("t"), "[^a-z]").alias("n")).collect()] == [1, 0, None]
+    for query in (curation_plans.script_id, curation_plans.quality_features):
+        plan = query(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_count" not in plan.lower() and "regexp_extract_all(text" not in plan.lower()
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from corpusloom.plans import text_plans
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    text_plans.page_markdown(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "8m"
+
+
+def test_entities_cut_short_are_decoded(spark):
+    # as html.unescape does, with which the reference cleans
+    assert one(spark, "and&amp<b>so &ampT", tx.clean_text) == "and&so &T"

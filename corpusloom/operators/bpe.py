@@ -15,6 +15,7 @@ import secrets
 import socket
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ LOCAL_WORDS = 2_000_000
 #: Pairs that a round looks at, at most.
 ROUND = 1000
 SILENT = ("<pad>", "<bos>", "<eos>")
+#: Words of more characters than this are encoded by a queue.
+LONG_WORD = 200
 
 
 def merged(symbols: list[str], left: str, right: str) -> list[str]:
@@ -446,6 +449,8 @@ class Tokenizer:
 
     def pieces(self, word: str) -> list[str]:
         s = list(word)
+        if len(s) > LONG_WORD:
+            return self._long_pieces(s)
         while len(s) > 1:
             rank, pair = min((self.ranks.get(p, 1 << 30), p) for p in zip(s, s[1:]))
             if rank == 1 << 30:
@@ -453,6 +458,30 @@ class Tokenizer:
             s = merged(s, *pair)
         return s
 
+    def _long_pieces(self, s: list[str | None]) -> list[str]:
+        """The same by a queue of pairs and links between symbols: its time doesn't grow with the square of the length."""
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(self.ranks[p], p, i) for i, p in enumerate(zip(s, s[1:])) if p in self.ranks]
+        heapq.heapify(queue)
+        while queue:
+            rank, pair, _ = queue[0]
+            made = []
+            while queue and queue[0][:2] == (rank, pair):  # all places of a pair, from the left
+                i = heapq.heappop(queue)[2]
+                j = after[i]
+                if j >= n or (s[i], s[j]) != pair:
+                    continue
+                s[i], s[j] = pair[0] + pair[1], None
+                after[i] = after[j]
+                if after[j] < n:
+                    before[after[j]] = i
+                made.append(i)
+            for k in {x for i in made for x in (before[i], i)}:
+                if k >= 0 and after[k] < n and (p := (s[k], s[after[k]])) in self.ranks:
+                    heapq.heappush(queue, (self.ranks[p], p, k))
+        return [x for x in s if x is not None]
+
     def ids(self, word: str) -> list[int]:
         unknown = self.vocab.get("<unk>")
         found = [self.vocab.get(p, unknown) for p in self.pieces(word)]
@@ -465,26 +494,142 @@ class Tokenizer:
         return "".join(names[i] for i in ids if i in names and names[i] not in SILENT).replace(tx.MARK, " ")
 
 
+class Coder:
+    """Encodes many words at once, as :meth:`Tokenizer.pieces` does one: in each round every word has its first pair merged wherever it stands.
+
+    Symbols are numbers of ``names``; a character that no name has is ``-2 - ord``. The last words are remembered.
+    """
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, tokenizer: Tokenizer, remember: int = 500_000):
+        self.tokenizer, self.remember = tokenizer, remember
+        order = sorted((rank, pair) for pair, rank in tokenizer.ranks.items())
+        self.number = {t: i for i, t in enumerate(dict.fromkeys([*tokenizer.vocab, *(t for _, (a, b) in order for t in (a, b, a + b))]))}
+        self.names = pa.array(self.number, pa.string())
+        unknown = tokenizer.vocab.get("<unk>", -1)
+        self.unknown, self.id = unknown, np.array([tokenizer.vocab.get(t, unknown) for t in self.number], np.int32)
+        single = sorted((ord(t), i) for t, i in self.number.items() if len(t) == 1)
+        self.letters, self.letter_symbol = (np.array([x[k] for x in single], np.int64) for k in (0, 1))
+        key = np.array([self.number[a] << 32 | self.number[b] for _, (a, b) in order], np.int64)
+        self.rank = np.argsort(key)
+        self.key, self.result = key[self.rank], np.array([self.number[a + b] for _, (a, b) in order], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.flat, self.begin, self.size = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(a), self.NONE)
+        key = a << 32 | b  # negative where one is unknown
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], self.NONE)
+
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words, one word's after the other's, and how many each has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sym, w = -2 - letters, np.repeat(np.arange(len(words)), size)
+        if len(self.letters):
+            at = np.minimum(np.searchsorted(self.letters, letters), len(self.letters) - 1)
+            sym = np.where(self.letters[at] == letters, self.letter_symbol[at], sym)
+        done = []
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            pieces = [self.number.get(p, -2 - ord(p[0])) for p in self.tokenizer.pieces(words[i])]
+            done.append((np.full(len(pieces), i), np.array(pieces, np.int64)))
+        if done:
+            short = (size <= LONG_WORD)[w]
+            sym, w = sym[short], w[short]
+        r = np.full(len(sym), self.NONE)
+        r[:-1] = np.where(w[1:] == w[:-1], self._ranks(sym[:-1], sym[1:]), self.NONE)
+        while len(sym):
+            start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            count, best = np.diff(np.r_[start, len(sym)]), np.minimum.reduceat(r, start)
+            if (over := best == self.NONE).any():
+                out = np.repeat(over, count)
+                done.append((w[out], sym[out]))
+                sym, w, r, count, best = sym[~out], w[~out], r[~out], count[~over], best[~over]
+            hit = np.flatnonzero(r == np.repeat(best, count))
+            near = hit[1:] == hit[:-1] + 1
+            if near.any():  # of a run every other one, from the left
+                k = np.arange(len(hit))
+                hit = hit[(k - np.maximum.accumulate(np.where(np.r_[True, ~near], k, 0))) % 2 == 0]
+            sym[hit] = self.result[r[hit]]
+            keep = np.ones(len(sym), bool)
+            keep[hit + 1] = False
+            sym, w, r = sym[keep], w[keep], r[keep]
+            at = hit - np.arange(len(hit))
+            at = np.concatenate([at, at[at > 0] - 1])
+            r[at] = self.NONE
+            at = at[at + 1 < len(sym)]
+            at = at[w[at] == w[at + 1]]
+            r[at] = self._ranks(sym[at], sym[at + 1])
+        if not done:
+            return sym, size
+        w, sym = (np.concatenate(x) for x in zip(*done))
+        return sym[np.argsort(w, kind="stable")], np.bincount(w, minlength=len(words))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`fresh`; words that are remembered aren't encoded again."""
+        slot = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        if (slot < 0).any():
+            if len(self.slot) + int((slot < 0).sum()) > self.remember:
+                self._forget()
+                slot[:] = -1
+            new = np.flatnonzero(slot < 0)
+            fresh = [words[i] for i in new.tolist()]
+            sym, size = self.fresh(fresh)
+            slot[new] = np.arange(len(self.begin), len(self.begin) + len(new))
+            self.slot.update(zip(fresh, slot[new].tolist()))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, sym])
+        return taken(self.flat, self.begin[slot], self.size[slot]), self.size[slot]
+
+    def ids(self, sym: np.ndarray) -> np.ndarray:
+        if not len(self.id):
+            self.id = np.full(1, self.unknown, np.int32)
+        out = np.where(sym < 0, self.unknown, self.id[np.maximum(sym, 0)]).astype(np.int32)
+        if self.unknown < 0 and (out < 0).any():
+            raise KeyError("no id for a symbol, and no <unk>")
+        return out
+
+    def texts(self, sym: np.ndarray) -> pa.Array:
+        if len(sym) and sym.min() < 0:
+            names = self.names.to_pylist()
+            return pa.array([names[s] if s >= 0 else chr(-2 - s) for s in sym.tolist()], pa.string())
+        return self.names.take(pa.array(sym))
+
+
+def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat``, one after the other."""
+    stop = np.cumsum(size)
+    return flat[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _each_once(words: pa.Array, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of lists of words: which distinct word each is, the lists' sizes, and the symbols of the distinct words with their sizes."""
+    found = words.flatten().dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), *coder(found.dictionary.to_pylist())
+
+
 def word_ids(tokenizer: Tokenizer):
-    """Arrow function: array of pretokens to array of ids; each distinct word of a task is encoded once."""
-    memo: dict[str, list[int]] = {}
+    """Arrow function: array of pretokens to array of ids; each distinct word of a batch is looked up once, and encoded if a task hasn't met it."""
+    coder = None
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(words: pa.Array) -> pa.Array:
-        out = []
-        for ws in words.to_pylist():
-            if ws is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in ws:
-                if w not in memo:
-                    if len(memo) > 500_000:
-                        memo.clear()
-                    memo[w] = tokenizer.ids(w)
-                ids += memo[w]
-            out.append(ids)
-        return pa.array(out, pa.list_(pa.int32()))
+        nonlocal coder
+        coder = coder or Coder(tokenizer)
+        which, sizes, sym, size = _each_once(words, coder)
+        ids = taken(coder.ids(sym), (np.cumsum(size) - size)[which], size[which])
+        stop = np.concatenate([[0], np.cumsum(size[which])])[np.concatenate([[0], np.cumsum(sizes)])]
+        return pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids, pa.int32()), mask=words.is_null())
 
     return run
 
@@ -496,19 +641,15 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, pretokenize: Callable[[Column]
 
 def word_pieces(tokenizer: Tokenizer):
     """Arrow function: array of pretokens to the array of each one's pieces."""
-    memo: dict[str, list[str]] = {}
+    coder = None
 
     @F.arrow_udf(ArrayType(ArrayType(StringType())))
     def run(words: pa.Array) -> pa.Array:
-        out = []
-        for ws in words.to_pylist():
-            for w in ws or ():
-                if w not in memo:
-                    if len(memo) > 500_000:
-                        memo.clear()
-                    memo[w] = tokenizer.pieces(w)
-            out.append(None if ws is None else [memo.get(w) or tokenizer.pieces(w) for w in ws])
-        return pa.array(out, pa.list_(pa.list_(pa.string())))
+        nonlocal coder
+        coder = coder or Coder(tokenizer)
+        which, sizes, sym, size = _each_once(words, coder)
+        pieces = pa.ListArray.from_arrays(_offsets(size), coder.texts(sym)).take(pa.array(which))
+        return pa.ListArray.from_arrays(_offsets(sizes), pieces, mask=words.is_null())
 
     return run
 
@@ -526,8 +667,7 @@ def served_statistics(docs: DataFrame, tokenizer: Tokenizer, languages: tuple[st
     Fails where no language has any text.
     """
     units = docs.groupBy("lang").agg(F.sum(tx.faithful_units(F.col("text")).cast("bigint")).alias("total_words"))
-    sized = counts.language_words(docs).mapInArrow(_sized(tokenizer), "lang string, word string, freq bigint, ids array<int>")
-    tokens = sized.groupBy("lang").agg(F.sum(F.col("freq") * F.size("ids")).alias("total_tokens"))
+    tokens = tallied(docs, tokenizer).groupBy("lang").agg(F.sum("total").alias("total_tokens"))
     got = written(units.join(tokens, "lang", "left").na.fill(0))
     if got.where("total_words > 0").isEmpty():
         raise ValueError("no language has any text to take statistics of")
@@ -557,11 +697,16 @@ def summary(reports: DataFrame) -> DataFrame:
 
 
 def _joined(tokenizer: Tokenizer):
-    names = {i: t for t, i in tokenizer.vocab.items() if t not in SILENT}
+    names = [""] * (max(tokenizer.vocab.values(), default=-1) + 2)  # the last one is that of all other ids
+    for t, i in tokenizer.vocab.items():
+        names[i] = "" if t in SILENT else t
 
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else "".join(names.get(i, "") for i in x) for x in ids.to_pylist()], pa.string())
+        at = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        at = np.where((at < 0) | (at >= len(names)), len(names) - 1, at)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        return pc.binary_join(pa.ListArray.from_arrays(_offsets(sizes), pa.array(names, pa.string()).take(pa.array(at)), mask=ids.is_null()), "")
 
     return run
 
@@ -571,27 +716,42 @@ def decoded(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return docs.withColumn("decoded", F.replace(_joined(tokenizer)(F.col("ids")), F.lit(tx.MARK), F.lit(" ")))
 
 
-def _sized(tokenizer: Tokenizer):
+def _tallied(tokenizer: Tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, sums, used = Coder(tokenizer), {}, {}
         for b in batches:
-            ids = [tokenizer.ids(w) for w in b["word"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["lang"], b["word"], b["freq"], pa.array(ids, pa.list_(pa.int32()))], ["lang", "word", "freq", "ids"])
+            sym, size = coder.fresh(b["word"].to_pylist())
+            ids, freq = coder.ids(sym), b["freq"].to_numpy()
+            word = np.repeat(np.arange(len(size)), size)
+            unknown = np.bincount(word[ids == coder.unknown], minlength=len(size))
+            plain = np.where(b["plain"].to_numpy(zero_copy_only=False), freq, 0)
+            lang = b["lang"].dictionary_encode("encode")
+            which = lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = which == k
+                now = [int(x[own].sum()) for x in (plain, plain * size, freq * size, freq * unknown)]
+                sums[name] = [x + y for x, y in zip(sums.get(name, (0, 0, 0, 0)), now)]
+                used[name] = np.union1d(used.get(name, np.zeros(0, np.int32)), ids[own[word]])
+        columns = [[x[k] for x in sums.values()] for k in range(4)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array([used[k].tolist() for k in sums], pa.list_(pa.int32()))],
+            ["lang", "num_words", "num_tokens", "total", "num_unk_tokens", "used"],
+        )
 
     return run
 
 
+def tallied(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """Rows of (lang, num_words, num_tokens, total, num_unk_tokens, used), of each task one a language: sums over its distinct words, and the ids among them."""
+    words = counts.language_words(docs).withColumn("plain", tx.is_word_like(F.col("word")))
+    return words.mapInArrow(_tallied(tokenizer), "lang string, num_words bigint, num_tokens bigint, total bigint, num_unk_tokens bigint, used array<int>")
+
+
 def evaluate(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """A report row for each language of ``docs(lang, text)``. Only distinct words are encoded, each once a language."""
-    unknown = tokenizer.vocab.get("<unk>", -1)
-    sized = counts.language_words(docs).mapInArrow(_sized(tokenizer), "lang string, word string, freq bigint, ids array<int>")
-    n = F.size("ids")
-    words = sized.groupBy("lang").agg(
-        F.sum(F.when(tx.is_word_like(F.col("word")), F.col("freq")).otherwise(0)).alias("num_words"),
-        F.sum(F.when(tx.is_word_like(F.col("word")), F.col("freq") * n).otherwise(0)).alias("num_tokens"),
-        F.sum(F.col("freq") * n).alias("total"),
-        F.sum(F.col("freq") * F.size(F.filter("ids", lambda i: i == unknown))).alias("num_unk_tokens"),
-    )
-    used = sized.select("lang", F.explode("ids").alias("id")).distinct().groupBy("lang").agg(F.count("*").alias("used"))
+    tally = written(tallied(docs, tokenizer))
+    words = tally.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("num_words", "num_tokens", "total", "num_unk_tokens")))
+    used = tally.select("lang", F.explode("used").alias("id")).distinct().groupBy("lang").agg(F.count("*").alias("used"))
     names = {i: t for t, i in tokenizer.vocab.items()}
     kept = docs.select("lang", "text", F.concat_ws("", tx.pretokens(F.col("text"))).alias("joined"))
     # a text comes back as its pretokens unless one of its characters has no id

@@ -18,7 +18,8 @@ def _learned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     words = written(counts.weighted_frequencies(docs))
     base = written(counts.base_vocabulary(words))
-    merges = bpe.train(words, max(0, VOCABULARY - base.count()), known=tuple(counts.SPECIALS))
+    # written: what reads the merges, twice or only some of them, doesn't run the training again
+    merges = written(bpe.train(words, max(0, VOCABULARY - base.count()), known=tuple(counts.SPECIALS)))
     return docs, base, merges
 
 
@@ -95,7 +96,7 @@ def replicated_merges(spark, sf_dir):
     """Merges learned from texts that are there several times."""
     words = written(replicated_frequencies(spark, sf_dir))
     base = counts.base_vocabulary(words)
-    return bpe.train(words, max(0, VOCABULARY - base.count()), at_least=1, known=tuple(counts.SPECIALS))
+    return written(bpe.train(words, max(0, VOCABULARY - base.count()), at_least=1, known=tuple(counts.SPECIALS)))
 
 
 QUERIES = {f.__name__: f for f in (bpe_merges, bpe_vocabulary, bpe_encoded, bpe_roundtrip, bpe_evaluation, bpe_ratio_report, tokenized_requests, served_statistics, served_report, bpe_summary, replicated_frequencies, replicated_merges)}

@@ -89,10 +89,10 @@ def minhash_groups(spark, sf_dir):
 
 
 def near_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1))
-    rows = docs.select("doc_id", words.alias("w")).where("size(w) > 0")
-    return rows.select("doc_id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))).alias("s"))
+    """(doc_id, s): the distinct hashes of runs of ``k`` words, of documents with words."""
+    word = r"[\p{L}\p{M}\p{N}]+"
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)), " ")
+    return docs.where(F.lower("text").rlike(word)).select("doc_id", minhash.shingles(k)(words).alias("s"))
 
 
 def minhash_links(shingled: DataFrame, bands: int = 16, rows: int = 3, threshold: float = 0.7, block: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -102,16 +102,19 @@ def minhash_links(shingled: DataFrame, bands: int = 16, rows: int = 3, threshold
     joined with itself in blocks of about ``block`` contents, so that none is one task's work. ``comp`` is the least id of the component.
     """
     signed = written(shingled.where("doc_id IS NOT NULL").select("doc_id", "s", minhash.signed(bands, rows)(F.col("s")).alias("k")).select("doc_id", "s", "k.keys", "k.content"))
-    sets = written(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.first("s").alias("s"), F.first("keys").alias("keys")))
-    banded = sets.select("content", F.size("s").alias("n"), F.explode("keys").alias("key"))
+    # shingles stay where they are, but for those of sets that are compared
+    sets = written(signed.select("doc_id", "content", "keys", F.size("s").alias("n")).groupBy("content").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    banded = sets.select("content", "n", F.explode("keys").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / block).alias("parts"))
     cells = banded.join(full, "key").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     cells = cells.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "content", "n")
     right = cells.select("key", "lo", "hi", F.col("part").alias("part2"), F.col("content").alias("y"), F.col("n").alias("n2"))
     # an index is at most the smaller set over the larger one; the rounding below is allowed for
     may = (F.least("n", "n2") >= (threshold - 1e-6) * F.greatest("n", "n2")) & (F.col("content") < F.col("y")) & ((F.col("part") != F.col("part2")) | (F.col("lo") == F.col("hi")))
-    pairs = cells.join(right, ["key", "lo", "hi"]).where(may).select(F.col("content").alias("x"), "y").distinct()
-    side = lambda c: sets.select(F.col("content").alias(c), F.col("s").alias(f"s{c}"), F.col("id").alias(f"i{c}"))
+    pairs = written(cells.join(right, ["key", "lo", "hi"]).where(may).select(F.col("content").alias("x"), "y").distinct())
+    asked = written(pairs.select(F.col("x").alias("content")).union(pairs.select("y")).distinct())
+    held = written(signed.select("content", "s").join(ranks.sided(asked), "content", "left_semi").groupBy("content").agg(F.first("s").alias("s")).join(sets.select("content", "id"), "content"))
+    side = lambda c: held.select(F.col("content").alias(c), F.col("s").alias(f"s{c}"), F.col("id").alias(f"i{c}"))
     same = F.size(F.array_intersect("sx", "sy"))
     near = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "ix", "iy", F.round(same / (F.size("sx") + F.size("sy") - same), 6).alias("jaccard"))
     near = written(near.where(F.col("jaccard") >= threshold))

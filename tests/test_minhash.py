@@ -45,3 +45,55 @@ def test_every_pair_of_a_bucket_is_compared(spark):
 def test_no_documents(spark):
     for df in curation_plans.minhash_links(spark.createDataFrame([], "doc_id bigint, s array<bigint>")):
         assert df.count() == 0
+
+
+def test_sets_are_signed_together():
+    import hashlib
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.operators import minhash
+
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(-(1 << 63), 1 << 63, n).tolist() for n in (1, 5, 0, 20_000, 2, 40_000, *rng.integers(1, 300, 60))]
+    sets[2:2] = [None]
+    got = minhash.signed(4, 3).func(pa.array(sets, pa.list_(pa.int64()))).to_pylist()
+    assert minhash.signed(4, 3).func(pa.array([None, []], pa.list_(pa.int64()))).to_pylist() == [{"keys": None, "content": None}] * 2
+    for s, g in zip(sets, got):
+        if not s:
+            assert g == {"keys": None, "content": None}
+            continue
+        h = np.sort(np.array(s)).view(np.uint64)
+        key = np.zeros(4, np.uint64)
+        for b in range(4):
+            for r in range(3):
+                least = minhash.mixed(h + np.uint64(0x9E3779B97F4A7C15 * (b * 3 + r + 1) & (1 << 64) - 1)).min()
+                key[b] = minhash.mixed(np.array([key[b] ^ least], np.uint64) + np.uint64(b + 1))[0]
+        assert g == {"keys": key.view(np.int64).tolist(), "content": hashlib.blake2b(h.tobytes(), digest_size=16).digest()}
+    many = pa.array([[i, i + 1, i + 2] for i in range(20_000)], pa.list_(pa.int64()))
+    began = time.process_time()
+    minhash.signed(16, 3).func(many)
+    assert time.process_time() - began < 4  # about 10 s where each set is hashed by itself
+
+
+def test_shingles_are_sparks_hashes(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import minhash
+
+    rng = random.Random(6)
+    texts = ["", None, "x", "a b c d", "a b c d e", "a b a b a b a b a b a b", "É ß 漢字 𝄞 k " * 3, "?! .", "w" * 5000 + " b c d e f"]
+    texts += [" ".join("".join(rng.choice("abé漢A1") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 40))) + "!" for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4))
+    want = df.select("doc_id", words.alias("w")).where("size(w) > 0").select("doc_id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))).alias("s"))
+    want = {r.doc_id: sorted(r.s) for r in want.collect()}
+    got = curation_plans.near_shingles(df)
+    assert "transform" not in got._jdf.queryExecution().toString()  # no text is made of each run by an interpreted function
+    assert {r.doc_id: sorted(r.s) for r in got.collect()} == want and len(want) > 80
+    assert df.limit(2).select(minhash.shingles(5)(F.col("text")).alias("s")).collect()[0].s == []

@@ -37,6 +37,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_TOKENS = 1 << 20
 #: Occurrences of a pair that pay for a rule, which takes two codes and a shorter number, and those by which the rounds begin: the most frequent pairs are replaced first.
 PAYS, FIRST_COUNT = 3, 1024
+#: Pairs of so few occurrences are counted in so many times the buckets.
+FEW, MORE = 8, 8
 SCHEMA = "shard string, doc_id bigint, n_tokens bigint, width int, codes binary, rules binary, lengths binary"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -272,8 +274,9 @@ def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18, m
             slot = a.astype(np.uint32) * np.uint32(0x9E3779B1)
             slot ^= b.astype(np.uint32) * np.uint32(0x85EBCA77)
             slot ^= slot >> np.uint32(15)
-            slot = (slot & np.uint32(buckets - 1)).astype(np.int64)
-            at = np.flatnonzero((np.bincount(slot, minlength=buckets) >= now)[slot])
+            several = buckets if now > FEW else MORE * buckets  # rare pairs would share most buckets with others, and be sorted for nothing
+            slot = (slot & np.uint32(several - 1)).astype(np.int64)
+            at = np.flatnonzero((np.bincount(slot, minlength=several) >= now)[slot])
             a, b = a[at], b[at]
         else:
             left = before[new]

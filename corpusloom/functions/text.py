@@ -20,10 +20,13 @@ UNIT = r"(?U)[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
 ANY_SPACE = r"\s\x1c-\x1f"
 
 
+def single_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, rf"[{WS}&&[^ ]][{WS}]*+| [{WS}]++", " ")
+
+
 def raw_pretokens(text: Column) -> Column:
     """Pretokens with at most one blank before each, where the mark will be. Nothing is done to each token by a regular expression."""
-    single = F.regexp_replace(text, rf"[{WS}&&[^ ]][{WS}]*+| [{WS}]++", " ")
-    return F.regexp_extract_all(single, F.lit(PRETOKEN), F.lit(0))
+    return F.regexp_extract_all(single_blanks(text), F.lit(PRETOKEN), F.lit(0))
 
 
 def marked(token: Column) -> Column:
@@ -36,6 +39,11 @@ def pretokens(text: Column) -> Column:
     return F.transform(raw_pretokens(text), marked)
 
 
+def joined_pretokens(text: Column) -> Column:
+    """All pretokens one after the other: nothing but blanks at the end is in none."""
+    return F.replace(F.rtrim(single_blanks(text)), F.lit(" "), F.lit(MARK))
+
+
 def char_kind(ch: Column) -> Column:
     """word, digit, space or punct, for one character."""
     return (

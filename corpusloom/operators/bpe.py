@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.pretokens import Pretokenizer, kinds, marked, whole
 from corpusloom.operators import counts
 from corpusloom.operators.components import dropped
 from corpusloom.sources.shared import written
@@ -636,6 +637,8 @@ def word_ids(tokenizer: Tokenizer):
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
     """``docs`` with ``ids``: one pass, no shuffle."""
+    if pretokenize is tx.pretokens:
+        return docs.withColumn("ids", _of_texts(tokenizer, docs.sparkSession, "ids")(whole(F.col("text"))))
     return docs.withColumn("ids", word_ids(tokenizer)(pretokenize(F.col("text"))))
 
 
@@ -654,13 +657,58 @@ def word_pieces(tokenizer: Tokenizer):
     return run
 
 
+FORMS = {"pretokens": "array<string>", "pieces": "array<array<string>>", "tokens": "array<string>", "ids": "array<int>", "decoded": "string"}
+
+
+def _of_texts(tokenizer: Tokenizer, spark: SparkSession, *forms: str):
+    """Arrow function: text to one of :data:`FORMS`, or to a struct of several. Pretokens are the usual ones, and don't leave the function unless asked for."""
+    known, pretokenizer, coder = kinds(spark), None, None
+    names = _names(tokenizer) if "decoded" in forms else None
+
+    @F.arrow_udf(FORMS[forms[0]] if len(forms) == 1 else f"struct<{', '.join(f'{x}: {FORMS[x]}' for x in forms)}>")
+    def run(texts: pa.Array) -> pa.Array:
+        nonlocal pretokenizer, coder
+        pretokenizer, coder = pretokenizer or Pretokenizer(known), coder or Coder(tokenizer)
+        null = texts.is_null()
+        words, number = pretokenizer(texts)
+        found = words.dictionary_encode()
+        which, words = found.indices.to_numpy(), marked(found.dictionary).cast(pa.string())
+        sym, size = coder(words.to_pylist())
+        at, long = (np.cumsum(size) - size)[which], size[which]
+        listed = lambda values, stop: pa.ListArray.from_arrays(pa.array(stop, pa.int32()), values, mask=null)
+        by_word, by_text = np.concatenate([[0], np.cumsum(long)]), np.concatenate([[0], np.cumsum(number)])
+        by_token, out = by_word[by_text], {}
+        if "ids" in forms or "decoded" in forms:
+            ids = pa.array(taken(coder.ids(sym), at, long), pa.int32())
+            out["ids"] = listed(ids, by_token)
+        if "decoded" in forms:
+            out["decoded"] = pc.replace_substring(pc.binary_join(listed(names.take(ids), by_token), ""), tx.MARK, " ")
+        if "pieces" in forms or "tokens" in forms:
+            tokens = coder.texts(taken(sym, at, long))
+            out["tokens"] = listed(tokens, by_token)
+            out["pieces"] = listed(pa.ListArray.from_arrays(pa.array(by_word, pa.int32()), tokens), by_text)
+        if "pretokens" in forms:
+            out["pretokens"] = listed(words.take(pa.array(which)), by_text)
+        return out[forms[0]] if len(forms) == 1 else pa.StructArray.from_arrays([out[x] for x in forms], list(forms))
+
+    return run
+
+
 def tokenized(docs: DataFrame, tokenizer: Tokenizer, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
     """``docs`` with ``pretokens``, ``pieces`` (those of each pretoken), ``tokens`` (all of them), ``ids`` and ``decoded``."""
+    if pretokenize is tx.pretokens:
+        got = docs.withColumn("forms", _of_texts(tokenizer, docs.sparkSession, *FORMS)(whole(F.col("text"))))
+        return got.select(*docs.columns, *(F.col(f"forms.{x}") for x in FORMS))
     rows = docs.withColumn("pretokens", pretokenize(F.col("text"))).withColumn("pieces", word_pieces(tokenizer)(F.col("pretokens")))
     rows = rows.withColumn("tokens", F.flatten("pieces")).withColumn("ids", word_ids(tokenizer)(F.col("pretokens")))
     return decoded(rows, tokenizer)
 
 
+def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``docs`` with ``decoded``, the text that its ids decode to; the ids aren't moved."""
+    return docs.withColumn("decoded", _of_texts(tokenizer, docs.sparkSession, "decoded")(whole(F.col("text"))))
+
+
 def served_statistics(docs: DataFrame, tokenizer: Tokenizer, languages: tuple[str, ...] | None = None) -> DataFrame:
     """(language, total_tokens, total_words, ratio): tokens of each language over its faithful units; asked languages without text have zeros.
 
@@ -696,17 +744,23 @@ def summary(reports: DataFrame) -> DataFrame:
     return reports.select("language", line.alias("line"))
 
 
-def _joined(tokenizer: Tokenizer):
-    names = [""] * (max(tokenizer.vocab.values(), default=-1) + 2)  # the last one is that of all other ids
+def _names(tokenizer: Tokenizer) -> pa.Array:
+    """What each id decodes to; the last one is that of all other ids."""
+    names = [""] * (max(tokenizer.vocab.values(), default=-1) + 2)
     for t, i in tokenizer.vocab.items():
         names[i] = "" if t in SILENT else t
+    return pa.array(names, pa.string())
+
+
+def _joined(tokenizer: Tokenizer):
+    names = _names(tokenizer)
 
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         at = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         at = np.where((at < 0) | (at >= len(names)), len(names) - 1, at)
         sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        return pc.binary_join(pa.ListArray.from_arrays(_offsets(sizes), pa.array(names, pa.string()).take(pa.array(at)), mask=ids.is_null()), "")
+        return pc.binary_join(pa.ListArray.from_arrays(_offsets(sizes), names.take(pa.array(at)), mask=ids.is_null()), "")
 
     return run
 
@@ -753,7 +807,7 @@ def evaluate(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     words = tally.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("num_words", "num_tokens", "total", "num_unk_tokens")))
     used = tally.select("lang", F.explode("used").alias("id")).distinct().groupBy("lang").agg(F.count("*").alias("used"))
     names = {i: t for t, i in tokenizer.vocab.items()}
-    kept = docs.select("lang", "text", F.concat_ws("", tx.pretokens(F.col("text"))).alias("joined"))
+    kept = docs.select("lang", "text", F.coalesce(tx.joined_pretokens(F.col("text")), F.lit("")).alias("joined"))
     # a text comes back as its pretokens unless one of its characters has no id
     known = "[" + "".join(rf"\x{{{ord(t):x}}}" for t in names.values() if len(t) == 1) + "]*"
     back = F.col("joined").rlike(f"^{known}$") & (F.replace("joined", F.lit(tx.MARK), F.lit(" ")) == tx.normalize_for_roundtrip(F.col("text")))

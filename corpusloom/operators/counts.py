@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.pretokens import Pretokenizer, kinds, marked, whole
 from corpusloom.operators.ranks import sided
 from corpusloom.sources.shared import written
 
 SPECIALS = {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3}
 
 
-def exploded(docs: DataFrame, pretokenize: Callable[[Column], Column], *keys: str) -> DataFrame:
-    """(*keys, word): a row for each pretoken. The usual ones are marked row by row, which is compiled, unlike a function of arrays."""
-    if pretokenize is tx.pretokens:
-        return docs.select(*keys, F.explode(tx.raw_pretokens(F.col("text"))).alias("word")).withColumn("word", tx.marked(F.col("word")))
-    return docs.select(*keys, F.explode(pretokenize(F.col("text"))).alias("word"))
+def _counted(kinds: bytes, key: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pretokenizer = Pretokenizer(kinds)
+        for b in batches:
+            if key is None:
+                groups = [(None, b["text"])]
+            else:
+                found = b[key].dictionary_encode("encode")
+                which = found.indices.to_numpy()
+                own = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])
+                groups = [(found.dictionary[k : k + 1], b["text"].take(pa.array(rows))) for k, rows in enumerate(own)]
+            for name, texts in groups:
+                found = pretokenizer(texts)[0].value_counts()
+                columns = {"word": marked(found.field("values")).cast(pa.string()), "n": found.field("counts")}
+                if key is not None:
+                    columns = {key: name.take(pa.array(np.zeros(len(found), np.int64))), **columns}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _word_counts(docs: DataFrame, pretokenize: Callable[[Column], Column], *keys: str) -> DataFrame:
+    """(*keys, word, freq), with a key at most. The usual pretokens are found and counted by batches of texts."""
+    if pretokenize is not tx.pretokens:
+        words = docs.select(*keys, F.explode(pretokenize(F.col("text"))).alias("word"), F.lit(1).alias("n"))
+    else:
+        rows = docs.select(*keys, whole(F.col("text")).alias("text")).where("text <> ''")
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+        words = rows.mapInArrow(_counted(kinds(docs.sparkSession), *(keys or (None,))), f"{schema}word string, n bigint")
+    return words.groupBy(*keys, "word").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("freq"))
 
 
 def language_words(docs: DataFrame, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
     """(lang, word, freq) of ``docs(lang, text)``; null texts count nothing."""
-    words = exploded(docs, pretokenize, "lang")
-    return words.groupBy("lang", "word").agg(F.count("*").alias("freq"))
+    return _word_counts(docs, pretokenize, "lang")
 
 
 def word_frequencies(docs: DataFrame, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:
-    return exploded(docs, pretokenize).groupBy("word").agg(F.count("*").alias("freq"))
+    return _word_counts(docs, pretokenize)
 
 
 def language_weights(words: DataFrame, alpha: float = 0.5) -> DataFrame:

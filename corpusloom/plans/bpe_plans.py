@@ -44,7 +44,7 @@ def bpe_encoded(spark, sf_dir):
 
 def bpe_roundtrip(spark, sf_dir):
     docs, _, tokenizer = _trained(spark, sf_dir)
-    out = bpe.decoded(bpe.encode(docs.select("doc_id", "text"), tokenizer), tokenizer)
+    out = bpe.round_trip(docs.select("doc_id", "text"), tokenizer)
     return out.select("doc_id", F.md5("decoded").alias("decoded"), (F.col("decoded") == tx.normalize_for_roundtrip(F.col("text"))).alias("same"))
 
 

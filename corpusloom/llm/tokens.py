@@ -271,11 +271,13 @@ def repair(seq: np.ndarray, base: int, min_count: int, buckets: int = 1 << 18, m
             live = np.ones(n, bool)
             after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
             a, b = seq[:-1], seq[1:]
-            slot = a.astype(np.uint32) * np.uint32(0x9E3779B1)
-            slot ^= b.astype(np.uint32) * np.uint32(0x85EBCA77)
-            slot ^= slot >> np.uint32(15)
+            slot, other = a.view(np.uint32) * np.uint32(0x9E3779B1), b.view(np.uint32) * np.uint32(0x85EBCA77)
+            slot ^= other
+            np.right_shift(slot, np.uint32(15), out=other)
+            slot ^= other
             several = buckets if now > FEW else MORE * buckets  # rare pairs would share most buckets with others, and be sorted for nothing
-            slot = (slot & np.uint32(several - 1)).astype(np.int64)
+            slot &= np.uint32(several - 1)
+            slot = slot.astype(np.int64)
             at = np.flatnonzero((np.bincount(slot, minlength=several) >= now)[slot])
             a, b = a[at], b[at]
         else:
@@ -396,6 +398,34 @@ def _length_bits(lengths: np.ndarray) -> int:
     return max(8, int(lengths.max(initial=1)).bit_length())
 
 
+def expanded(seq: np.ndarray, rules: np.ndarray, base: int, n: int) -> np.ndarray:
+    """``seq`` without codes of the rules from ``n`` on: each of these is expanded once, then put in wherever it stands."""
+    over = np.flatnonzero(seq >= base + n)
+    if not len(over):
+        return seq
+    there = np.zeros(len(rules) - n, np.int64)
+    there[seq[over] - base - n] = 1
+    flat = np.flatnonzero(there) + base + n
+    owner = np.arange(len(flat))
+    while (big := flat >= base + n).any():
+        at = np.cumsum(1 + big) - 1 - big
+        new = np.empty(len(flat) + int(big.sum()), np.int64)
+        new[at[~big]] = flat[~big]
+        new[at[big]], new[at[big] + 1] = rules[flat[big] - base].T
+        flat, owner = new, np.repeat(owner, 1 + big)
+    size = np.bincount(owner)
+    which = (np.cumsum(there) - 1)[seq[over] - base - n]
+    sizes = size[which]
+    grown = np.ones(len(seq), np.int64)
+    grown[over] = sizes
+    begin = np.cumsum(sizes) - sizes
+    within = np.arange(int(sizes.sum()))
+    at = np.repeat(np.cumsum(grown)[over] - sizes - begin, sizes) + within
+    out = np.repeat(seq, grown)
+    out[at] = flat[np.repeat((np.cumsum(size) - size)[which] - begin, sizes) + within]
+    return out
+
+
 def repaired(seq: np.ndarray, base: int, min_count: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The result of :func:`repair` with the bits of a code.
 
@@ -407,13 +437,13 @@ def repaired(seq: np.ndarray, base: int, min_count: int | None = None) -> tuple[
     used = np.bincount(seq[seq >= base] - base, minlength=len(rules))
     plain = int((seq >= 0).sum() - used.sum())
     best = None
+    reach = np.maximum.accumulate(rules.max(axis=1)) if len(rules) else rules[:, 0]
     for width in widths:
         n = min(len(rules), (1 << width) - base)
         parts = np.ones(len(rules), np.int64)  # codes of each rule where only n are kept
         at = n
         while at < len(rules):  # rules that refer to none beyond ``at`` are known at once
-            ahead = np.flatnonzero(rules[at:].max(axis=1) >= base + at)
-            end = at + int(ahead[0]) if len(ahead) else len(rules)
+            end = int(np.searchsorted(reach, base + at))
             part = rules[at:end].astype(np.int64) - base
             parts[at:end] = np.where(part >= n, parts[np.maximum(part, 0)], 1).sum(axis=1)
             at = end
@@ -421,13 +451,7 @@ def repaired(seq: np.ndarray, base: int, min_count: int | None = None) -> tuple[
         if best is None or bits < best[0]:
             best = bits, width, n
     _, width, n = best
-    while (over := seq >= base + n).any():
-        at = np.cumsum(1 + over) - 1 - over
-        new = np.empty(len(seq) + int(over.sum()), np.int32)
-        new[at[~over]] = seq[~over]
-        new[at[over]], new[at[over] + 1] = rules[seq[over] - base].astype(np.int32).T
-        seq = new
-    return seq, rules[:n], lengths[:n], width
+    return expanded(seq, rules, base, n), rules[:n], lengths[:n], width
 
 
 def _encoded(vocabulary, shard_tokens: int, min_count: int | None):
@@ -445,13 +469,14 @@ def _encoded(vocabulary, shard_tokens: int, min_count: int | None):
             whole = [x for d in docs if d is not None for x in (d, sep)]
             seq, rules, lengths, width = repaired(np.concatenate(whole) if whole else sep, base, min_count)
             cut = np.flatnonzero(seq < 0)
-            bits = _bits(np.maximum(seq, 0), width)
+            bits = np.maximum(seq, 0).astype("<u2") if width == 16 else _bits(np.maximum(seq, 0), width)
             codes, at, j = [], 0, 0
             for d in docs:
                 if d is None:
                     codes.append(None)
                     continue
-                codes.append(np.packbits(bits[at : cut[j]].ravel(), bitorder="little").tobytes())
+                own = bits[at : cut[j]]
+                codes.append(own.tobytes() if width == 16 else np.packbits(own.ravel(), bitorder="little").tobytes())
                 at, j = int(cut[j]) + 1, j + 1
             shard, n = f"{part:06d}-{k:05d}", len(docs)
             none = [None] * n

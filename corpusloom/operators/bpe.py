@@ -66,8 +66,9 @@ class Places:
         self.freq[place] = np.repeat(freq, size)
         self.after, self.before = np.arange(1, total + 1, dtype=kind), np.arange(-1, total - 1, dtype=kind)
         self.mark = np.zeros(total, bool)  # for a moment: places that a merge has seen to
-        order = np.argsort(self.symbol, kind="stable").astype(kind)[len(size) + 1 :]
-        cut = np.searchsorted(self.symbol[order], np.arange(len(alphabet) + 1))
+        # numbers of 16 bits are sorted by their digits
+        order = np.argsort(self.symbol.astype(np.int16) if len(alphabet) < 1 << 15 else self.symbol, kind="stable").astype(kind)[len(size) + 1 :]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(self.symbol[place], minlength=len(alphabet)))])
         self.where = {k: order[cut[k] : cut[k + 1]] for k in range(len(alphabet))}
 
     def keyed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +80,14 @@ class Places:
 
     def pairs(self, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of all pairs."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], len(self.where)
         for i in range(0, len(self.symbol), step):
             at, key = self.keyed(np.arange(i, min(i + step, len(self.symbol))))
-            found.append(summed(key, self.freq[at]))
+            if n <= 2048:
+                key, freq = by_symbol((key >> 32) * n + (key & 0xFFFFFFFF), self.freq[at])
+                found.append(summed(key // n << 32 | key % n, freq))
+            else:
+                found.append(summed(key, self.freq[at]))
         return summed(*map(np.concatenate, zip(*found)))
 
     def of(self, symbol: int) -> np.ndarray:
@@ -94,31 +99,52 @@ class Places:
 
     def merge(self, a: int, b: int, result: int) -> tuple[np.ndarray, np.ndarray]:
         """Makes ``result`` of ``a`` and ``b`` wherever they meet; keys whose counts change, and by what."""
-        few = min(a, b, key=lambda x: len(self.where.get(x, ())))
-        at = self.of(few) if few == a else self.before[self.of(b)]
-        at = at[(self.symbol[at] == a) & (self.symbol[self.after[at]] == b)]
+        symbol, after, before = self.symbol, self.after, self.before
+        if len(self.where.get(a, ())) <= len(self.where.get(b, ())):
+            at = self.of(a).astype(np.intp)
+            gone = after.take(at).astype(np.intp)
+            meet = symbol.take(gone) == b
+        else:
+            gone = self.of(b).astype(np.intp)
+            at = before.take(gone).astype(np.intp)
+            meet = symbol.take(at) == a
+        at, gone = at[meet], gone[meet]
         if a == b:  # of a run every other one, from the left
             at = np.sort(at)
-            start = np.r_[True, self.after[at[:-1]] != at[1:]] if len(at) else np.zeros(0, bool)
+            start = np.r_[True, after[at[:-1]] != at[1:]] if len(at) else np.zeros(0, bool)
             k = np.arange(len(at))
             at = at[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0]
+            gone = after.take(at).astype(np.intp)
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gone = self.after[at]
-        self.mark[gone] = True
-        ahead = self.before[at]
-        old, old_key = self.keyed(np.concatenate([ahead[~self.mark[ahead]], at, gone]))
-        old_freq = self.freq[old].astype(np.int64)
-        beyond = self.after[gone]
-        self.mark[gone] = False
-        self.symbol[at], self.symbol[gone] = result, -2
-        self.after[at], self.before[beyond] = beyond, at
-        self.mark[at] = True
-        ahead = self.before[at]
-        new, new_key = self.keyed(np.concatenate([ahead[~self.mark[ahead]], at]))
-        self.mark[at] = False
-        self.where[result] = np.concatenate([self.where[result], at]) if result in self.where else at
-        return summed(np.concatenate([old_key, new_key]), np.concatenate([-old_freq, self.freq[new].astype(np.int64)]))
+        ahead, beyond, freq = before.take(at).astype(np.intp), after.take(gone).astype(np.intp), self.freq.take(at)
+        left, right = symbol.take(ahead), symbol.take(beyond)
+        own = left >= 0
+        joined = bool((left == b).any())  # the pair may follow itself; what lies between two is the first one's
+        if joined:
+            self.mark[gone] = True
+            own &= ~self.mark.take(ahead)
+            self.mark[gone] = False
+        symbol[at], symbol[gone] = result, -2
+        after[at], before[beyond] = beyond, at
+        self.where[result] = np.concatenate([self.where[result], at.astype(after.dtype)]) if result in self.where else at.astype(after.dtype)
+        left, left_freq = by_symbol(left[own], freq[own])
+        own = right >= 0
+        then, then_freq = by_symbol(symbol.take(beyond)[own], freq[own]) if joined else (None, None)
+        right, right_freq = by_symbol(right[own], freq[own])
+        if then is None:
+            then, then_freq = right, right_freq
+        keys = [left << 32 | a, np.array([a << 32 | b]), b << 32 | right, left << 32 | result, result << 32 | then]
+        return summed(np.concatenate(keys), np.concatenate([-left_freq, [-int(freq.sum(dtype=np.int64))], -right_freq, left_freq, then_freq]))
+
+
+def by_symbol(symbols: np.ndarray, numbers: np.ndarray, few: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Of many symbols each one with the sum of its numbers; few are left as they are."""
+    if len(symbols) < few or numbers.sum(dtype=np.float64) >= 1 << 52:
+        return symbols.astype(np.int64), numbers.astype(np.int64)
+    total = np.bincount(symbols, numbers)
+    there = np.flatnonzero(total)
+    return there, total[there].astype(np.int64)
 
 
 def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

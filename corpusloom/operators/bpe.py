@@ -51,25 +51,42 @@ def merged(symbols: list[str], left: str, right: str) -> list[str]:
     return out
 
 
+def code_points(words: pa.Array) -> np.ndarray:
+    """The characters of all words, one word's after the other's."""
+    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else [0, 0]
+    return np.frombuffer((words.buffers()[2] or pa.py_buffer(b"")).slice(off[0], off[-1] - off[0]).to_pybytes().decode().encode("utf-32-le"), np.uint32)
+
+
 class Places:
-    """The symbols of words with their counts, in arrays: words lie one after the other, with a place between two that holds no symbol."""
+    """The symbols of words with their counts, in arrays: words lie one after the other, with a place between two that holds no symbol.
 
-    def __init__(self, words: pa.Array, freq: np.ndarray, alphabet: np.ndarray):
+    Where a pair stands is kept from the moment that it comes up: the words' own pairs in ``order``, others by the symbol whose making brought them about,
+    in the order of what stood right or left of it. So a merge looks at the places of its pair only, not at all of its symbols'.
+    """
+
+    def __init__(self, words: pa.Array, freq: np.ndarray, alphabet: np.ndarray, letters: np.ndarray | None = None):
         size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
-        total = len(letters) + len(size) + 1
+        letters = code_points(words) if letters is None else letters
+        total, self.letters = len(letters) + len(size) + 1, len(alphabet)
         place = np.arange(len(letters)) + np.repeat(np.arange(1, len(size) + 1), size)
         kind = np.int32 if total < 1 << 31 else np.int64
+        number = np.zeros(int(alphabet.max(initial=0)) + 1, np.int32)
+        number[alphabet] = np.arange(len(alphabet))
         self.symbol = np.full(total, -1, np.int32)
-        self.symbol[place] = np.searchsorted(alphabet, letters)
+        self.symbol[place] = number[letters]
         self.freq = np.zeros(total, np.int32 if freq.max(initial=0) < 1 << 31 else np.int64)
         self.freq[place] = np.repeat(freq, size)
+        del letters, place
         self.after, self.before = np.arange(1, total + 1, dtype=kind), np.arange(-1, total - 1, dtype=kind)
         self.mark = np.zeros(total, bool)  # for a moment: places that a merge has seen to
-        # numbers of 16 bits are sorted by their digits
-        order = np.argsort(self.symbol.astype(np.int16) if len(alphabet) < 1 << 15 else self.symbol, kind="stable").astype(kind)[len(size) + 1 :]
-        cut = np.concatenate([[0], np.cumsum(np.bincount(self.symbol[place], minlength=len(alphabet)))])
-        self.where = {k: order[cut[k] : cut[k + 1]] for k in range(len(alphabet))}
+        at = np.flatnonzero((self.symbol[:-1] >= 0) & (self.symbol[1:] >= 0)).astype(kind)
+        for x in (1, 0):
+            at = at[sorting(self.symbol[at + x])]
+        self.order, key = at, self.symbol[at].astype(np.int64) << 32 | self.symbol[at + 1]
+        self.cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, np.int64)
+        self.key = key[self.cut[:-1]]
+        self.left_of: dict[int, list] = {}
+        self.right_of: dict[int, list] = {}
 
     def keyed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of ``at`` where a pair begins, and its key."""
@@ -78,66 +95,75 @@ class Places:
         at, right = at[right >= 0], right[right >= 0]
         return at, self.symbol[at].astype(np.int64) << 32 | right
 
-    def pairs(self, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of all pairs."""
-        found, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], len(self.where)
-        for i in range(0, len(self.symbol), step):
-            at, key = self.keyed(np.arange(i, min(i + step, len(self.symbol))))
-            if n <= 2048:
-                key, freq = by_symbol((key >> 32) * n + (key & 0xFFFFFFFF), self.freq[at])
-                found.append(summed(key // n << 32 | key % n, freq))
-            else:
-                found.append(summed(key, self.freq[at]))
-        return summed(*map(np.concatenate, zip(*found)))
-
-    def of(self, symbol: int) -> np.ndarray:
-        at = self.where.get(symbol)
-        if at is None:
-            return np.zeros(0, self.after.dtype)
-        at = self.where[symbol] = at[self.symbol[at] == symbol]  # some have been merged since
-        return at
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the words' own pairs."""
+        if not len(self.key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.add.reduceat(self.freq[self.order], self.cut[:-1], dtype=np.int64)
+        return self.key[total != 0], total[total != 0]
+
+    def of(self, a: int, b: int) -> np.ndarray:
+        """Where ``a`` stands before ``b``."""
+        kept = [(self.key, self.cut, self.order, a << 32 | b)] if a < self.letters and b < self.letters else []
+        kept += [(*x, b) for x in self.right_of.get(a, ())] + [(*x, a) for x in self.left_of.get(b, ())]
+        found = [np.zeros(0, self.after.dtype)]
+        for key, cut, places, k in kept:
+            i = int(np.searchsorted(key, k))
+            if i < len(key) and key[i] == k:
+                found.append(places[cut[i] : cut[i + 1]])
+        at = np.concatenate(found).astype(np.intp)
+        at = at[self.symbol.take(at) == a]  # some have been merged since
+        return at[self.symbol.take(self.after.take(at)) == b]
+
+    def _keep(self, kept: dict[int, list], result: int, beside: np.ndarray, places: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps places by the symbol beside ``result``; these symbols with their sums."""
+        order = sorting(beside)
+        beside = beside[order]
+        cut = np.r_[0, np.flatnonzero(beside[1:] != beside[:-1]) + 1, len(beside)]
+        symbols, total = beside[cut[:-1]].astype(np.int64), np.add.reduceat(freq[order], cut[:-1], dtype=np.int64)
+        if symbols[0] < 0:  # a word's end
+            symbols, total, cut = symbols[1:], total[1:], cut[1:]
+        if len(symbols):
+            kept.setdefault(result, []).append((symbols, cut, places[order].astype(self.after.dtype)))
+        return symbols, total
 
     def merge(self, a: int, b: int, result: int) -> tuple[np.ndarray, np.ndarray]:
         """Makes ``result`` of ``a`` and ``b`` wherever they meet; keys whose counts change, and by what."""
         symbol, after, before = self.symbol, self.after, self.before
-        if len(self.where.get(a, ())) <= len(self.where.get(b, ())):
-            at = self.of(a).astype(np.intp)
-            gone = after.take(at).astype(np.intp)
-            meet = symbol.take(gone) == b
-        else:
-            gone = self.of(b).astype(np.intp)
-            at = before.take(gone).astype(np.intp)
-            meet = symbol.take(at) == a
-        at, gone = at[meet], gone[meet]
+        at = self.of(a, b)
         if a == b:  # of a run every other one, from the left
-            at = np.sort(at)
+            at = np.unique(at)
             start = np.r_[True, after[at[:-1]] != at[1:]] if len(at) else np.zeros(0, bool)
             k = np.arange(len(at))
             at = at[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0]
-            gone = after.take(at).astype(np.intp)
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gone = after.take(at).astype(np.intp)
         ahead, beyond, freq = before.take(at).astype(np.intp), after.take(gone).astype(np.intp), self.freq.take(at)
         left, right = symbol.take(ahead), symbol.take(beyond)
-        own = left >= 0
         joined = bool((left == b).any())  # the pair may follow itself; what lies between two is the first one's
         if joined:
             self.mark[gone] = True
-            own &= ~self.mark.take(ahead)
+            own = (left >= 0) & ~self.mark.take(ahead)
             self.mark[gone] = False
+            old = (by_symbol(left[own], freq[own]), by_symbol(right[right >= 0], freq[right >= 0]))
         symbol[at], symbol[gone] = result, -2
         after[at], before[beyond] = beyond, at
-        self.where[result] = np.concatenate([self.where[result], at.astype(after.dtype)]) if result in self.where else at.astype(after.dtype)
-        left, left_freq = by_symbol(left[own], freq[own])
-        own = right >= 0
-        then, then_freq = by_symbol(symbol.take(beyond)[own], freq[own]) if joined else (None, None)
-        right, right_freq = by_symbol(right[own], freq[own])
-        if then is None:
-            then, then_freq = right, right_freq
+        if joined:
+            ahead = before.take(at).astype(np.intp)
+            left, right = symbol.take(ahead), symbol.take(beyond)
+        new = self._keep(self.left_of, result, left, ahead, freq), self._keep(self.right_of, result, right, at, freq)
+        (left, left_freq), (then, then_freq) = old[0] if joined else new[0], new[1]
+        right, right_freq = old[1] if joined else new[1]
         keys = [left << 32 | a, np.array([a << 32 | b]), b << 32 | right, left << 32 | result, result << 32 | then]
         return summed(np.concatenate(keys), np.concatenate([-left_freq, [-int(freq.sum(dtype=np.int64))], -right_freq, left_freq, then_freq]))
 
 
+def sorting(symbols: np.ndarray) -> np.ndarray:
+    """The order of symbols, ties as they are; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(symbols.astype(np.int16) if symbols.max(initial=0) < 1 << 15 else symbols, kind="stable")
+
+
 def by_symbol(symbols: np.ndarray, numbers: np.ndarray, few: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Of many symbols each one with the sum of its numbers; few are left as they are."""
     if len(symbols) < few or numbers.sum(dtype=np.float64) >= 1 << 52:
@@ -249,10 +275,12 @@ def learned(words: pa.Array, freq: np.ndarray, merges: int, at_least: int, known
     Part 0 collects how the counts change, and tells the others what is merged next.
     """
     meeting = meeting or Alone()
-    mine = np.unique(np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)).tobytes()
-    all_letters = meeting.collect(mine)
+    letters, there = code_points(words), np.zeros(0x110000, bool)
+    there[letters] = True
+    all_letters = meeting.collect(np.flatnonzero(there).astype(np.uint32).tobytes())
     names = sorted(set(meeting.tell(b"".join(all_letters or ())).decode("utf-32-le")))
-    places = Places(words, freq, np.array([ord(c) for c in names], np.uint32))
+    places = Places(words, freq, np.array([ord(c) for c in names], np.uint32), letters)
+    del letters
     choice = Choice(list(names), merges, at_least, known) if meeting.part == 0 else None
     change, out = places.pairs(), []
     while True:

@@ -17,9 +17,49 @@ from corpusloom.sources.shared import written
 SPECIALS = {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3}
 
 
+#: Buckets that distinct words are dealt to, and bytes of counts that a task holds before it passes them on.
+BUCKETS = 256
+HELD = 32 << 20
+
+
+def _bucket(words: pa.Array) -> np.ndarray:
+    """A bucket for each word, by its bytes."""
+    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].astype(np.uint64)
+    size = np.diff(off)
+    place = (np.arange(len(data)) - np.repeat(off[:-1] - off[0], size)).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * (place * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)))])
+    off -= off[0]
+    return ((total[off[1:]] - total[off[:-1]]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.int16) % BUCKETS
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Each word (of each key) once, with the sum of its counts."""
+    t = pa.concat_tables(tables)
+    by = t.column_names[:-1]
+    return t.group_by(by, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(t.column_names)
+
+
+def _dealt(t: pa.Table) -> pa.RecordBatch:
+    """A row for each bucket: its number, and its words with their counts."""
+    t = t.combine_chunks()
+    bucket = np.concatenate([np.zeros(0, np.int16), *map(_bucket, t["word"].chunks)])
+    t = t.take(pa.array(np.argsort(bucket, kind="stable"))).combine_chunks()
+    cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))]).tolist()
+    numbers, held = [], []
+    for k in range(BUCKETS):
+        if cut[k] < cut[k + 1]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as out:
+                out.write_table(t.slice(cut[k], cut[k + 1] - cut[k]))
+            numbers.append(k)
+            held.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(held, pa.binary())], ["bucket", "held"])
+
+
 def _counted(kinds: bytes, key: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pretokenizer = Pretokenizer(kinds)
+        pretokenizer, held = Pretokenizer(kinds), []
         for b in batches:
             if key is None:
                 groups = [(None, b["text"])]
@@ -33,20 +73,41 @@ def _counted(kinds: bytes, key: str | None):
                 columns = {"word": marked(found.field("values")).cast(pa.string()), "n": found.field("counts")}
                 if key is not None:
                     columns = {key: name.take(pa.array(np.zeros(len(found), np.int64))), **columns}
-                yield pa.RecordBatch.from_pydict(columns)
+                held.append(pa.table(columns))
+            if sum(t.nbytes for t in held) > HELD:
+                held = [_summed(held)]
+                if held[0].nbytes > HELD // 2:
+                    yield _dealt(held.pop())
+        if held:
+            yield _dealt(_summed(held))
 
     return run
 
 
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all that the tasks have dealt to a bucket; a task's buckets come one after the other."""
+    last, held = None, []
+    for b in batches:
+        for number, some in zip(b["bucket"].to_pylist(), b["held"]):
+            if number != last and held:
+                yield from _summed(held).to_batches()
+                held = []
+            last = number
+            with pa.ipc.open_stream(some.as_buffer()) as t:
+                held.append(t.read_all())
+    if held:
+        yield from _summed(held).to_batches()
+
+
 def _word_counts(docs: DataFrame, pretokenize: Callable[[Column], Column], *keys: str) -> DataFrame:
-    """(*keys, word, freq), with a key at most. The usual pretokens are found and counted by batches of texts."""
+    """(*keys, word, freq), with a key at most. The usual pretokens are found and counted by batches of texts, and move in buckets, not row by row."""
     if pretokenize is not tx.pretokens:
         words = docs.select(*keys, F.explode(pretokenize(F.col("text"))).alias("word"), F.lit(1).alias("n"))
-    else:
-        rows = docs.select(*keys, whole(F.col("text")).alias("text")).where("text <> ''")
-        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-        words = rows.mapInArrow(_counted(kinds(docs.sparkSession), *(keys or (None,))), f"{schema}word string, n bigint")
-    return words.groupBy(*keys, "word").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("freq"))
+        return words.groupBy(*keys, "word").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("freq"))
+    rows = docs.select(*keys, whole(F.col("text")).alias("text")).where("text <> ''")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    dealt = rows.mapInArrow(_counted(kinds(docs.sparkSession), *(keys or (None,))), "bucket int, held binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_collected, f"{schema}word string, n bigint").withColumnRenamed("n", "freq")
 
 
 def language_words(docs: DataFrame, pretokenize: Callable[[Column], Column] = tx.pretokens) -> DataFrame:

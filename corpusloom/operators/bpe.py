@@ -37,6 +37,8 @@ ROUND = 1000
 SILENT = ("<pad>", "<bos>", "<eos>")
 #: Words of more characters than this are encoded by a queue.
 LONG_WORD = 200
+#: Words of at most so many characters are encoded in blocks of so many words; a place fits PLACE bits.
+SHORT_WORD, BLOCK, PLACE = 32, 8192, 5
 
 
 def merged(symbols: list[str], left: str, right: str) -> list[str]:
@@ -555,7 +557,9 @@ class Coder:
     Symbols are numbers of ``names``; a character that no name has is ``-2 - ord``. The last words are remembered.
     """
 
-    NONE = np.iinfo(np.int64).max
+    NONE = np.iinfo(np.int32).max
+    #: What stands where a symbol has become part of the one before it.
+    GONE = -np.iinfo(np.int32).max
 
     def __init__(self, tokenizer: Tokenizer, remember: int = 500_000):
         self.tokenizer, self.remember = tokenizer, remember
@@ -567,37 +571,113 @@ class Coder:
         single = sorted((ord(t), i) for t, i in self.number.items() if len(t) == 1)
         self.letters, self.letter_symbol = (np.array([x[k] for x in single], np.int64) for k in (0, 1))
         key = np.array([self.number[a] << 32 | self.number[b] for _, (a, b) in order], np.int64)
-        self.rank = np.argsort(key)
-        self.key, self.result = key[self.rank], np.array([self.number[a + b] for _, (a, b) in order], np.int64)
+        self.result = np.array([self.number[a + b] for _, (a, b) in order], np.int32)
+        self.levels = self._hashed(key)
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.begin, self.size = (np.zeros(0, np.int64) for _ in range(3))
 
+    @staticmethod
+    def _slot(key: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level * 0x632BE59BD9B4E019 & (1 << 64) - 1) >> np.uint64(64 - bits)).view(np.int64)
+
+    def _hashed(self, key: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Tables of keys and their ranks: a key whose slot another one has is in the next table."""
+        rank, levels = np.arange(len(key), dtype=np.int32), []
+        while len(key) or not levels:
+            bits = max(10, (8 * len(key)).bit_length())
+            slot = self._slot(key, len(levels), bits)
+            own, first = np.unique(slot, return_index=True)
+            keys, ranks = np.full(1 << bits, -1), np.full(1 << bits, self.NONE, np.int32)
+            keys[own], ranks[own] = key[first], rank[first]
+            levels.append((bits, keys, ranks))
+            key, rank = np.delete(key, first), np.delete(rank, first)
+        return levels
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(a), self.NONE)
-        key = a << 32 | b  # negative where one is unknown
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.rank[at], self.NONE)
+        key = a.astype(np.int64) << 32 | b  # negative where one is unknown
+        bits, keys, ranks = self.levels[0]
+        at = self._slot(key, 0, bits)
+        there = keys.take(at)
+        same = there == key
+        out = np.where(same, ranks.take(at), np.int32(self.NONE))
+        other = np.flatnonzero((there >= 0) & ~same) if len(self.levels) > 1 else ()
+        if len(other):
+            key = key[other]
+            for level, (bits, keys, ranks) in enumerate(self.levels[1:], 1):
+                at = self._slot(key, level, bits)
+                out[other] = np.where(keys.take(at) == key, ranks.take(at), out[other])
+        return out
 
-    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, s: np.ndarray) -> np.ndarray:
+        """Merges the words in the columns of ``s``, a symbol a row and none in the last row, in place; whether a word has to be encoded another way.
+
+        Each round merges a word's first pair where it first stands. That is the first place of all only while no merge brings up a pair that comes
+        before the merged one, as a token made in two ways may.
+        """
+        n, rows = s.shape[1], len(s) - 1
+        place = np.arange(rows + 1, dtype=np.int32)[:, None]
+        near = self._ranks(s[:-1].ravel(), s[1:].ravel()).reshape(rows, n)
+        first = np.full((rows + 1, n), self.NONE, np.int32)
+        first[:-1] = np.where(near == self.NONE, near, near << PLACE | place[:-1])
+        after = (place + 1) * n + np.arange(n)
+        before = (place - 1) % (rows + 1) * n + np.arange(n)
+        s, v, after, before, again = s.reshape(-1), first.reshape(-1), after.reshape(-1), before.reshape(-1), np.zeros(n, bool)
+        while True:
+            best = first[:-1].min(axis=0)
+            word = np.flatnonzero(best != self.NONE)
+            if not len(word):
+                return again
+            best = best[word]
+            rank, at = best >> PLACE, best & (1 << PLACE) - 1
+            i = at.astype(np.int64) * n + word
+            j, p = after.take(i), before.take(i)
+            k = after.take(j)
+            result = self.result.take(rank)
+            s[i], s[j], v[j] = result, self.GONE, self.NONE
+            after[i], before[k] = k, i
+            right, left = self._ranks(result, s.take(k)), self._ranks(s.take(p), result)
+            again[word] |= (right < rank) | (left < rank)
+            v[i] = np.where(right == self.NONE, right, right << PLACE | at)
+            v[p] = np.where(left == self.NONE, left, left << PLACE | (p // n).astype(np.int32))
+
+    def _short(self, sym: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray, done: list) -> np.ndarray:
+        """Adds the symbols of the words ``which`` to ``done``; the words that have to be encoded another way."""
+        which, left = which[np.argsort(size[which].astype(np.int16), kind="stable")], []
+        for k in range(0, len(which), BLOCK):
+            own = which[k : k + BLOCK]
+            place = np.arange(int(size[own].max()) + 1)[:, None]
+            s = np.where(place < size[own], sym.take(np.minimum(begin[own] + place, len(sym) - 1)), np.int32(self.GONE))
+            again = self._block(s)
+            left.append(own[again])
+            got = s[:-1].T
+            there = (got != self.GONE) & ~again[:, None]
+            done.append((np.repeat(own, there.sum(axis=1)), got[there]))
+        return np.concatenate(left) if left else which
+
+    def fresh(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words, one word's after the other's, and how many each has."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sym, w = -2 - letters, np.repeat(np.arange(len(words)), size)
+        if not isinstance(words, pa.Array):
+            words = pa.array(words, pa.string())
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = code_points(words).astype(np.int32)
+        sym = -2 - letters
         if len(self.letters):
-            at = np.minimum(np.searchsorted(self.letters, letters), len(self.letters) - 1)
-            sym = np.where(self.letters[at] == letters, self.letter_symbol[at], sym)
-        done = []
+            number = np.full(max(int(letters.max(initial=0)), int(self.letters[-1])) + 1, -1, np.int32)
+            number[self.letters] = self.letter_symbol
+            sym = np.where((known := number.take(letters)) >= 0, known, sym)
+        done, begin = [], np.cumsum(size) - size
         for i in np.flatnonzero(size > LONG_WORD).tolist():
-            pieces = [self.number.get(p, -2 - ord(p[0])) for p in self.tokenizer.pieces(words[i])]
-            done.append((np.full(len(pieces), i), np.array(pieces, np.int64)))
-        if done:
-            short = (size <= LONG_WORD)[w]
-            sym, w = sym[short], w[short]
-        r = np.full(len(sym), self.NONE)
+            pieces = [self.number.get(p, -2 - ord(p[0])) for p in self.tokenizer.pieces(words[i].as_py())]
+            done.append((np.full(len(pieces), i), np.array(pieces, np.int32)))
+        few = (size > 0) & (size <= SHORT_WORD) & (len(self.result) < 1 << 31 - PLACE)
+        rest = (size > 0) & (size <= LONG_WORD) & ~few
+        rest[self._short(sym, begin, size, np.flatnonzero(few), done)] = True
+        w = np.repeat(np.arange(len(words)), size)
+        sym, w = sym[rest[w]], w[rest[w]]
+        r = np.full(len(sym), self.NONE, np.int32)
         r[:-1] = np.where(w[1:] == w[:-1], self._ranks(sym[:-1], sym[1:]), self.NONE)
         while len(sym):
             start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -622,8 +702,9 @@ class Coder:
             at = at[w[at] == w[at + 1]]
             r[at] = self._ranks(sym[at], sym[at + 1])
         if not done:
-            return sym, size
+            return sym.astype(np.int64), size
         w, sym = (np.concatenate(x) for x in zip(*done))
+        sym = sym.astype(np.int64)
         return sym[np.argsort(w, kind="stable")], np.bincount(w, minlength=len(words))
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -727,7 +808,11 @@ def _of_texts(tokenizer: Tokenizer, spark: SparkSession, *forms: str):
         words, number = pretokenizer(texts)
         found = words.dictionary_encode()
         which, words = found.indices.to_numpy(), marked(found.dictionary).cast(pa.string())
-        sym, size = coder(words.to_pylist())
+        sym, size = coder.fresh(words)
+        if forms == ("decoded",):  # words are decoded once
+            each = pc.binary_join(pa.ListArray.from_arrays(_offsets(size), names.take(pa.array(coder.ids(sym)))), "")
+            each = pc.replace_substring(each, tx.MARK, " ").take(pa.array(which))
+            return pc.binary_join(pa.ListArray.from_arrays(_offsets(number), each, mask=null), "")
         at, long = (np.cumsum(size) - size)[which], size[which]
         listed = lambda values, stop: pa.ListArray.from_arrays(pa.array(stop, pa.int32()), values, mask=null)
         by_word, by_text = np.concatenate([[0], np.cumsum(long)]), np.concatenate([[0], np.cumsum(number)])
@@ -828,7 +913,7 @@ def _tallied(tokenizer: Tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums, used = Coder(tokenizer), {}, {}
         for b in batches:
-            sym, size = coder.fresh(b["word"].to_pylist())
+            sym, size = coder.fresh(b["word"])
             ids, freq = coder.ids(sym), b["freq"].to_numpy()
             word = np.repeat(np.arange(len(size)), size)
             unknown = np.bincount(word[ids == coder.unknown], minlength=len(size))

@@ -793,14 +793,23 @@ def word_pieces(tokenizer: Tokenizer):
 
 
 FORMS = {"pretokens": "array<string>", "pieces": "array<array<string>>", "tokens": "array<string>", "ids": "array<int>", "decoded": "string"}
+#: White space as :data:`text.ANY_SPACE` has it, without the blank, for Arrow's regular expressions.
+SPACES = r"\t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def normalized(texts: pa.Array) -> pa.Array:
+    """As :func:`text.normalize_for_roundtrip`; a single blank between words isn't replaced."""
+    return pc.utf8_rtrim(pc.replace_substring_regex(texts, f"[{SPACES}][{SPACES} ]*| [{SPACES} ]+", " "), " ")
 
 
 def _of_texts(tokenizer: Tokenizer, spark: SparkSession, *forms: str):
-    """Arrow function: text to one of :data:`FORMS`, or to a struct of several. Pretokens are the usual ones, and don't leave the function unless asked for."""
+    """Arrow function: text to one of :data:`FORMS`, or to a struct of several; or to ``decoded`` and whether it is the ``same``. Pretokens are the usual ones, and don't leave the function unless asked for."""
     known, pretokenizer, coder = kinds(spark), None, None
     names = _names(tokenizer) if "decoded" in forms else None
 
-    @F.arrow_udf(FORMS[forms[0]] if len(forms) == 1 else f"struct<{', '.join(f'{x}: {FORMS[x]}' for x in forms)}>")
+    kind = FORMS | {"same": "boolean"}
+
+    @F.arrow_udf(kind[forms[0]] if len(forms) == 1 else f"struct<{', '.join(f'{x}: {kind[x]}' for x in forms)}>")
     def run(texts: pa.Array) -> pa.Array:
         nonlocal pretokenizer, coder
         pretokenizer, coder = pretokenizer or Pretokenizer(known), coder or Coder(tokenizer)
@@ -809,10 +818,11 @@ def _of_texts(tokenizer: Tokenizer, spark: SparkSession, *forms: str):
         found = words.dictionary_encode()
         which, words = found.indices.to_numpy(), marked(found.dictionary).cast(pa.string())
         sym, size = coder.fresh(words)
-        if forms == ("decoded",):  # words are decoded once
+        if forms in (("decoded",), ("decoded", "same")):  # words are decoded once
             each = pc.binary_join(pa.ListArray.from_arrays(_offsets(size), names.take(pa.array(coder.ids(sym)))), "")
             each = pc.replace_substring(each, tx.MARK, " ").take(pa.array(which))
-            return pc.binary_join(pa.ListArray.from_arrays(_offsets(number), each, mask=null), "")
+            joined = pc.binary_join(pa.ListArray.from_arrays(_offsets(number), each, mask=null), "")
+            return joined if forms == ("decoded",) else pa.StructArray.from_arrays([joined, pc.equal(joined, normalized(texts))], list(forms))
         at, long = (np.cumsum(size) - size)[which], size[which]
         listed = lambda values, stop: pa.ListArray.from_arrays(pa.array(stop, pa.int32()), values, mask=null)
         by_word, by_text = np.concatenate([[0], np.cumsum(long)]), np.concatenate([[0], np.cumsum(number)])
@@ -844,8 +854,9 @@ def tokenized(docs: DataFrame, tokenizer: Tokenizer, pretokenize: Callable[[Colu
 
 
 def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """``docs`` with ``decoded``, the text that its ids decode to; the ids aren't moved."""
-    return docs.withColumn("decoded", _of_texts(tokenizer, docs.sparkSession, "decoded")(whole(F.col("text"))))
+    """``docs`` with ``decoded``, the text that its ids decode to, and ``same``, whether that is all that is kept of its text; the ids aren't moved."""
+    got = docs.withColumn("forms", _of_texts(tokenizer, docs.sparkSession, "decoded", "same")(whole(F.col("text"))))
+    return got.select(*docs.columns, "forms.decoded", "forms.same")
 
 
 def served_statistics(docs: DataFrame, tokenizer: Tokenizer, languages: tuple[str, ...] | None = None) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import bpe
 
 
@@ -85,3 +87,19 @@ class Watched:
     def take(self, ids):
         self.seen.append(len(ids))
         return self.names.take(ids)
+
+
+def test_texts_are_compared_where_they_are_decoded(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    rng = random.Random(4)
+    rows = [None, "", " ", "a ", "\na", *spaces, *(f"a{c}b" for c in spaces), *("".join(rng.choice(["a", "b", "é", " ", "​", "﻿", *spaces[:9], *spaces]) for _ in range(12)) for _ in range(3000))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string").coalesce(1)
+    want = [r.n for r in docs.select("i", tx.normalize_for_roundtrip(F.col("text")).alias("n")).orderBy("i").collect()]
+    assert bpe.normalized(pa.array(rows)).to_pylist() == want
+    letters = {c for t in rows for c in t or ""}
+    tokenizer = bpe.Tokenizer({("a", "b"): 0}, {t: i for i, t in enumerate(["<unk>", tx.MARK, *sorted(letters), "ab"])})
+    back = bpe.round_trip(docs, tokenizer)
+    assert "regexp_replace" not in back._jdf.queryExecution().optimizedPlan().toString()
+    got = back.orderBy("i").collect()
+    assert [r.same for r in got] == [None if n is None else r.decoded == n for n, r in zip(want, got)]
+    assert {r.same for r in got} == {None, True, False}
